@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import components, leaks, oneform, packing, quality, sentences, survivor
+from . import components, leaks, linkage, oneform, packing, quality, sentences, survivor
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -44,6 +44,14 @@ def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivors(table(spark, d, "field_claim"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.matches(table(spark, d, "title_query"), table(spark, d, "bibliography_entry")).select("query_id", "entry_id")
+
+
+def p7_matches(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.matches(table(spark, d, "title_query"), table(spark, d, "bibliography_entry"))
+
+
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
@@ -68,7 +76,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.statistics(table(spark, d, "documents"))
 
 
-ALL = [p1_found, p1_sentences, p2_found, p2_groups, p4_found, p5_found, p5_survivors, p8_pack, p8_fill, p9_found, p10_found, p10_types, p10_statistics]
+ALL = [p1_found, p1_sentences, p2_found, p2_groups, p4_found, p5_found, p5_survivors, p7_found, p7_matches, p8_pack, p8_fill, p9_found, p10_found, p10_types, p10_statistics]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -30,6 +30,11 @@ WINDOWS = ((20, 2), (30, 3))
 BROADCAST_ROWS = 2_000_000
 
 
+def coded(text: Column) -> Column:
+    """The words of a text as hashes, so that shingles and alignments handle numbers only."""
+    return F.transform(words(text), lambda w: F.xxhash64(w))
+
+
 def shingles(word: str) -> Column:
     """Hash of each run of five words, in order; none for fewer than five."""
     w = F.col(word)
@@ -98,8 +103,8 @@ def contains_run(doc: np.ndarray, item: np.ndarray, shifts: list[int]) -> bool:
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs(doc_id, text), items(item_id, text) -> (doc_id, item_id), once per pair. Null and empty texts match nothing."""
-    doc = docs.where("doc_id is not null and text is not null").select("doc_id", words(F.col("text")).alias("w"))
-    item = cut(items.where("item_id is not null and text is not null").select("item_id", words(F.col("text")).alias("w")).withColumn("h", shingles("w")))
+    doc = docs.where("doc_id is not null and text is not null").select("doc_id", coded(F.col("text")).alias("w"))
+    item = cut(items.where("item_id is not null and text is not null").select("item_id", coded(F.col("text")).alias("w")).withColumn("h", shingles("w")))
     known = small(cut(item.select(F.explode("h").alias("h")).distinct()))
     hits = cut(doc.select("doc_id", F.posexplode(shingles("w")).alias("at", "h")).join(known, "h"))
     rarity = hits.select("h", "doc_id").distinct().groupBy("h").agg(F.count("*").alias("df"))
@@ -112,12 +117,12 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     need = F.when(F.col("n") < RUN, F.greatest(F.lit(1), F.col("n") - 4 - SHINGLE * F.floor(F.col("n") / 10))).otherwise(F.lit(RUN - 4 - SHINGLE * 2))
     near = runs.where(F.col("shared") >= need).join(pairs, ["doc_id", "item_id"], "left_semi")
     near = cut(near.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_set(F.array(F.col("lo"), F.floor((F.col("lo") + F.col("hi")) / 2).cast("int"), F.col("hi"))))).alias("shifts")))
-    code = lambda df, key: df.select(key, F.transform("w", lambda x: F.xxhash64(x)).alias(f"{key}_words"))
-    text = docs.join(near.select("doc_id").distinct(), "doc_id", "left_semi").where("text is not null").select("doc_id", words(F.col("text")).alias("w"))
-    full = near.join(code(text, "doc_id"), "doc_id").join(code(item, "item_id"), "item_id")
+    doc_ids = small(cut(near.select("doc_id").distinct()))
+    text = docs.where("text is not null").join(doc_ids, "doc_id", "left_semi").select("doc_id", coded(F.col("text")).alias("doc_words"))
+    full = text.join(small(near), "doc_id").join(small(item.select("item_id", F.col("w").alias("item_words"))), "item_id")
 
     @F.pandas_udf("boolean")
     def verified(doc: pd.Series, item: pd.Series, shifts: pd.Series) -> pd.Series:
         return pd.Series([contains_run(np.asarray(d), np.asarray(i), sorted(s)) for d, i, s in zip(doc, item, shifts, strict=True)])
 
-    return full.where(verified("doc_id_words", "item_id_words", F.col("shifts").cast("array<int>"))).select("doc_id", "item_id").distinct()
+    return full.where(verified("doc_words", "item_words", F.col("shifts").cast("array<int>"))).select("doc_id", "item_id").distinct()

@@ -49,7 +49,7 @@ def fold(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case words of folded text, without marks and invisible characters; a divided word at a line's end is joined."""
-    t = F.lower(fold(text))
+    t = F.lower(F.when(text.rlike("[^\\x00-\\x7F]"), fold(text)).otherwise(text))
     t = F.when(t.rlike("[ﬀ-ﬆ]"), F.replace(F.replace(F.replace(F.replace(F.replace(t, F.lit("ﬃ"), F.lit("ffi")), F.lit("ﬄ"), F.lit("ffl")), F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl")), F.lit("ﬀ"), F.lit("ff"))).otherwise(t)
     t = F.when(t.rlike(f"[\\p{{M}}{INVISIBLE_CLASS}¬‐]"), F.regexp_replace(F.regexp_replace(t, r"[-‐¬­]\n\s*", ""), f"[\\p{{M}}{INVISIBLE_CLASS}¬]", "")).otherwise(F.regexp_replace(t, r"-\n\s*", ""))
     return F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda w: w != "")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import components, leaks, linkage, oneform, packing, quality, sentences, survivor
+from . import components, leaks, linkage, names, oneform, packing, quality, sentences, survivor
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -44,6 +44,18 @@ def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivors(table(spark, d, "field_claim"))
 
 
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    return names.author_names(table(spark, d, "graph_work"), table(spark, d, "openalex_work"), table(spark, d, "bibliography_entry"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.pairs(names.resolve(_names(spark, d)))
+
+
+def p6_entities(spark: SparkSession, d: str) -> DataFrame:
+    return names.resolve(_names(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return linkage.matches(table(spark, d, "title_query"), table(spark, d, "bibliography_entry")).select("query_id", "entry_id")
 
@@ -76,7 +88,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.statistics(table(spark, d, "documents"))
 
 
-ALL = [p1_found, p1_sentences, p2_found, p2_groups, p4_found, p5_found, p5_survivors, p7_found, p7_matches, p8_pack, p8_fill, p9_found, p10_found, p10_types, p10_statistics]
+ALL = [p1_found, p1_sentences, p2_found, p2_groups, p4_found, p5_found, p5_survivors, p6_found, p6_entities, p7_found, p7_matches, p8_pack, p8_fill, p9_found, p10_found, p10_types, p10_statistics]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -23,6 +23,7 @@ COMMON = (
     "el los las y una es no se por con para su al del como más según en que o lo esta este "
     "и в не на что с по из за от для при его это как к о у до"
 ).split()
+KNOWN = sorted(set(COMMON))
 PROSE, JUNK, NONE = 1, 0, 2
 EM_ROUNDS = 60
 #: A line this much shorter than the document's longest is no full line of hard-wrapped text.
@@ -41,8 +42,7 @@ def line_votes(line: Column) -> list[tuple[str, Column]]:
     size = F.length(line)
     share = lambda p: F.length(F.regexp_replace(line, p, "")) / size  # noqa: E731  share of characters outside the class p
     word = F.filter(F.split(F.lower(line), r"[^\p{L}\p{M}’'-]+"), lambda w: w != "")
-    known = F.array(*map(F.lit, sorted(set(COMMON))))
-    common = F.size(F.filter(word, lambda w: F.array_contains(known, w))) / F.greatest(F.size(word), F.lit(1))
+    common = F.size(F.filter(word, lambda w: w.isin(*KNOWN))) / F.greatest(F.size(word), F.lit(1))
     cjk = line.rlike(r"[぀-ヿ㐀-鿿]")
     letters = 1 - share(r"\p{L}")
     return [
@@ -139,7 +139,6 @@ def statistics(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x) != "")
     n = F.length(t)
     per = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    known = F.array(*map(F.lit, sorted(set(COMMON))))
     return docs.select(
         "doc_id",
         F.when(t.isNotNull(), F.size(word)).cast("bigint").alias("n_words"),
@@ -148,5 +147,5 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.round(per(F.length(F.regexp_replace(t, r"[^0-9]", "")), n), 6).alias("digit_ratio"),
         F.when(t.isNotNull(), F.size(lines)).cast("bigint").alias("n_lines"),
         F.round(per(F.size(F.filter(lines, lambda x: x.rlike(r"[.!?。！？]\s*$"))), F.size(lines)), 6).alias("punctuated_share"),
-        F.round(per(F.size(F.filter(word, lambda w: F.array_contains(known, F.lower(w)))), F.size(word)), 6).alias("common_share"),
+        F.round(per(F.size(F.filter(word, lambda w: F.lower(w).isin(*KNOWN))), F.size(word)), 6).alias("common_share"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import components, leaks, linkage, names, oneform, packing, quality, sentences, survivor
+from . import components, leaks, linkage, names, ocr, oneform, packing, quality, sentences, survivor
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,6 +27,14 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return oneform.groups(oneform.records_of(table(spark, d, "reading_token"), table(spark, d, "citation_mention")))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.noise(table(spark, d, "reading_index"))
+
+
+def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.repaired(table(spark, d, "reading_index"))
+
+
 def _linked(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "work_identifier").where("(status is null or status <> 'retracted') and value_normalized <> ''")
     return components.links_by_key(rows, ["scheme", "value_normalized"], "work_id")
@@ -88,7 +96,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.statistics(table(spark, d, "documents"))
 
 
-ALL = [p1_found, p1_sentences, p2_found, p2_groups, p4_found, p5_found, p5_survivors, p6_found, p6_entities, p7_found, p7_matches, p8_pack, p8_fill, p9_found, p10_found, p10_types, p10_statistics]
+ALL = [p1_found, p1_sentences, p2_found, p2_groups, p3_found, p3_repaired, p4_found, p5_found, p5_survivors, p6_found, p6_entities, p7_found, p7_matches, p8_pack, p8_fill, p9_found, p10_found, p10_types, p10_statistics]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -112,7 +112,7 @@ def a17_count_resolution(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "citation_mention").groupBy(F.coalesce("style", F.lit("unknown")).alias("method")).agg(F.count("*").alias("mentions"), F.count("entry_id").alias("resolved"))
 
 
-@query("with s as (select confidence, count(*) as n, count(*) filter (where review_state = 'accepted') as k from field_claim group by confidence) select confidence, n, k, round((k / n + 1.9207 / n - 1.96 * sqrt((k / n * (1 - k / n) + 0.9604 / n) / n)) / (1 + 3.8416 / n), 6) as low, round((k / n + 1.9207 / n + 1.96 * sqrt((k / n * (1 - k / n) + 0.9604 / n) / n)) / (1 + 3.8416 / n), 6) as high from s")
+@query("with s as (select confidence, count(*) as n, count(*) filter (where review_state = 'accepted') as k from field_claim group by confidence) select confidence, n, k, round((k / n + 1.9208 / n - 1.96 * sqrt((k / n * (1 - k / n) + 0.9604 / n) / n)) / (1 + 3.8416 / n), 6) as low, round((k / n + 1.9208 / n + 1.96 * sqrt((k / n * (1 - k / n) + 0.9604 / n) / n)) / (1 + 3.8416 / n), 6) as high from s")
 def a19_wilson(spark: SparkSession, d: str) -> DataFrame:
     """Share of accepted claims per confidence with its 95 % Wilson interval."""
     s = table(spark, d, "field_claim").groupBy("confidence").agg(F.count("*").alias("n"), F.count_if(F.col("review_state") == "accepted").alias("k"))

@@ -79,14 +79,14 @@ def j09_collect_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.lit("references").alias("direction"), F.col("citing").alias("center"), F.col("cited").alias("neighbor")).unionByName(e.select(F.lit("citations").alias("direction"), F.col("cited").alias("center"), F.col("citing").alias("neighbor")))
 
 
-REDIRECTS = "pairs as (select work_id as src, lead(work_id) over (partition by scheme, value_normalized order by work_id) as dst from (select distinct scheme, value_normalized, work_id from work_identifier where status = 'active' and value_normalized <> '' and work_id is not null and scheme is not null) t), one as (select src, max(dst) as dst from pairs where dst is not null group by src)"
+REDIRECTS = "pairs as (select work_id as src, lead(work_id) over (partition by scheme, value_normalized order by work_id) as dst from (select distinct scheme, value_normalized, work_id from work_identifier where status <> 'retracted' and value_normalized <> '' and work_id is not null and scheme is not null) t), one as (select src, max(dst) as dst from pairs where dst is not null group by src)"
 
 
 @query(f"""with recursive {REDIRECTS}, walk as (select src, dst as place, 1 as hops from one union all select w.src, o.dst, w.hops + 1 from walk w join one o on w.place = o.src where w.hops < 8)
  select src as "old", arg_max(place, hops) as target, cast(max(hops) as int) as hops from walk group by src""")
 def j11_resolve_redirect(spark: SparkSession, d: str) -> DataFrame:
     """Where chains of redirects lead within eight hops: three rounds of pointer doubling."""
-    rows = table(spark, d, "work_identifier").where("status = 'active' and value_normalized <> '' and work_id is not null and scheme is not null").select("scheme", "value_normalized", "work_id").distinct()
+    rows = table(spark, d, "work_identifier").where("status <> 'retracted' and value_normalized <> '' and work_id is not null and scheme is not null").select("scheme", "value_normalized", "work_id").distinct()
     nxt = rows.withColumn("new", F.lead("work_id").over(Window.partitionBy("scheme", "value_normalized").orderBy("work_id"))).where("new is not null")
     return traversal.resolve_redirects(nxt.groupBy(F.col("work_id").alias("old")).agg(F.max("new").alias("new")), hops=8)
 

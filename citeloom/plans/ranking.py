@@ -35,8 +35,8 @@ def _signals(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "title", "year", "mark", "tag", zero("citing"), F.when(F.col("num") % 7 != 0, F.col("num") * 3).cast("bigint").alias("global_count"), F.coalesce("here", F.lit(False)).alias("local"), zero("mentions"), zero("methods"), zero("backgrounds"))
 
 
-SCORED = SIGNALS + f""", parts as (select *, least(1.0, ln(1 + citing) / ln(9.0)) as c_degree, least(1.0, ln(1 + global_count) / ln(10.0) / 5) as c_global, case when "local" then 1.0 else 0.0 end as c_local, least(1.0, ln(1 + mentions) / ln(11.0)) as c_mentions,
-   case when methods > 0 then 1.0 when backgrounds > 0 then 0.3 end as c_role, exp(-greatest(0, {THIS_YEAR} - year) / 15.0) as c_recency from signals),
+SCORED = SIGNALS + f""", parts as (select *, least(1.0, ln(1 + citing) / ln(9.0)) as c_degree, least(1.0, ln(1 + global_count) / ln(10.0) / 5) as c_global, case when "local" then 1.0::double else 0.0::double end as c_local, least(1.0, ln(1 + mentions) / ln(11.0)) as c_mentions,
+   case when methods > 0 then 1.0::double when backgrounds > 0 then 0.3::double end as c_role, exp(-greatest(0, {THIS_YEAR} - year) / 15.0) as c_recency from signals),
  scored as (select *, floor(greatest(0.0, least(1.0, (0.30 * c_degree + coalesce(0.25 * c_global, 0) + 0.15 * c_local + 0.10 * c_mentions + coalesce(0.10 * c_role, 0) + coalesce(0.10 * c_recency, 0))
    / (0.55 + case when c_global is not null then 0.25 else 0 end + case when c_role is not null then 0.10 else 0 end + case when c_recency is not null then 0.10 else 0 end))) * 10000 + 0.5) / 10000 as score,
    case mark when 'pinned' then 0 when 'downplayed' then 2 when 'hidden' then 3 else 1 end as mark_rank, lower(title) as title_key from parts)"""

@@ -4,12 +4,16 @@ Method: every line of a text gets votes from labelling functions, each a thresho
 no vote). The functions' accuracies are learned without labels by expectation-maximization on how often they agree, over
 the counts of all vote patterns of the whole corpus (at most 3 to the power of the number of functions, however many
 lines there are). Each line's posterior then makes its characters prose or not, and a document is prose if at least half
-of its characters are. All statistics are SQL expressions; only pattern counts and function accuracies reach the driver.
+of its characters are. Only pattern counts and function accuracies reach the driver.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,68 +27,101 @@ COMMON = (
     "el los las y una es no se por con para su al del como más según en que o lo esta este "
     "и в не на что с по из за от для при его это как к о у до"
 ).split()
-KNOWN = sorted(set(COMMON))
+KNOWN = frozenset(COMMON)
 PROSE, JUNK, NONE = 1, 0, 2
 EM_ROUNDS = 60
-#: A line this much shorter than the document's longest is no full line of hard-wrapped text.
-WRAPPED = 0.7
-
-
-def vote(prose: Column | None, junk: Column | None) -> Column:
-    out = F.lit(NONE)
-    if prose is not None:
-        out = F.when(prose, F.lit(PROSE)).otherwise(out)
-    return F.when(junk, F.lit(JUNK)).otherwise(out) if junk is not None else out
-
-
-def line_votes(line: Column) -> list[tuple[str, Column]]:
-    """Labelling functions of one line (not blank)."""
-    size = F.length(line)
-    share = lambda p: F.length(F.regexp_replace(line, p, "")) / size  # noqa: E731  share of characters outside the class p
-    word = F.filter(F.split(F.lower(line), r"[^\p{L}\p{M}’'-]+"), lambda w: w != "")
-    common = F.size(F.filter(word, lambda w: w.isin(*KNOWN))) / F.greatest(F.size(word), F.lit(1))
-    cjk = line.rlike(r"[぀-ヿ㐀-鿿]")
-    letters = 1 - share(r"\p{L}")
-    return [
-        ("common_words", vote((common >= 0.12) & (F.size(word) >= 4), ~cjk & ((common == 0) | (F.size(word) < 2)))),
-        ("letters", vote(letters >= 0.72, letters < 0.6)),
-        ("digits", vote(None, share(r"[0-9]") < 0.8)),
-        ("symbols", vote(None, share(r"[|&;\\{}_^=+*/<>#@~$%\t\[\]]") < 0.93)),
-        ("ending", vote(line.rlike(r"[.!?;:,。！？；：，…।؟][\"'”’»」』）)\]]*\s*$"), line.rlike(r"(\d|[|>&]|\.{3,}\s*\d*)\s*$"))),
-        ("start", vote(None, line.rlike(r"^\s*(\[\d+\]|\(?[0-9ivx]{1,5}[).]\s|\(?[a-z]\)\s|[-–—*•·▪◦]\s|\d+(\.\d+)+\s|[|&])"))),
-        ("spacing", vote(None, line.rlike(r"\t|\S {3,}\S|\.{4,}|( ?& ?[^&]*){3,}|(;[^;]*){4,}|(,[^, ]*){3,}"))),
-        ("reference", vote(None, line.rlike(r"(19|20)\d\d[,;.)].*\d+\s*[-–:]\s*\d+|\d+\(\d+\)|, \d+(, \d+)*\s*$"))),
-        ("word_shape", vote(None, ~cjk & (line.rlike(r"[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ]{6,}|\S{45,}|[a-z][A-Z0-9][a-z0-9]?[A-Z]")))),
-        ("length", vote(F.when(cjk, size >= 12).otherwise(F.size(word) >= 8), F.when(cjk, size < 9).otherwise(F.size(word) <= 3))),
-    ]
 
 
-FUNCTIONS = ["common_words", "letters", "digits", "symbols", "ending", "start", "spacing", "reference", "word_shape", "length", "sentence", "repeated"]
+WORDS = re.compile(r"[^\W\d_]+(?:[’'-]+[^\W\d_]+)*")
+CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
+SYMBOLS = "|&;\\{}_^=+*/<>#@~$%\t[]"
+END_PROSE = re.compile(r"[.!?;:,。！？；：，…।؟][\"'”’»」』）)\]]*\s*$")
+END_JUNK = re.compile(r"(?:\d|[|>&]|\.{3,}\s*\d*)\s*$")
+START_JUNK = re.compile(r"\s*(?:\[\d+\]|\(?[0-9ivx]{1,5}[).]\s|\(?[a-z]\)\s|[-–—*•·▪◦]\s|\d+(?:\.\d+)+\s|[|&])")
+COMMAS = re.compile(r"(?:,[^, ]*){3}")
+APART = re.compile(r"\S {3,}\S")
+DIGIT = re.compile(r"\d")
+REFERENCE = re.compile(r"(?:19|20)\d\d[,;.)].*\d+\s*[-–:]\s*\d+|\d\(\d+\)|, \d+(?:, \d+)*\s*$")
+SHAPE = re.compile(r"[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ]{6}|\S{45}|[a-z][A-Z0-9][a-z0-9]?[A-Z]")
+SENTENCE_END = re.compile(r"[.!?।؟…](?<=[^\W\d_]{2}.)[”\"»’)\]]*(?:\s+[^\Wa-zß-öø-ÿа-яё_]|\s+[«“\"„¿¡(]|\s*$)|[。！？]")
+BLANK = re.compile(r"\n[ \t]*\n")
+
+
+def spaced(x: str) -> bool:
+    """Whether a line is set in columns or fields: tabs, wide gaps, dot leaders, or many separators."""
+    return "\t" in x or "...." in x or ("   " in x and APART.search(x) is not None) or x.count("&") >= 3 or x.count(";") >= 4 or (x.count(",") >= 3 and COMMAS.search(x) is not None)
+
+
+def line_votes(x: str) -> tuple[int, ...]:
+    """The votes of the ten labelling functions that look at one line alone."""
+    n = len(x)
+    words = WORDS.findall(x)
+    k = len(words)
+    common = sum(w in KNOWN for w in map(str.lower, words))
+    cjk = not x.isascii() and CJK.search(x) is not None
+    letters = sum(map(len, words)) / n
+    digit = DIGIT.search(x) is not None
+    digits = sum(map(str.isdigit, x)) if digit and letters < 0.8 else 0
+    symbols = sum(map(x.count, SYMBOLS)) if letters < 0.9 else 0
+    return (
+        PROSE if common >= 0.12 * k and k >= 4 else JUNK if not cjk and (common == 0 or k < 2) else NONE,
+        PROSE if letters >= 0.72 else JUNK if letters < 0.6 else NONE,
+        JUNK if digits > 0.2 * n else NONE,
+        JUNK if symbols > 0.07 * n else NONE,
+        JUNK if END_JUNK.search(x, max(0, n - 200)) else PROSE if END_PROSE.search(x, max(0, n - 40)) else NONE,
+        JUNK if START_JUNK.match(x) else NONE,
+        JUNK if spaced(x) else NONE,
+        JUNK if digit and REFERENCE.search(x) else NONE,
+        JUNK if not cjk and not common and SHAPE.search(x) else NONE,
+        (PROSE if n >= 12 else JUNK if n < 9 else NONE) if cjk else PROSE if k >= 8 else JUNK if k <= 3 else NONE,
+    )
 
 
-def documents_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pattern array, size array): the votes of each line that isn't blank, as one number in base 3, and its length.
+def text_patterns(text: str) -> tuple[list[int], list[int]]:
+    """Vote pattern (a number in base 3) and length of each line that isn't blank.
 
-    Two functions look beyond the line: sentence (the paragraph around it has, per 400 characters, an end of a sentence
-    that is followed by the start of another or by its end) and repeated (a line equal to most others of its document).
+    Two more functions look at the paragraph around a line: sentence (one end of a sentence, followed by the start of
+    another or by the paragraph's end, in 400 characters is enough; none is not) and repeated (half of more than three
+    lines are copies of others).
     """
-    text = F.col("text")
-    # a paragraph is cut where a blank line stands; its sentence vote holds for all of its lines
-    para = F.filter(F.split(text, r"\n[ \t]*\n"), lambda p: F.length(F.trim(p)) > 0)
+    patterns, sizes = [], []
+    for block in BLANK.split(text):
+        lines = [x for x in block.split("\n") if x.strip(" ")]
+        if not lines or not block.strip(" "):
+            continue
+        ends = sum(1 for _ in SENTENCE_END.finditer(block))
+        sentence = JUNK if not ends else PROSE if ends * 400 >= len(block) else NONE
+        repeated = JUNK if len(lines) > 3 and len(set(lines)) * 2 <= len(lines) else NONE
+        above = sentence * 3**10 + repeated * 3**11
+        known: dict[str, int] = {}
+        for x in lines:
+            if x not in known:
+                known[x] = sum(v * 3**i for i, v in enumerate(line_votes(x))) + above
+            patterns.append(known[x])
+            sizes.append(len(x))
+    return patterns, sizes
+
+
+FUNCTIONS = ["common_words", "letters", "digits", "symbols", "ending", "start", "spacing", "reference", "word_shape", "length", "sentence", "repeated"]
 
-    def lines_of(p: Column) -> Column:
-        ends = F.regexp_count(p, F.lit(r"\p{L}{2}[”\"»’)\]]*[.!?।؟…][”\"»’)\]]*(\s+[\p{Lu}\p{Lo}«“\"„¿¡(\d]|\s*$)|[。！？]"))
-        enough = ends * F.lit(400) >= F.length(p)
-        lines = F.filter(F.split(p, "\n"), lambda x: F.length(F.trim(x)) > 0)
-        repeated = F.size(F.array_distinct(lines)) * 2 <= F.size(lines)
 
-        def pattern(x: Column) -> Column:
-            votes = [v for _, v in line_votes(x)] + [vote(enough, ends == 0), vote(None, repeated & (F.size(lines) > 3))]
-            return sum((v * F.lit(3**i) for i, v in enumerate(votes)), F.lit(0)).cast("int")
+def documents_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line array of (p, n)): the vote pattern and length of each line of the text.
+
+    The votes are computed on Arrow batches: the same thresholds as SQL expressions took three times the CPU time, as
+    each of a dozen patterns then converts every line and runs interpreted.
+    """
 
-        return F.transform(lines, lambda x: F.struct(pattern(x).alias("p"), F.length(x).alias("n")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [text_patterns(t) for t in batch.column(1).to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(p) for p, _ in found])]).astype(np.int32)
+            flat = lambda k: pa.array([v for x in found for v in x[k]], pa.int32())  # noqa: E731, B023
+            lines = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([flat(0), flat(1)], ["p", "n"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lines], ["doc_id", "line"])
 
-    return docs.select("doc_id", F.flatten(F.transform(para, lines_of)).alias("line"))
+    rows = docs.select("doc_id", "text")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, line array<struct<p:int,n:int>>")
 
 
 def learn(counts: dict[int, int]) -> tuple[np.ndarray, float]:
@@ -147,5 +184,5 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.round(per(F.length(F.regexp_replace(t, r"[^0-9]", "")), n), 6).alias("digit_ratio"),
         F.when(t.isNotNull(), F.size(lines)).cast("bigint").alias("n_lines"),
         F.round(per(F.size(F.filter(lines, lambda x: x.rlike(r"[.!?。！？]\s*$"))), F.size(lines)), 6).alias("punctuated_share"),
-        F.round(per(F.size(F.filter(word, lambda w: F.lower(w).isin(*KNOWN))), F.size(word)), 6).alias("common_share"),
+        F.round(per(F.size(F.filter(word, lambda w: F.lower(w).isin(*sorted(KNOWN)))), F.size(word)), 6).alias("common_share"),
     )

@@ -1 +1,163 @@
-"""Queries."""
+"""Matching references to works."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import matching as M
+from ..operators.topk import top_k
+from ..session import table
+from .catalog import query
+
+# Titles are blocked by their first author and year or by title head, so no title meets all others.
+PAIRS = r"""w as (select id, lower(display_title) as t, display_year as y, lower(string_split(trim(string_split(display_authors[1], ',')[1]), ' ')[-1]) as a from graph_work where display_title is not null),
+ q as (select query_id, lower(title) as t, "year" as y, lower(string_split(trim(string_split(first_author, ',')[1]), ' ')[-1]) as a from title_query where title is not null),
+ p as (select q.query_id, w.id, q.t as qt, w.t as wt, q.y as qy, w.y as wy from q join w on substr(q.t, 1, 16) = substr(w.t, 1, 16))"""
+
+
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Queries and works whose titles begin alike."""
+    w = table(spark, d, "graph_work").where("display_title is not null").select("id", F.lower("display_title").alias("wt"), F.col("display_year").alias("wy"))
+    q = table(spark, d, "title_query").where("title is not null").select("query_id", F.lower("title").alias("qt"), F.col("year").alias("qy"))
+    return q.withColumn("k", F.left("qt", F.lit(16))).join(w.withColumn("k", F.left("wt", F.lit(16))), "k").drop("k")
+
+
+GRAMS = r"""g as (select query_id, id, qt, wt, list_transform(range(1, length(qt) + 3), lambda i: substr(chr(1) || chr(1) || qt || chr(1) || chr(1), i, 3)) as a, list_transform(range(1, length(wt) + 3), lambda i: substr(chr(1) || chr(1) || wt || chr(1) || chr(1), i, 3)) as b from p),
+ n as (select query_id, id, qt, wt, len(a) + len(b) as size, list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))) as common from g)"""
+
+
+@query(rf"with {PAIRS}, {GRAMS} select query_id, id, round(case when qt = wt then 1.0::double else 2.0 * common / size end, 6) as similarity from n")
+def m01_title_similarity(spark: SparkSession, d: str) -> DataFrame:
+    return pairs(spark, d).select("query_id", "id", F.round(M.title_similarity(F.col("qt"), F.col("wt")), 6).alias("similarity"))
+
+
+@query("select id, length(display_title) + 2 as grams from graph_work where display_title <> ''")
+def m02_trigrams(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "graph_work").where("display_title <> ''").select("id", F.size(M.trigrams(F.col("display_title"))).cast("bigint").alias("grams"))
+
+
+SCORES = rf"""{PAIRS}, {GRAMS}, s as (select p.query_id, p.id, case when n.qt = n.wt then 1.0::double else 2.0 * n.common / n.size end as title, case abs(p.qy - p.wy) when 0 then 1.0::double when 1 then 0.7::double when 2 then 0.3::double else case when p.qy is not null and p.wy is not null then 0.0::double end end as y from p join n using (query_id, id)),
+ sc as (select query_id, id, title, floor(((0.62 * title + coalesce(0.10 * y, 0)) / (0.62 + case when y is null then 0 else 0.10 end)) * 1000000 + 0.5) / 1000000 as total from s)"""
+
+
+def scores(spark: SparkSession, d: str) -> DataFrame:
+    title = M.title_similarity(F.col("qt"), F.col("wt"))
+    rows = pairs(spark, d).select("query_id", "id", title.alias("title"), M.year_agreement(F.col("qy"), F.col("wy")).alias("y"))
+    total = M.weighted_mean([(F.col("title"), M.SCORE["title"]), (F.col("y"), M.SCORE["year"])])
+    return rows.select("query_id", "id", "title", (F.floor(total * 1000000 + 0.5) / 1000000).alias("total"))
+
+
+@query(f"with {SCORES} select query_id, id, total from sc")
+def m03_score_candidate(spark: SparkSession, d: str) -> DataFrame:
+    return scores(spark, d).select("query_id", "id", "total")
+
+
+@query(f"""with {SCORES}, r as (select *, row_number() over (partition by query_id order by total desc, id) as n, lead(total) over (partition by query_id order by total desc, id) as second from sc)
+ select query_id, id, case when title < 0.55 then 'rejected' when total < 0.45 then 'rejected' when total >= 0.72 and (second is null or total - second >= 0.06) then 'accepted' else 'ambiguous' end as verdict from r where n = 1""")
+def m04_decide(spark: SparkSession, d: str) -> DataFrame:
+    """Accept the best candidate above the floors if it leads clearly; the two best come from a two-level top-k."""
+    best = top_k(scores(spark, d), ["query_id"], [F.desc("total"), F.asc("id")], 2, "id")
+    two = best.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.struct("id", "title", "total"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.col("total"))).alias("second"))
+    clear = F.col("second").isNull() | (F.col("a.total") - F.col("second") >= M.LEAD)
+    verdict = F.when((F.col("a.title") < M.TITLE_FLOOR) | (F.col("a.total") < M.TOTAL_FLOOR), "rejected").when((F.col("a.total") >= M.ACCEPT) & clear, "accepted").otherwise("ambiguous")
+    return two.select("query_id", "a.id", verdict.alias("verdict"))
+
+
+@query("select e.id, case when e.fields ->> '$.doi.value' is null then 'unknown' when o.openalex_id is not null then 'match' else 'conflict' end as agreement from bibliography_entry e left join openalex_work o on o.doi = e.fields ->> '$.doi.value'")
+def m05_identifier_agreement(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "openalex_work").where("doi is not null").select(F.col("doi").alias("k"), F.lit(True).alias("hit"))
+    e = table(spark, d, "bibliography_entry").select("id", F.get_json_object("fields", "$.doi.value").alias("k"))
+    return e.join(o, "k", "left").select("id", F.when(F.col("k").isNull(), "unknown").when(F.col("hit"), "match").otherwise("conflict").alias("agreement"))
+
+
+FAMILY = "list_distinct(list_transform({}, lambda x: lower(string_split(trim(string_split(trim(x), ',')[1]), ' ')[-1])))"
+
+
+@query(f"""with p as (select g.id, o.openalex_id, {FAMILY.format('g.display_authors')} as a, {FAMILY.format('o.authors')} as b from graph_work g join openalex_work o on lower(o.title) = lower(g.display_title))
+ select id, openalex_id, case when len(a) > 0 and len(b) > 0 then round(2.0 * len(list_intersect(a, b)) / (len(a) + len(b)), 6) end as overlap from p""")
+def m06_family_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Shared family names of works and records with one title."""
+    from ..functions.text import family_name
+
+    names = lambda c: F.array_distinct(F.transform(c, lambda x: family_name(F.trim(x))))
+    g = table(spark, d, "graph_work").select("id", F.lower("display_title").alias("k"), names("display_authors").alias("a"))
+    o = table(spark, d, "openalex_work").select("openalex_id", F.lower("title").alias("k"), names("authors").alias("b"))
+    return g.join(o, "k").select("id", "openalex_id", F.round(M.family_overlap(F.col("a"), F.col("b")), 6).alias("overlap"))
+
+
+@query(f"with {PAIRS} select query_id, id, case abs(qy - wy) when 0 then 1.0::double when 1 then 0.7::double when 2 then 0.3::double else case when qy is not null and wy is not null then 0.0::double end end as agreement, coalesce(abs(qy - wy) <= 2, true) as compatible from p")
+def m07_year_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return pairs(spark, d).select("query_id", "id", M.year_agreement(F.col("qy"), F.col("wy")).alias("agreement"), M.year_compatible(F.col("qy"), F.col("wy")).alias("compatible"))
+
+
+@query("with q as (select query_id, lower(trim(title)) as k, \"year\" as y from title_query where title is not null), w as (select id, lower(trim(display_title)) as k, display_year as y from graph_work where display_title is not null) select q.query_id, count(w.id) as works, min(w.id) as first_id from q join w on w.k = q.k and (q.y is null or w.y is null or abs(q.y - w.y) <= 1) group by q.query_id")
+def m11_lookup_entry(spark: SparkSession, d: str) -> DataFrame:
+    """Exact title keys within a year of each other."""
+    q = table(spark, d, "title_query").where("title is not null").select("query_id", F.lower(F.trim("title")).alias("k"), F.col("year").alias("y"))
+    w = table(spark, d, "graph_work").where("display_title is not null").select("id", F.lower(F.trim("display_title")).alias("k"), F.col("display_year").alias("y2"))
+    return q.join(w, "k").where("y is null or y2 is null or abs(y - y2) <= 1").groupBy("query_id").agg(F.count("id").alias("works"), F.min("id").alias("first_id"))
+
+
+@query(r"with p as (select query_id, list_distinct(regexp_extract_all(lower(q.title), '[a-z]{2,}')) as w, regexp_extract_all(lower(g.display_title), '[a-z]{2,}') as h, g.id from title_query q join graph_work g on substr(lower(q.title), 1, 16) = substr(lower(g.display_title), 1, 16)) select query_id, id, case when len(w) >= 3 then len(list_intersect(w, h)) / len(w) >= 0.8 end as appears from p")
+def m17_title_appears_in(spark: SparkSession, d: str) -> DataFrame:
+    words = lambda c: F.regexp_extract_all(c, F.lit("([a-z]{2,})"), F.lit(1))
+    return pairs(spark, d).select("query_id", "id", (M.words_found(words(F.col("qt")), words(F.col("wt"))) >= 0.8).alias("appears"))
+
+
+@query("with k as (select work_id, field, id, lower(trim(value)) as v from field_claim where value is not null) select work_id, field, v, count(*) as claims from k group by all having count(*) > 1")
+def m18_values_agree(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "field_claim").where("value is not null").groupBy("work_id", "field", F.lower(F.trim("value")).alias("v")).agg(F.count("*").alias("claims")).where("claims > 1")
+
+
+@query(r"with p as (select query_id, g.id, regexp_extract_all(lower(q.title), '[a-z]{2,}') as a, regexp_extract_all(lower(g.display_title), '[a-z]{2,}') as b from title_query q join graph_work g on substr(lower(q.title), 1, 16) = substr(lower(g.display_title), 1, 16)), n as (select *, coalesce(list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))), 0) as c from p) select query_id, id, round(case when c > 0 then 2.0 * c / (len(a) + len(b)) else 0.0::double end, 6) as f1 from n")
+def m23_token_f1(spark: SparkSession, d: str) -> DataFrame:
+    words = lambda c: F.regexp_extract_all(c, F.lit("([a-z]{2,})"), F.lit(1))
+    return pairs(spark, d).select("query_id", "id", F.round(M.token_f1(words(F.col("qt")), words(F.col("wt"))), 6).alias("f1"))
+
+
+@query("with p as (select a.paper_id, x.p.page_number as n, x.p.text_start as lo, x.p.text_end as hi from reading_index a, unnest(a.pages) as x(p)), s as (select paper_id, n, lo, hi, lead(lo) over (partition by paper_id order by n) as lo2, lead(hi) over (partition by paper_id order by n) as hi2 from p) select paper_id, n, round(greatest(0, least(hi, hi2) - greatest(lo, lo2) + 1) / (greatest(hi, hi2) - least(lo, lo2) + 1), 6) as iou from s where lo2 is not null")
+def m26_interval_iou(spark: SparkSession, d: str) -> DataFrame:
+    """Overlap of each page with the next; pages of one paper are at most a few thousand."""
+    from ..operators.metrics import interval_iou
+
+    rows = table(spark, d, "reading_index").select("paper_id", F.explode("pages").alias("p")).select("paper_id", F.col("p.page_number").alias("n"), F.col("p.text_start").alias("lo"), F.col("p.text_end").alias("hi"))
+    nxt = rows.select("paper_id", (F.col("n") - 1).alias("n"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    return rows.join(nxt, ["paper_id", "n"]).select("paper_id", "n", F.round(interval_iou("lo", "hi", "lo2", "hi2"), 6).alias("iou"))
+
+
+@query()
+def m27_align(spark: SparkSession, d: str) -> DataFrame:
+    """Where each printed marker's passage stands in its own document's other passages: least word edits with free ends."""
+    from ..operators.alignment import align
+
+    rows = table(spark, d, "bibliography_entry").where("raw_text is not null").select("id", F.lower(F.get_json_object("fields", "$.title.value")).alias("needle"), F.lower("raw_text").alias("hay")).where("needle is not null")
+    return rows.select("id", align("needle", "hay").alias("a")).select("id", "a.distance", "a.words")
+
+
+@query("select id, case when instr(raw_text, fields ->> '$.title.value') > 0 then 'verbatim' when instr(regexp_replace(lower(raw_text), '[^a-z0-9]', '', 'g'), regexp_replace(lower(fields ->> '$.title.value'), '[^a-z0-9]', '', 'g')) > 0 then 'normalized' else 'missing' end as verdict from bibliography_entry where fields ->> '$.title.value' is not null")
+def m29_verify_quote(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the parsed title stands in the printed entry as it is, or by its letters and digits alone."""
+    t = F.get_json_object("fields", "$.title.value")
+    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    rows = table(spark, d, "bibliography_entry").withColumn("t", t).where("t is not null")
+    return rows.select("id", F.when(F.instr(F.col("raw_text"), F.col("t")) > 0, "verbatim").when(F.instr(bare("raw_text"), bare("t")) > 0, "normalized").otherwise("missing").alias("verdict"))
+
+
+@query("select id, case when passage is null then 'no passage' when instr(passage, marker_text) = 0 then 'not in passage' when marker_end - marker_start <> length(marker_text) then 'wrong span' else 'grounded' end as state from citation_mention where marker_text is not null")
+def m31_ground_quote(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a quote stands in the passage it names; the first reason against it."""
+    rows = table(spark, d, "citation_mention").where("marker_text is not null")
+    state = F.when(F.col("passage").isNull(), "no passage").when(F.instr("passage", F.col("marker_text")) == 0, "not in passage").when(F.col("marker_end") - F.col("marker_start") != F.length("marker_text"), "wrong span").otherwise("grounded")
+    return rows.select("id", state.alias("state"))
+
+
+@query("select id, instr(passage, marker_text) - 1 as place from citation_mention where passage is not null and marker_text <> '' and instr(passage, marker_text) > 0")
+def m32_locate_quote(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "citation_mention").where("passage is not null and marker_text <> ''").select("id", (F.instr("passage", F.col("marker_text")) - 1).cast("bigint").alias("place")).where("place >= 0")
+
+
+@query("select id, coalesce(fields ->> '$.authors.confidence', 'missing') <> 'explicit' or coalesce(fields ->> '$.year.confidence', 'missing') <> 'explicit' as needs from bibliography_entry")
+def m46_needs_model(spark: SparkSession, d: str) -> DataFrame:
+    weak = lambda n: F.coalesce(F.get_json_object("fields", f"$.{n}.confidence"), F.lit("missing")) != "explicit"
+    return table(spark, d, "bibliography_entry").select("id", (weak("authors") | weak("year")).alias("needs"))

@@ -10,7 +10,7 @@ from ..session import table
 from .catalog import query
 
 
-@query("select sha256(text) as sha, length(encode(text)) as bytes, count(*) as copies from documents where text is not null group by 1, 2")
+@query("select sha256(text) as sha, strlen(text) as bytes, count(*) as copies from documents where text is not null group by 1, 2")
 def s02_hash_file(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").groupBy(F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("bigint").alias("bytes")).agg(F.count("*").alias("copies"))
 

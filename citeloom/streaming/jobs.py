@@ -25,10 +25,9 @@ def within_budget(events: DataFrame, group: str, order: list[str], cost: str, bu
     Running sums in two levels: time is divided into ranges, their totals are summed first (few rows), and each range
     then sums its own events from its start, so a group of any size is spread over the ranges.
     """
-    at = order[0]
-    bounds = events.groupBy(group).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-    span = F.greatest(F.unix_micros("_hi") - F.unix_micros("_lo"), F.lit(1))
-    rows = events.join(bounds, group).withColumn("_part", F.floor((F.unix_micros(at) - F.unix_micros("_lo")) * parts / (span + 1)))
+    micros = F.unix_micros(F.col(order[0]).cast("timestamp"))
+    bounds = events.groupBy(group).agg(F.min(micros).alias("_lo"), F.max(micros).alias("_hi"))
+    rows = events.join(bounds, group).withColumn("_part", F.floor((micros - F.col("_lo")) * parts / (F.col("_hi") - F.col("_lo") + 1)))
     totals = rows.groupBy(group, "_part").agg(F.sum(cost).alias("_sum"))
     before = totals.select(group, "_part", (F.sum("_sum").over(Window.partitionBy(group).orderBy("_part")) - F.col("_sum")).alias("_before"))
     own = F.sum(cost).over(Window.partitionBy(group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(cost)

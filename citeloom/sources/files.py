@@ -15,7 +15,7 @@ CROSSREF = "DOI string, title array<string>, author array<struct<given:string,fa
 def library_files(spark: SparkSession, root: str, pattern: str = "*.{pdf,epub}", content: bool = False) -> DataFrame:
     """(relative_path, bytes, format) of the library's files; with content also sha256, which reads every file.
 
-    Hidden files and links are left out by the file source; rows come in no order.
+    Hidden files and files of no bytes are left out by the file source; rows come in no order.
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     path = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + root.rstrip("/").replace(".", r"\.") + "/", "")

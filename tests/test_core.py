@@ -136,10 +136,10 @@ def test_text_functions(spark):
 def test_sources(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x/a.pdf").write_bytes(b"abc")
-    (tmp_path / "b.epub").write_bytes(b"")
+    (tmp_path / "b.epub").write_bytes(b"x")
     (tmp_path / "c.txt").write_bytes(b"no")
     got = rows(files.library_files(spark, str(tmp_path), content=True))
-    assert [g[:3] for g in got] == [("b.epub", 0, "epub"), ("x/a.pdf", 3, "pdf")]
+    assert [g[:3] for g in got] == [("b.epub", 1, "epub"), ("x/a.pdf", 3, "pdf")]
     (tmp_path / "log.jsonl").write_text('{"stage": "a", "cost_usd": 1.5}\nbroken\n')
     assert files.json_lines(spark, str(tmp_path / "log.jsonl"), files.SPEND).count() == 1
     assert files.json_lines(spark, str(tmp_path / "none.jsonl"), files.SPEND).count() == 0

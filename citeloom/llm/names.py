@@ -79,7 +79,7 @@ def read(name: str) -> tuple[str, str, str, str]:
     else:
         words = text.split(" ")
         last = words[-1].replace(".", "")
-        if len(words) > 1 and re.fullmatch(r"[A-ZÀ-Þ]{1,3}", last) and not all(re.fullmatch(r"(\w\.?){1,3}", w) for w in words[:-1]):
+        if len(words) > 1 and re.fullmatch(r"[A-ZÀ-Þ]{1,3}", last) and not all("." in w or len(w) == 1 for w in words[:-1]):
             family, given = " ".join(words[:-1]), ". ".join(last) + "."
         else:
             family, given = words[-1], " ".join(words[:-1])

@@ -115,7 +115,7 @@ def shadow(text: Column) -> Column:
     first = "|".join(sorted(set(STARTERS)))
     t = _mask(t, f"(?<={start}\\p{{Lu}})(?<!(?<![\\p{{L}}])[ad]{m}\\s?C)(?<!J{m}-C)", f"(?={gap}\\p{{Lu}})(?!{gap}(?:{first})(?![\\p{{L}}.]))")
     # ordinals of German: one or two digits before a noun or month
-    german = F.regexp_count(text, F.lit("(?<![\\p{L}])(?:der|die|das|und|den|im|nach|vor)(?![\\p{L}])")) > F.regexp_count(text, F.lit("(?<![\\p{L}])(?:the|of|and|la|de|el|les|le)(?![\\p{L}])"))
+    german = F.regexp_count(text, F.lit("(?i)(?<![\\p{L}])(?:der|die|das|und|den|im|nach|vor|dem|ist|nicht)(?![\\p{L}])")) > F.regexp_count(text, F.lit("(?i)(?<![\\p{L}])(?:the|of|and|la|de|el|les|le)(?![\\p{L}])"))
     t = F.when(german, _mask(t, f"(?<={start}\\d{{1,2}})", f"(?={gap}\\p{{Lu}})(?!{gap}(?:{first})(?![\\p{{L}}]))")).otherwise(t)
     # an ellipsis or quoted end after which the sentence goes on
     go_on = f"{gap}\\p{{Ll}}"

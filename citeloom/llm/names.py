@@ -38,7 +38,7 @@ NICKNAMES = {
 ORGANISATION = {
     "university": "university", "univ": "university", "universitat": "university", "universidad": "university", "universite": "university", "institute": "institute", "inst": "institute", "institut": "institute",
     "oceanography": "oceanography", "oceanographic": "oceanography", "oceanogr": "oceanography", "statistics": "statistics", "statistical": "statistics", "stat": "statistics", "office": "office", "national": "national", "natl": "national",
-    "laboratory": "laboratory", "lab": "laboratory", "consortium": "consortium", "consort": "consortium", "citation": "citation", "cit": "citation", "society": "society", "soc": "society", "association": "association", "assoc": "association",
+    "laboratory": "laboratory", "lab": "laboratory", "consortium": "consortium", "consort": "consortium", "cons": "consortium", "citation": "citation", "cit": "citation", "society": "society", "soc": "society", "association": "association", "assoc": "association",
     "department": "department", "dept": "department", "center": "centre", "centre": "centre", "ctr": "centre", "academy": "academy", "acad": "academy", "college": "college", "coll": "college", "museum": "museum", "survey": "survey", "agency": "agency", "council": "council", "committee": "committee", "group": "group", "collaboration": "collaboration",
 }
 SMALL_WORDS = {"the", "of", "for", "and", "collab", "de", "la", "le", "du", "der", "die", "das", "fur", "et"}
@@ -49,11 +49,16 @@ RARER = 5
 FEW = 2
 
 
-def plain(s: str) -> str:
-    """Lower-case letters without accents; ae, oe, ue as the letters they stand for."""
+def letters(s: str) -> str:
+    """Lower-case letters without accents."""
     s = "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c))
     s = s.replace("ø", "o").replace("ß", "ss").replace("ł", "l").replace("đ", "d").replace("æ", "a").replace("œ", "o")
-    return re.sub(r"([aou])e", r"\1", re.sub(r"[^a-z぀-鿿Ѐ-ӿͰ-Ͽ؀-ۿऀ-ॿ]", "", s))
+    return re.sub(r"[^a-z぀-鿿Ѐ-ӿͰ-Ͽ؀-ۿऀ-ॿ]", "", s)
+
+
+def plain(s: str) -> str:
+    """A family name for comparison: its letters, with ae, oe, ue as the letters they stand for."""
+    return re.sub(r"([aou])e", r"\1", letters(s))
 
 
 def _org_word(w: str) -> str | None:
@@ -87,8 +92,8 @@ def read(name: str) -> tuple[str, str, str, str]:
     dotted = bool(re.match(r"^\s*\w{2,}\.", given))
     if tokens and len(tokens[0]) <= 3 and tokens[0].isupper() and "." not in given and len(tokens) == 1:
         tokens = list(tokens[0])
-    first = plain(tokens[0]) if tokens else ""
-    initials = "".join(plain(t)[:1] for t in tokens)
+    first = letters(tokens[0]) if tokens else ""
+    initials = "".join(letters(t)[:1] for t in tokens)
     return "person", plain(family), (first + "." if dotted else first) if len(first) > 1 else "", initials
 
 
@@ -176,9 +181,10 @@ def same_family(profiles: DataFrame) -> DataFrame:
 
 
 def near_family(profiles: DataFrame) -> DataFrame:
-    """(a, b): each profile of few readings and the one well-known profile whose family name it mistypes.
+    """(a, b): each profile of few readings and the better known profile whose family name it mistypes.
 
-    Both must have a compatible given name or initial. If a family name of its own is well known, a profile isn't mistyped.
+    Nothing in given names and initials may contradict, and either the names end alike (unlike endings tell families
+    apart) or the full given names are equal.
     """
     fam = profiles.select("p", "kind", F.explode("families").alias("w"), "readings", "n")
     pairs = cut(near_pairs(fam.where("kind = 'person'").select("w").distinct()))
@@ -186,7 +192,8 @@ def near_family(profiles: DataFrame) -> DataFrame:
     few = profiles.where((F.col("readings") <= FEW) & (F.col("kind") == "person") & (F.size("firsts") > 0)).select("*", F.explode("main").alias("wa"))
     x, y = few.alias("x"), profiles.where("kind = 'person'").select("*", F.explode("main").alias("wb")).alias("y")
     both = x.join(pairs.alias("k"), F.col("x.wa") == F.col("k.a")).join(y, F.col("k.b") == F.col("y.wb")).where((F.col("x.p") != F.col("y.p")) & _compatible("x", "y") & (F.size("y.firsts") > 0))
-    both = both.where((F.col("y.readings") > F.col("x.readings")) & (F.col("y.n") >= F.col("x.n")))
+    order = lambda k: F.struct(F.col(f"{k}.readings"), F.col(f"{k}.n"), F.col(f"{k}.p"))
+    both = both.where(order("x") < order("y"))
     full = F.arrays_overlap("x.givens", "y.givens")
     tail = F.right("x.wa", F.lit(2)) == F.right("y.wb", F.lit(2))
     best = both.groupBy(F.col("x.p").alias("a")).agg(F.max(F.struct(tail.alias("t"), full.alias("f"), (F.size(F.array_intersect("x.middles", "y.middles")) > 0).alias("m"), F.col("y.readings").alias("r"), F.col("y.n").alias("n"), F.col("y.p").alias("p"))).alias("m"))

@@ -27,8 +27,12 @@ STOP = ["the", "and", "for", "from", "with", "how", "its", "their", "into", "und
 MARK = r"\s((?:an? )?(?:reply|comment|response|rejoinder|addendum|erratum|corrigendum|correction|supplement)|revisited|part (?:[ivx]+|\d+|one|two|three)|[ivx]{2,4}(?: \w+)?)$"
 GRID = 20
 FIRM = 0.95
+#: Least weight (logarithm of rarity) of a word that makes block keys.
+TELLING = 2.5
+#: A matched pair's mean similarities lie at least here, so that the two Gaussians can't change places.
+ANCHOR = np.array([0.88, 0.85, 0.85, 0.98])
 ROUNDS = 40
-TURNS = 3
+TURNS = 2
 
 
 def plain_title(text: Column) -> Column:
@@ -88,11 +92,15 @@ def classes(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 
 
 def block_keys(side: DataFrame, years: list[int]) -> DataFrame:
-    """(cls, key): first author with a title word, three title words in a row, two title words with the year."""
-    words = F.filter(F.split("title", " "), lambda w: (F.length(w) >= 3) & ~F.array_contains(F.array(*map(F.lit, STOP)), w))
-    rows = side.withColumn("w", F.transform(words, lambda w: F.left(w, F.lit(5))))
+    """(cls, key): first author with a title word, three telling title words in a row, two of them with the year.
+
+    Words that over a twelfth of all titles have tell nothing and make no keys, unless the title has too few others.
+    """
+    pairs_ = F.filter(F.arrays_zip("words", "weights"), lambda x: (F.length(x["words"]) >= 3) & ~x["words"].isin(*STOP))
+    telling = F.filter(pairs_, lambda x: x["weights"] >= TELLING)
+    rows = side.withColumn("w", F.transform(F.when(F.size(telling) >= 3, telling).otherwise(pairs_), lambda x: F.left(x["words"], F.lit(5))))
     n = F.size("w")
-    by_author = F.when(F.col("author").isNotNull(), F.flatten(F.transform("w", lambda w: F.array(F.concat_ws("|", F.lit("a"), F.left("author", F.lit(4)), w), F.concat_ws("|", F.lit("z"), F.right("author", F.lit(4)), w)))))
+    by_author = F.when(F.col("author").isNotNull(), F.flatten(F.transform("w", lambda w: F.array(F.concat_ws("|", F.lit("a"), F.left("author", F.lit(6)), w), F.concat_ws("|", F.lit("z"), F.right("author", F.lit(6)), w)))))
     at = lambda i, k: F.get("w", (i + k).cast("int"))
     three = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.concat_ws("|", F.lit("t"), at(i, 0), at(i, 1), at(i, 2))))
     steps = F.array(*map(F.lit, years))
@@ -189,13 +197,16 @@ def fit(cell: np.ndarray, weight: np.ndarray, held: np.ndarray, start: np.ndarra
     x = cell / GRID
     x[cell < 0] = -1
     known = x >= 0
+    # what no matched pair shows: another part, half of the title missing, or author and year both wrong
+    never = (x[:, 3] == 0) | (x[:, 0] < 0.5) | ((x[:, 2] == 0) & (x[:, 1] >= 0) & (x[:, 1] < 0.6))
     post = start if start is not None else ((x[:, 0] > 0.85) & (x[:, 3] > 0.5) & ((x[:, 1] > 0.75) | (x[:, 2] > 0.7))).astype(float) * 0.98 + 0.01
     for _ in range(ROUNDS):
-        post = np.maximum(post, held)
+        post = np.where(never, 0.0, np.maximum(post, held))
         mean, var = np.zeros((2, 4)), np.zeros((2, 4))
         for k, w in enumerate((weight * (1 - post), weight * post)):
             wk = w[:, None] * known
             mean[k] = (wk * x).sum(0) / np.maximum(wk.sum(0), 1e-9)
+            mean[k] = np.maximum(mean[k], ANCHOR) if k else mean[k]
             var[k] = (wk * (x - mean[k]) ** 2).sum(0) / np.maximum(wk.sum(0), 1e-9)
         var = np.maximum(var + 0.15 * (mean[1] - mean[0]) ** 2, 0.004)
         prior = np.clip((weight * post).sum() / weight.sum(), 1e-4, 0.9)
@@ -205,7 +216,7 @@ def fit(cell: np.ndarray, weight: np.ndarray, held: np.ndarray, start: np.ndarra
         top[x < 0] = -1
         logit = np.maximum(logit, np.log(prior / (1 - prior)) + densities(top, mean[1], var[1]) - densities(top, mean[0], var[0]))
         post = 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
-    return post
+    return np.where(never, 0.0, post)
 
 
 def matches(queries: DataFrame, entries: DataFrame, least: float = 0.5) -> DataFrame:

@@ -1,16 +1,18 @@
 """Problem 4: consolidating pairwise matches into groups.
 
 Method: vertices of degree one are stripped and chains of degree-two vertices are compressed by list ranking, again and
-again; what remains (no vertex of degree below three, or bare cycles) is solved by alternating large and small stars;
-the labels are then handed back to the removed vertices, last removed first.
+again while that takes away a fair share of the links; the core that remains is solved by one task if it is small and by
+alternating large and small stars if not; the labels are then handed back to the removed vertices, last removed first.
 
 Every step is a join or an aggregate with map-side combine; nothing but counts reaches the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,15 +22,19 @@ from ..session import cut
 HOT = 256
 #: Parts into which the members of one key are divided before a hub is chosen for the key.
 SALTS = 64
+#: Another round of stripping and compressing is made if the last one took away this share of the links.
+WORTH = 0.1
+#: A core of at most this many links is solved by one task (some tens of MB); a larger one by stars over all tasks.
+CORE_LINKS = 100_000
 
 
-def join_spread(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def join_spread(many: DataFrame, one: DataFrame, key: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """Joins many rows per key with at most one row per key, however uneven the keys are.
 
     A key with over 1/HOT of the rows meets its row by broadcast (fewer than HOT rows by construction); the rest are
-    shuffled. how is inner or left. Rows whose key is null match nothing.
+    shuffled. how is inner or left. Rows whose key is null match nothing. total is the number of rows of many, if known.
     """
-    total = many.count()
+    total = many.count() if total is None else total
     if total < 200_000:  # one task could hold all of it
         return many.join(one, key, how)
     hot = F.broadcast(cut(many.groupBy(key).count().where(F.col("count") > total / HOT).select(key)))
@@ -98,19 +104,45 @@ def _compress(edges: DataFrame) -> tuple[DataFrame | None, DataFrame]:
     return removed, cut(kept.unionByName(bridges).distinct())
 
 
+def _one_task(edges: DataFrame) -> DataFrame:
+    """(child, parent) of a small core: union by smallest vertex in one task."""
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parent: dict = {}
+
+        def find(v):
+            while parent.setdefault(v, v) != v:
+                parent[v] = parent[parent[v]]
+                v = parent[v]
+            return v
+
+        for batch in batches:
+            for a, b in zip(batch["a"], batch["b"], strict=True):
+                x, y = find(a), find(b)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+        out = [(v, find(v)) for v in list(parent)]
+        yield pd.DataFrame([x for x in out if x[0] != x[1]], columns=["child", "parent"])
+
+    return edges.coalesce(1).mapInPandas(solve, f"child {kind}, parent {kind}")
+
+
 def _stars(edges: DataFrame) -> DataFrame:
     """(child, parent) of the core: alternating large and small stars until every vertex hangs on its group's smallest."""
+    before = edges.count()
     while True:
         arcs = cut(_arcs(edges))
         low = arcs.groupBy("v").agg(F.min("o").alias("m")).withColumn("m", F.least("m", "v"))
-        large = cut(join_spread(arcs.where("o > v"), low, "v").select(F.col("m").alias("a"), F.col("o").alias("b")).where("a < b").distinct())
+        large = cut(join_spread(arcs.where("o > v"), low, "v", total=before).select(F.col("m").alias("a"), F.col("o").alias("b")).where("a < b").distinct())
         down = large.groupBy("b").agg(F.min("a").alias("m"))
         pairs = join_spread(large, down, "b")
         small = pairs.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(down.select(F.col("m").alias("a"), "b")).where("a < b").distinct()
         small = cut(small)
-        if small.count() == edges.count() and small.join(edges, ["a", "b"], "left_anti").isEmpty():
+        left = small.count()
+        if left == before and small.join(edges, ["a", "b"], "left_anti").isEmpty():
             return small.select(F.col("b").alias("child"), F.col("a").alias("parent"))
-        edges = small
+        edges, before = small, left
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -119,37 +151,33 @@ def components(links: DataFrame) -> DataFrame:
     Loops, repeated links and either direction are allowed; links with a null are ignored. An empty table gives none.
     """
     edges = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("a").isNotNull().alias("l"), F.col("b").isNotNull().alias("r")).where("l and r and a < b").select("a", "b").distinct())
-    levels: list[DataFrame] = []
-    chained = True
-    while not edges.isEmpty():
-        removed, rest = _strip(edges)
-        stripped = not removed.isEmpty()
-        if stripped:
-            levels.append(removed)
-        elif not chained:  # neither a leaf nor a chain is left
-            levels.append(cut(_stars(edges)))
-            break
-        edges = rest
-        if edges.isEmpty():
-            break
-        removed, rest = _compress(edges)
-        chained = removed is not None and not removed.isEmpty()
-        if chained:
-            levels.append(removed)
-            edges = rest
-        elif not stripped:
-            levels.append(cut(_stars(edges)))
+    levels: list[tuple[DataFrame, int]] = []
+    left = edges.count()
+    while left:
+        before = left
+        for shrink in (_strip, _compress):
+            removed, rest = shrink(edges)
+            gone = removed.count() if removed is not None else 0
+            if gone:
+                levels.append((removed, gone))
+                edges, left = rest, rest.count()
+            if not left:
+                break
+        if left and left > before * (1 - WORTH):
+            core = cut(_one_task(edges) if left <= CORE_LINKS else _stars(edges))
+            levels.append((core, left))
             break
     schema = links.select(F.col("a").alias("child"), F.col("a").alias("parent")).schema
     if not levels:
         return links.sparkSession.createDataFrame([], schema).toDF("vertex", "group")
-    labels = levels[-1]  # (vertex as child, its root as parent)
-    for level in reversed(levels[:-1]):
+    labels, known = levels[-1]  # (vertex as child, its root as parent)
+    for level, n in reversed(levels[:-1]):
         roots = labels.select(F.col("child").alias("parent"), F.col("parent").alias("root"))
-        found = join_spread(level, roots, "parent", "left").select("child", F.coalesce("root", "parent").alias("parent"))
-        labels = cut(labels.unionByName(found))
+        found = join_spread(level, roots, "parent", "left", total=n).select("child", F.coalesce("root", "parent").alias("parent"))
+        labels, known = cut(labels.unionByName(found)), known + n
     smallest = labels.groupBy(F.col("parent").alias("root")).agg(F.min("child").alias("m")).select("root", F.least("m", "root").alias("group"))
-    named = join_spread(labels.select(F.col("child").alias("vertex"), F.col("parent").alias("root")), smallest, "root").select("vertex", "group")
+    smallest = cut(smallest)
+    named = join_spread(labels.select(F.col("child").alias("vertex"), F.col("parent").alias("root")), smallest, "root", total=known).select("vertex", "group")
     return named.unionByName(smallest.select(F.col("root").alias("vertex"), "group"))
 
 

@@ -48,6 +48,14 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("query_id", "id", "title", (F.floor(total * 1000000 + 0.5) / 1000000).alias("total"))
 
 
+def verdicts(best: DataFrame) -> DataFrame:
+    """The two best candidates of each query -> its best one and the decision."""
+    two = best.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.struct("id", "title", "total"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.col("total"))).alias("second"))
+    clear = F.col("second").isNull() | (F.col("a.total") - F.col("second") >= M.LEAD)
+    verdict = F.when((F.col("a.title") < M.TITLE_FLOOR) | (F.col("a.total") < M.TOTAL_FLOOR), "rejected").when((F.col("a.total") >= M.ACCEPT) & clear, "accepted").otherwise("ambiguous")
+    return two.select("query_id", "a.id", verdict.alias("verdict"))
+
+
 @query(f"with {SCORES} select query_id, id, total from sc")
 def m03_score_candidate(spark: SparkSession, d: str) -> DataFrame:
     return scores(spark, d).select("query_id", "id", "total")
@@ -58,10 +66,7 @@ def m03_score_candidate(spark: SparkSession, d: str) -> DataFrame:
 def m04_decide(spark: SparkSession, d: str) -> DataFrame:
     """Accept the best candidate above the floors if it leads clearly; the two best come from a two-level top-k."""
     best = top_k(scores(spark, d), ["query_id"], [F.desc("total"), F.asc("id")], 2, "id")
-    two = best.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.struct("id", "title", "total"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.col("total"))).alias("second"))
-    clear = F.col("second").isNull() | (F.col("a.total") - F.col("second") >= M.LEAD)
-    verdict = F.when((F.col("a.title") < M.TITLE_FLOOR) | (F.col("a.total") < M.TOTAL_FLOOR), "rejected").when((F.col("a.total") >= M.ACCEPT) & clear, "accepted").otherwise("ambiguous")
-    return two.select("query_id", "a.id", verdict.alias("verdict"))
+    return verdicts(best)
 
 
 @query("select e.id, case when e.fields ->> '$.doi.value' is null then 'unknown' when o.openalex_id is not null then 'match' else 'conflict' end as agreement from bibliography_entry e left join openalex_work o on o.doi = e.fields ->> '$.doi.value'")

@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
-from ..operators import metrics
+from ..operators import matching as M
+from ..operators import metrics, titles
+from ..operators.topk import top_k
 from ..session import table
 from .aggregate import works
 from .catalog import query
+from .matching import verdicts
 
 # Character references, and letters that decomposing doesn't take apart.
 REFERENCE = re.compile(r"&(?:#(\d{1,7})|#[xX]([0-9A-Fa-f]{1,6})|(amp|lt|gt|quot|apos|nbsp));")
@@ -147,3 +150,51 @@ def a27_histogram_grid_whole(spark: SparkSession, d: str) -> DataFrame:
     w = works(spark, d)
     unknown = w.where("year is null").agg(F.count("*").alias("n")).where("n > 0")
     return metrics.histogram_slots(w, "year").unionByName(unknown.select(F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"), "n"))
+
+
+def title_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Titles to be looked up and titles of works, in lower case."""
+    q = table(spark, d, "title_query").where("title is not null").select("query_id", F.lower("title").alias("qt"), F.col("year").alias("qy"))
+    return q, table(spark, d, "graph_work").where("display_title is not null").select("id", F.lower("display_title").alias("wt"), F.col("display_year").alias("wy"))
+
+
+def close_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of queries and works that the title floor doesn't reject, wherever the titles differ."""
+    return titles.close(*title_tables(spark, d))
+
+
+@query()
+def m01_title_similarity_whole(spark: SparkSession, d: str) -> DataFrame:
+    return close_pairs(spark, d).select("query_id", "id", F.round(M.title_similarity(F.col("qt"), F.col("wt")), 6).alias("similarity"))
+
+
+@query()
+def m03_score_candidate_whole(spark: SparkSession, d: str) -> DataFrame:
+    rows = close_pairs(spark, d).withColumns({"title": M.title_similarity(F.col("qt"), F.col("wt")), "y": M.year_agreement(F.col("qy"), F.col("wy"))})
+    total = M.weighted_mean([(F.col("title"), M.SCORE["title"]), (F.col("y"), M.SCORE["year"])])
+    return rows.select("query_id", "id", (F.floor(total * 1000000 + 0.5) / 1000000).alias("total"))
+
+
+@query()
+def m04_decide_whole(spark: SparkSession, d: str) -> DataFrame:
+    """A verdict on every query, over all works; queries without a title or any work to meet are rejected without an id."""
+    best = top_k(titles.best_two(*title_tables(spark, d)), ["query_id"], [F.desc("total"), F.asc("id")], 2, "id")
+    ids = table(spark, d, "title_query").select("query_id").distinct()
+    return ids.join(verdicts(best), "query_id", "left").select("query_id", "id", F.coalesce("verdict", F.lit("rejected")).alias("verdict"))
+
+
+@query()
+def m07_year_agreement_whole(spark: SparkSession, d: str) -> DataFrame:
+    return close_pairs(spark, d).select("query_id", "id", M.year_agreement(F.col("qy"), F.col("wy")).alias("agreement"), M.year_compatible(F.col("qy"), F.col("wy")).alias("compatible"))
+
+
+@query()
+def m17_title_appears_in_whole(spark: SparkSession, d: str) -> DataFrame:
+    words = lambda c: F.regexp_extract_all(c, F.lit("([a-z]{2,})"), F.lit(1))
+    return close_pairs(spark, d).select("query_id", "id", (M.words_found(words(F.col("qt")), words(F.col("wt"))) >= 0.8).alias("appears"))
+
+
+@query()
+def m23_token_f1_whole(spark: SparkSession, d: str) -> DataFrame:
+    words = lambda c: F.regexp_extract_all(c, F.lit("([a-z]{2,})"), F.lit(1))
+    return close_pairs(spark, d).select("query_id", "id", F.round(M.token_f1(words(F.col("qt")), words(F.col("wt"))), 6).alias("f1"))

@@ -4,7 +4,9 @@ import re
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
+from citeloom.operators import matching, titles
 from citeloom.plans.registry import oracle_sql, queries
 
 
@@ -48,3 +50,17 @@ def test_other_whole_queries(run):
     titles = ["On the Ground", "Übergröße ﬁn", "œuvre 中"]
     plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t).replace("ß", "ss").replace("œ", "oe") if c.isascii() and c.isalnum()).lower()
     assert run("f125_compact_whole", "graph_work", list(enumerate(titles)), "id int, display_title string") == {i: plain(t) for i, t in enumerate(titles)}
+
+
+def test_titles_meet_without_a_common_head(spark, run, tmp_path):
+    works = [("a", "Spectral markets: a joint trial of queues", 2001), ("b", "Uniform clouds", None), ("c", "spectral markets: a joint trial of queues", 1990), ("d", "aaaa", 2000), ("e", None, 2000)]
+    asked = [(1, "speciral markets: a joint trial of queues", 2001), (2, "On uniform clouds", 2000), (3, "nothing like it", 2000), (4, None, None), (5, "aaab", None), (6, "", 2000)]
+    w = spark.createDataFrame(works, "id string, display_title string, display_year int")
+    w.write.parquet(f"{tmp_path}/graph_work.parquet")
+    schema = "query_id bigint, title string, year int"
+    assert run("m04_decide_whole", "title_query", asked, schema) == {1: ("a", "accepted"), 2: ("b", "accepted"), 3: ("d", "rejected"), 4: (None, "rejected"), 5: ("d", "rejected"), 6: ("d", "rejected")}
+    q = spark.createDataFrame(asked, schema).where("title is not null").select("query_id", F.lower("title").alias("qt"), F.col("year").alias("qy"))
+    w = w.where("display_title is not null").select("id", F.lower("display_title").alias("wt"), F.col("display_year").alias("wy"))
+    brute = q.crossJoin(w).where(matching.title_similarity(F.col("qt"), F.col("wt")) >= 0.3).select("query_id", "id")
+    got = titles.close(q, w, 0.3).select("query_id", "id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, brute.collect())) and got.count() >= 3

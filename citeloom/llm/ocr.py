@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from ..session import cut
 from .boost import Boosted
@@ -234,6 +234,12 @@ def coarse(word: str) -> str:
     return shape(word).translate(_COARSE)
 
 
+def coarse_forms(word: str) -> list[str]:
+    """The coarse shape with cl as d, and without: cl may stand for d or for two letters, one of them misread."""
+    parts = re.split("(?<=c)(?=l)", word.lower().replace("1", "l"))
+    return sorted({coarse(word), "".join(coarse(p) for p in parts)})
+
+
 def misread_cost(read: str, printed: str) -> float:
     """Weighted edit distance from what was printed to what was read; a known confusion costs a quarter."""
     known = set(CONFUSIONS)
@@ -267,9 +273,9 @@ SHARED = 0.6
 
 
 def grams(shape: Column) -> Column:
-    """Character triples of the padded shape with their places."""
+    """Character triples of the padded shape."""
     padded = F.concat(F.lit("^"), shape, F.lit("$"))
-    return F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.struct(F.substr(padded, i, F.lit(3)).alias("g"), i.cast("int").alias("i")))
+    return F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3)))
 
 
 FEATURES = ["cost", "edits", "n_right", "n_read", "length", "odd", "capital", "odd_right", "same_shape"]
@@ -278,22 +284,20 @@ FEATURES = ["cost", "edits", "n_right", "n_read", "length", "odd", "capital", "o
 def candidates(suspects: DataFrame, words: DataFrame) -> DataFrame:
     """suspects(lang, word, n, capital) -> with each trusted word (right) of the language that shares enough q-grams, or its own shape."""
     shaped = F.pandas_udf(lambda s: s.map(shape), StringType())
-    rough = F.pandas_udf(lambda s: s.map(coarse), StringType())
+    forms = F.pandas_udf(lambda s: s.map(coarse_forms), ArrayType(StringType()))
     good = words.where((F.col("n") >= TRUSTED) & F.col("word").rlike(r"^\p{L}[\p{L}’'-]*\p{L}$")).select("lang", F.col("word").alias("right"), F.col("n").alias("m"))
-    a = cut(cut(suspects.withColumn("rough", rough("word"))).withColumn("grams", grams(F.col("rough"))).drop("rough"))
-    b = cut(cut(good.withColumn("rough", rough("right"))).withColumn("other", grams(F.col("rough"))).drop("rough"))
-    index = cut(b.select("lang", "right", F.explode("other").alias("x")).select("lang", "right", F.col("x.g").alias("g"), F.col("x.i").alias("i")))
-    spread = F.explode(F.array(F.col("x.i") - 1, F.col("x.i"), F.col("x.i") + 1)).alias("i")
-    # prefix filter: of a suspect's grams, rarest first, a correction that shares enough of them has one of the first
+    a = cut(cut(suspects.withColumn("rough", F.explode(forms("word")))).withColumn("grams", grams(F.col("rough"))))
+    b = cut(cut(good.withColumn("form", F.explode(forms("right")))).withColumn("other", grams(F.col("form"))))
+    index = cut(b.select("lang", "right", "form", "m", F.size("other").alias("size"), F.explode(F.array_distinct("other")).alias("g")))
+    # prefix filter: of a suspect's different grams, rarest first, a correction that shares the least number of them has one of the first
     rare = index.groupBy("lang", "g").agg(F.count("*").alias("df"))
-    own = a.select("lang", "word", F.size("grams").alias("k"), F.explode("grams").alias("x")).select("lang", "word", "k", "x", F.col("x.g").alias("g")).join(rare, ["lang", "g"], "left")
-    first = own.groupBy("lang", "word", "k").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "x"))).alias("s"))
-    first = first.select("lang", "word", F.explode(F.slice("s", F.lit(1), F.col("k") - F.ceil(F.col("k") * SHARED).cast("int") + 1)).alias("y")).where("y.df > 0").select("lang", "word", F.col("y.x").alias("x"))
-    hit = first.select("lang", "word", F.col("x.g").alias("g"), spread).join(index, ["lang", "g", "i"]).select("lang", "word", "right").distinct()
-    full = hit.where("word <> right").join(a, ["lang", "word"]).join(b, ["lang", "right"]).where("m >= n")
-    name = lambda c: F.transform(c, lambda x: x["g"])
-    both = F.size(F.array_intersect(name("grams"), name("other")))
-    near = full.where((F.abs(F.size("grams") - F.size("other")) <= 2) & (both >= SHARED * F.size("grams") - 1)).select("lang", "word", "n", "capital", "right", "m")
+    least = F.greatest(F.lit(1), F.ceil(SHARED * F.size("grams") - 1).cast("int"))
+    own = a.select("lang", "word", "rough", "n", F.size("grams").alias("k"), (F.size(F.array_distinct("grams")) - least + 1).alias("take"), F.explode(F.array_distinct("grams")).alias("g")).join(rare, ["lang", "g"], "left")
+    first = own.groupBy("lang", "word", "rough", "n", "k", "take").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g"))).alias("s"))
+    first = first.select("lang", "word", "rough", "n", "k", F.explode(F.slice("s", F.lit(1), F.greatest(F.col("take"), F.lit(0)))).alias("y")).where("y.df > 0").withColumn("g", F.col("y.g"))
+    hit = first.join(index, ["lang", "g"]).where("word <> right and m >= n and abs(k - size) <= 2").select("lang", "word", "rough", "right", "form").distinct()
+    full = hit.join(a, ["lang", "word", "rough"]).join(b, ["lang", "right", "form"])
+    near = full.where(F.size(F.array_intersect("grams", "other")) >= SHARED * F.size("grams") - 1).select("lang", "word", "n", "capital", "right", "m").distinct()
     own_shape = suspects.where(F.col("word").rlike(r"\p{L}[0-9!|]|[0-9!|]\p{L}")).withColumn("right", shaped("word")).where("right <> word")
     return near.unionByName(own_shape.select("lang", "word", "n", "capital", "right", F.lit(0).cast("bigint").alias("m")))
 

@@ -312,34 +312,54 @@ def features(x: pd.DataFrame) -> np.ndarray:
 
 def trained(words: DataFrame) -> Boosted | None:
     """Ranker of corrections: native words misread on purpose with their origin, against rare native words with what is near them."""
-    native = words.where((F.col("native") > 0) & (F.length("word") >= 4) & F.col("word").rlike(r"^\p{L}+$")).orderBy(F.xxhash64("lang", "word")).limit(SAMPLE // 4).toPandas()
-    if len(native) < 50:
+    letters = words.where((F.length("word") >= 4) & F.col("word").rlike(r"^\p{L}+$"))
+    take = lambda df: df.orderBy(F.xxhash64("lang", "word")).limit(SAMPLE // 4)
+    native = take(letters.where("native > 0")).toPandas()
+    few = len(native) < 50
+    if few:  # trusted words of scanned pages serve as well
+        native = take(letters.where((F.col("native") > 0) | (F.col("n") >= TRUSTED))).toPandas()
+    if native.empty:
         return None
     rng = random.Random(SEED)
     made = [(l, misread(w, rng), 1, c, w) for l, w, n, c in zip(native["lang"], native["word"], native["n"], native["capital"], strict=True) for _ in range(2)]
     made = pd.DataFrame([x for x in made if x[1] != x[4]], columns=["lang", "word", "n", "capital", "truth"]).drop_duplicates(["lang", "word"])
     made = made[~made["word"].isin(set(native["word"]))]
+    if made.empty:
+        return None
     spark = words.sparkSession
     truth = spark.createDataFrame(made)
     yes = candidates(truth.drop("truth"), words).join(truth.select("lang", "word", "truth"), ["lang", "word"])
     rare = words.where((F.col("native") > 0) & (F.col("n") == F.col("native")) & (F.col("n") <= 3) & (F.length("word") >= 4)).orderBy(F.xxhash64("lang", "word")).limit(SAMPLE // 4).select("lang", "word", "n", "capital")
+    if few:
+        rare = take(letters.where(F.col("n") >= TRUSTED)).select("lang", "word", F.lit(1).cast("bigint").alias("n"), "capital")
     no = candidates(rare, words).withColumn("truth", F.lit(""))
     data = yes.unionByName(no).orderBy(F.xxhash64("lang", "word", "right")).limit(SAMPLE).toPandas()
     y = ((data["truth"] == data["right"]) | ((data["m"] == 0) & (data["truth"].map(shape) == data["right"]))).to_numpy(float)
     return Boosted(trees=50, depth=4).fit(features(data), y) if 0 < y.sum() < len(y) else None
 
 
+def by_rule(x: np.ndarray) -> np.ndarray:
+    """Where nothing can be learned: known confusions of a far more frequent word, or of a word with a digit or sign within."""
+    cost, odd = x[:, FEATURES.index("cost")], x[:, FEATURES.index("odd")] > 0
+    return np.where((cost <= 0.5) | (odd & (cost <= 1)), 1 / (1 + cost), 0.0)
+
+
+#: How much rarer on native pages than on scanned ones, by its share of the words, a suspect is at least.
+RARER = 8
+
+
 def corrections(words: DataFrame) -> DataFrame:
     """(lang, word, right): misread words of scanned pages and the best ranked correction of each."""
-    suspects = words.where((F.length("word") >= 3) & (F.col("native") == 0) & F.col("word").rlike(r"\p{L}.*\p{L}|[!|0-9]\p{L}"))
+    total = words.groupBy("lang").agg(F.sum("native").alias("natives"), F.sum(F.col("n") - F.col("native")).alias("scans"))
+    rare = F.col("native") * F.col("scans") * RARER <= (F.col("n") - F.col("native")) * F.col("natives")
+    suspects = words.join(total, "lang").where((F.length("word") >= 3) & (F.col("n") > F.col("native")) & ((F.col("native") == 0) | rare) & F.col("word").rlike(r"\p{L}.*\p{L}|[!|0-9]\p{L}"))
     model = trained(words)
-    if model is None:
-        return words.select("lang", "word", F.lit("").alias("right")).where("false")
+    judge = model.predict if model else by_rule
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             x = x[x["m"].eq(0) | (x["m"] >= 8 * x["n"])]
-            yield x.assign(p=model.predict(features(x)))[["lang", "word", "right", "p"]] if len(x) else pd.DataFrame(columns=["lang", "word", "right", "p"])
+            yield x.assign(p=judge(features(x)))[["lang", "word", "right", "p"]] if len(x) else pd.DataFrame(columns=["lang", "word", "right", "p"])
 
     ranked = candidates(suspects.select("lang", "word", "n", "capital"), words).mapInPandas(rank, "lang string, word string, right string, p double").where("p >= 0.5")
     return cut(ranked.groupBy("lang", "word").agg(F.max(F.struct("p", "right")).alias("best")).select("lang", "word", F.col("best.right").alias("right")))

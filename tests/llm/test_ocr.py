@@ -23,3 +23,12 @@ def test_candidates_equal_brute_force(spark):
     got = {(r["word"], r["right"]) for r in ocr.candidates(suspects, words).collect() if r["m"] > 0}
     assert got == {(w, r) for w in read for r in right if w != r and near(w, r)}
     assert set(zip(read[:8], right[:8])) <= got
+
+
+def test_corrections_without_native_words_and_with_a_native_typo(spark):
+    schema = "lang string, word string, n long, capital double, native long"
+    right = ["network", "thermal", "gradient", "household", "estimate"]
+    scans = [("en", w, 100, 0.0, 0) for w in right] + [("en", "netw0rk", 1, 0.0, 0)]
+    assert {r["word"]: r["right"] for r in ocr.corrections(spark.createDataFrame(scans, schema)).collect()}.get("netw0rk") == "network"
+    both = [("en", w, 4000, 0.0, 2000) for w in right] + [("en", "netw0rk", 21, 0.0, 1)]
+    assert {r["word"]: r["right"] for r in ocr.corrections(spark.createDataFrame(both, schema)).collect()}.get("netw0rk") == "network"

@@ -11,6 +11,7 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,8 +57,8 @@ def number_of(line: str) -> int:
 
 
 def language(text: str) -> str:
-    words = re.findall(LETTERS + "+", text.lower())[:4000]
-    count = {k: sum(words.count(w) for w in v.split()) for k, v in TELL.items()}
+    words = Counter(m[0] for m in re.finditer(LETTERS + "+", text.lower()))
+    count = {k: sum(words[w] for w in v.split()) for k, v in TELL.items()}
     best = max(count, key=lambda k: (count[k], k))
     return best if count[best] else "other"
 

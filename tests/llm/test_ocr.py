@@ -1,7 +1,5 @@
 """Noise of scanned pages: retrieval, training and languages."""
 
-import pandas as pd
-import pytest
 
 from citeloom.llm import ocr
 
@@ -32,3 +30,8 @@ def test_corrections_without_native_words_and_with_a_native_typo(spark):
     assert {r["word"]: r["right"] for r in ocr.corrections(spark.createDataFrame(scans, schema)).collect()}.get("netw0rk") == "network"
     both = [("en", w, 4000, 0.0, 2000) for w in right] + [("en", "netw0rk", 21, 0.0, 1)]
     assert {r["word"]: r["right"] for r in ocr.corrections(spark.createDataFrame(both, schema)).collect()}.get("netw0rk") == "network"
+
+
+def test_language_of_the_whole_text():
+    assert ocr.language("the cat " * 2500 + "der Hund " * 9000) == "de"
+    assert ocr.language("12 345") == "other"

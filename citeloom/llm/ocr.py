@@ -340,9 +340,9 @@ def trained(words: DataFrame) -> Boosted | None:
 
 
 def by_rule(x: np.ndarray) -> np.ndarray:
-    """Where nothing can be learned: known confusions of a far more frequent word, or of a word with a digit or sign within."""
+    """Where nothing can be learned: known confusions of a far more frequent trusted word; a digit or sign within may cost more."""
     cost, odd = x[:, FEATURES.index("cost")], x[:, FEATURES.index("odd")] > 0
-    return np.where((cost <= 0.5) | (odd & (cost <= 1)), 1 / (1 + cost), 0.0)
+    return np.where((x[:, FEATURES.index("n_right")] > 0) & ((cost <= 0.5) | (odd & (cost <= 1))), 1 / (1 + cost), 0.0)
 
 
 #: How much rarer on native pages than on scanned ones, by its share of the words, a suspect is at least.

@@ -2,74 +2,109 @@
 
 Method: prefix-filtered set join. Five-word shingles of each item-sized window are ordered by rarity in the corpus; a
 window of W words with at most e changed words keeps at least T = (W - 4) - 5e of its shingles, so at least one of its
-W - 4 - T + 1 rarest is in any document that contains it. Only these prefix shingles are joined. Positional and length
-bounds thin the candidates, and an exact alignment verifies them.
+W - 4 - T + 1 rarest is in any document that contains it. Only these prefix shingles are joined. Length and positional
+bounds thin the candidates, and an exact alignment over item-sized windows verifies them.
 
 A run of 20 to 29 words may have two changes and so holds a 20-word window with at most two; one of 30 to 39 may have
 three and holds a 30-word window with at most three; a longer run holds a part of 20 to 39 words that satisfies the
 rule itself. Windows of 20 and 30 words therefore miss nothing. Items shorter than 20 words are one window; items of
-fewer than five words have no shingle and are never reported.
+fewer than five words are one shingle of all their words, as they may have no change.
+
+The items are the stated query set: they meet the corpus in blocks of at most BLOCK_WORDS words, each sent to all tasks.
+A block reads the corpus twice, once for the rarity of its shingles and once to join and verify; no text is shuffled.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
-from .lookalike import words
+from .lookalike import words_of
 
 SHINGLE = 5
 RUN = 20
 WINDOWS = ((20, 2), (30, 3))
-#: Item shingles are sent to all tasks only up to this number of rows (16 bytes each); beyond it they are shuffled.
-BROADCAST_ROWS = 2_000_000
-
-
-def coded(text: Column) -> Column:
-    """The words of a text as hashes, so that shingles and alignments handle numbers only."""
-    return F.transform(words(text), lambda w: F.xxhash64(w))
-
-
-def shingles(word: str) -> Column:
-    """Hash of each run of five words, in order; none for fewer than five."""
-    w = F.col(word)
-    at = lambda i, k: F.get(w, i + k)
-    return F.when(F.size(w) >= SHINGLE, F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*(at(i, k) for k in range(SHINGLE))))).otherwise(F.expr("cast(array() as array<bigint>)"))
-
-
-def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+#: Words of the items that are sent to all tasks at once (some 60 bytes each); more items make more blocks. A block holds one item at least.
+BLOCK_WORDS = 400_000
+#: Words of the documents that one task handles at once.
+CHUNK_WORDS = 500_000
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
 def windows(n: int) -> list[tuple[int, int, int]]:
     """(start, words, changes allowed) of the windows of an item of n words."""
-    if n < RUN:
-        return [(0, n, n // 10)] if n >= SHINGLE else []
-    return [(i, w, e) for w, e in WINDOWS for i in range(n - w + 1)]
-
-
-def prefix_shingles(item: DataFrame, rarity: DataFrame) -> DataFrame:
-    """item(item_id, h array), rarity(h, df) -> distinct (item_id, pos, h) that some window must share."""
-    flat = item.select("item_id", F.size("h").alias("n"), F.posexplode("h").alias("pos", "h")).join(rarity, "h", "left")
-    rows = flat.groupBy("item_id", "n").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("df", F.lit(0)).alias("df"), "h"))).alias("s"))
-
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = set()
-            for item_id, n, s in zip(batch["item_id"], batch["n"], batch["s"], strict=True):
-                for start, w, e in windows(n + SHINGLE - 1):
-                    own = s[start : start + w - SHINGLE + 1]
-                    need = max(1, len(own) - SHINGLE * e)
-                    own = sorted(own, key=lambda x: (x["df"], x["h"]))
-                    out.update((item_id, x["pos"], x["h"]) for x in own[: len(own) - need + 1])
-            yield pd.DataFrame(sorted(out), columns=["item_id", "pos", "h"])
-
-    return rows.mapInPandas(pick, "item_id bigint, pos int, h bigint")
+    return [(0, n, n // 10)] if n < RUN else [(i, w, e) for w, e in WINDOWS for i in range(n - w + 1)]
+
+
+def codes(ids: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of k words; 0 where a word is in no item."""
+    n = len(ids) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, known = np.full(n, k, np.uint64), np.ones(n, bool)
+    for j in range(k):
+        part = ids[j : j + n]
+        known &= part > 0
+        out = (out ^ (part.astype(np.uint64) * MIX[j])) * np.uint64(0x9FB21C651E98DF25)
+        out ^= out >> np.uint64(32)
+    out[out == 0] = 1
+    out[~known] = 0
+    return out
+
+
+class Items:
+    """A block of items as numbers: words by their place in the block's vocabulary, shingles by their place among its codes."""
+
+    def __init__(self, rows: list[tuple[int, str]]) -> None:
+        same: dict[tuple[str, ...], set[int]] = defaultdict(set)
+        for item_id, text in rows:
+            w = tuple(words_of(text))
+            if w:
+                same[w].add(item_id)
+        self.vocabulary: dict[str, int] = {}
+        self.words = [np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], np.int64) for w in same]
+        self.ids = [sorted(v) for v in same.values()]
+        own = [codes(w, min(SHINGLE, len(w))) for w in self.words]
+        self.known = np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
+        self.lengths = sorted({min(SHINGLE, len(w)) for w in self.words})
+        self.shingles = [np.searchsorted(self.known, c) for c in own]  # by item: the shingle at each place
+        self.filter = np.zeros(1 << 22, bool)
+        self.filter[(self.known & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        self.prefix: dict[int, list[int]] = {}
+
+    def order(self, df: np.ndarray) -> None:
+        """Keeps, by shingle, the items that have it among the rarest of some window."""
+        prefix = defaultdict(set)
+        for i, s in enumerate(self.shingles):
+            k = min(SHINGLE, len(self.words[i]))
+            rank = np.lexsort((s, df[s]))
+            place = np.empty(len(s), np.int64)
+            place[rank] = np.arange(len(s))
+            chosen = set()
+            for start, w, e in windows(len(self.words[i])):
+                n = w - k + 1
+                need = max(1, n - k * e)
+                chosen.update((start + np.argsort(place[start : start + n])[: n - need + 1]).tolist())
+            for at in chosen:
+                prefix[int(s[at])].add(i)
+        self.prefix = {c: sorted(v) for c, v in prefix.items()}
+
+    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of known shingles in a row of words, and the shingles."""
+        at, found = [], []
+        for k in self.lengths:
+            c = codes(ids, k)
+            p = np.flatnonzero(self.filter[(c & np.uint64((1 << 22) - 1)).astype(np.int64)] & (c != 0))
+            s = np.minimum(np.searchsorted(self.known, c[p]), len(self.known) - 1)
+            right = self.known[s] == c[p]
+            at.append(p[right])
+            found.append(s[right])
+        return np.concatenate(at), np.concatenate(found)
 
 
 def contains_run(doc: np.ndarray, item: np.ndarray, shifts: list[int]) -> bool:
@@ -101,28 +136,113 @@ def contains_run(doc: np.ndarray, item: np.ndarray, shifts: list[int]) -> bool:
     return False
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs(doc_id, text), items(item_id, text) -> (doc_id, item_id), once per pair. Null and empty texts match nothing."""
-    doc = docs.where("doc_id is not null and text is not null").select("doc_id", coded(F.col("text")).alias("w"))
-    item = cut(items.where("item_id is not null and text is not null").select("item_id", coded(F.col("text")).alias("w")).withColumn("h", shingles("w")))
-    known = small(cut(item.select(F.explode("h").alias("h")).distinct()))
-    hits = cut(doc.select("doc_id", F.posexplode(shingles("w")).alias("at", "h")).join(known, "h"))
-    rarity = hits.select("h", "doc_id").distinct().groupBy("h").agg(F.count("*").alias("df"))
-    prefix = small(cut(prefix_shingles(item, rarity)))
-    pairs = hits.join(prefix, "h").select("doc_id", "item_id").distinct()
-    flat = small(item.select("item_id", F.size("w").alias("n"), F.posexplode("h").alias("pos", "h")))
-    # positional bound: shingles of one run lie on shifts that differ by at most its changes
-    seen = hits.join(flat, "h").withColumn("zone", F.explode(F.array(F.floor((F.col("at") - F.col("pos")) / 8), F.floor((F.col("at") - F.col("pos") + 4) / 8) + F.lit(1 << 40))))
-    runs = seen.groupBy("doc_id", "item_id", "n", "zone").agg(F.countDistinct("pos").alias("shared"), F.min(F.col("at") - F.col("pos")).alias("lo"), F.max(F.col("at") - F.col("pos")).alias("hi"))
-    need = F.when(F.col("n") < RUN, F.greatest(F.lit(1), F.col("n") - 4 - SHINGLE * F.floor(F.col("n") / 10))).otherwise(F.lit(RUN - 4 - SHINGLE * 2))
-    near = runs.where(F.col("shared") >= need).join(pairs, ["doc_id", "item_id"], "left_semi")
-    near = cut(near.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_set(F.array(F.col("lo"), F.floor((F.col("lo") + F.col("hi")) / 2).cast("int"), F.col("hi"))))).alias("shifts")))
-    doc_ids = small(cut(near.select("doc_id").distinct()))
-    text = docs.where("text is not null").join(doc_ids, "doc_id", "left_semi").select("doc_id", coded(F.col("text")).alias("doc_words"))
-    full = text.join(small(near), "doc_id").join(small(item.select("item_id", F.col("w").alias("item_words"))), "item_id")
-
-    @F.pandas_udf("boolean")
-    def verified(doc: pd.Series, item: pd.Series, shifts: pd.Series) -> pd.Series:
-        return pd.Series([contains_run(np.asarray(d), np.asarray(i), sorted(s)) for d, i, s in zip(doc, item, shifts, strict=True)])
-
-    return full.where(verified("doc_words", "item_words", F.col("shifts").cast("array<int>"))).select("doc_id", "item_id").distinct()
+def _shifts(at: np.ndarray, found: np.ndarray, shingles: np.ndarray, need: int) -> list[int]:
+    """Shifts along which enough different shingles of the item lie: those of one run differ by at most its changes."""
+    order = np.argsort(shingles, kind="stable")
+    lo, hi = np.searchsorted(shingles[order], found), np.searchsorted(shingles[order], found, "right")
+    size = hi - lo
+    pos = order[np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+    shift = np.repeat(at, size) - pos
+    out: set[int] = set()
+    for zone in (shift // 8, (shift + 4) // 8):
+        pairs = np.unique(np.column_stack([zone, pos]), axis=0)
+        zones, count = np.unique(pairs[:, 0], return_counts=True)
+        out.update(shift[np.isin(zone, zones[count >= need])].tolist())
+    return sorted(out)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], vocabulary: dict[str, int]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(doc ids, start of each document, words of all documents with four blanks between them), by chunks of bounded size."""
+    get = vocabulary.get
+    docs, starts, flat = [], [], []
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            docs.append(doc_id)
+            starts.append(len(flat))
+            flat += [get(w, 0) for w in words_of(text.as_py())]
+            flat += (0, 0, 0, 0)
+            if len(flat) >= CHUNK_WORDS:
+                yield docs, np.array(starts), np.array(flat, np.int64)
+                docs, starts, flat = [], [], []
+    if docs:
+        yield docs, np.array(starts), np.array(flat, np.int64)
+
+
+def _block(docs: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
+    """The pairs of all documents and one block of items."""
+    items = Items(rows)
+    spark = docs.sparkSession
+    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id bigint"
+    if not items.words:
+        return spark.createDataFrame([], kind)
+    sent = spark.sparkContext.broadcast(items)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        df = np.zeros(len(own.known), np.int64)
+        for _, starts, flat in _chunks(batches, own.vocabulary):
+            at, found = own.hits(flat)
+            doc = np.searchsorted(starts, at, "right")
+            df += np.bincount(np.unique(doc * len(df) + found) % len(df), minlength=len(df))
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["s", "df"])
+
+    rarity = docs.mapInArrow(count, "s bigint, df bigint").groupBy("s").agg(F.sum("df").alias("df"))
+    df = np.zeros(len(items.known), np.int64)
+    for r in rarity.collect():  # at most BLOCK_WORDS rows, by construction of the block
+        df[r["s"]] = r["df"]
+    items.order(df)
+    ordered = spark.sparkContext.broadcast(items)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = ordered.value
+        for doc_ids, starts, flat in _chunks(batches, own.vocabulary):
+            at, found = own.hits(flat)
+            doc = np.searchsorted(starts, at, "right") - 1
+            order = np.argsort(doc, kind="stable")
+            at, found, doc = at[order], found[order], doc[order]
+            edge = np.searchsorted(doc, np.arange(len(doc_ids) + 1))
+            out_doc, out_item = [], []
+            for d in np.unique(doc).tolist():
+                a, f = at[edge[d] : edge[d + 1]], found[edge[d] : edge[d + 1]]
+                candidates = {i for s in np.unique(f).tolist() for i in own.prefix.get(s, ())}
+                if not candidates:
+                    continue
+                end = (starts[d + 1] if d + 1 < len(starts) else len(flat)) - 4
+                text = flat[starts[d] : end]
+                for i in sorted(candidates):
+                    n = len(own.words[i])
+                    low, k = min(n, RUN), min(SHINGLE, n)
+                    changes = low // 10
+                    if len(text) < low - changes:
+                        continue
+                    shifts = _shifts(a - starts[d], f, own.shingles[i], max(1, low - k + 1 - k * changes))
+                    if shifts and contains_run(text, own.words[i], shifts):
+                        out_doc += [doc_ids[d]] * len(own.ids[i])
+                        out_item += own.ids[i]
+            yield pa.RecordBatch.from_arrays([pa.array(out_doc, batch_type), pa.array(out_item, pa.int64())], ["doc_id", "item_id"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    batch_type = to_arrow_type(docs.schema["doc_id"].dataType)
+    return docs.mapInArrow(join, kind)
+
+
+def leaks(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs(doc_id, text), items(item_id, text) -> (doc_id, item_id), once per pair.
+
+    Null ids, null and empty texts and texts without a word match nothing. An item of one to nine words matches only
+    where all its words stand in order. Repeated rows count once; other columns are ignored.
+    """
+    doc = docs.where("doc_id is not null and text is not null and text <> ''").select("doc_id", "text")
+    item = items.where("item_id is not null and text is not null and text <> ''").select(F.col("item_id").cast("bigint"), "text")
+    total = item.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    blocks = -(-total // (4 * block_words)) or 1  # most words have more than four characters with the blank after them
+    parts = []
+    for b in range(blocks):
+        own = item.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        parts.append(_block(doc, [(r["item_id"], r["text"]) for r in own.toLocalIterator()]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()

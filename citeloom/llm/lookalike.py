@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
 from functools import cache
 
@@ -53,3 +55,23 @@ def words(text: Column) -> Column:
     t = F.when(t.rlike("[ﬀ-ﬆ]"), F.replace(F.replace(F.replace(F.replace(F.replace(t, F.lit("ﬃ"), F.lit("ffi")), F.lit("ﬄ"), F.lit("ffl")), F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl")), F.lit("ﬀ"), F.lit("ff"))).otherwise(t)
     t = F.when(t.rlike(f"[\\p{{M}}{INVISIBLE_CLASS}¬‐]"), F.regexp_replace(F.regexp_replace(t, r"[-‐¬­]\n\s*", ""), f"[\\p{{M}}{INVISIBLE_CLASS}¬]", "")).otherwise(F.regexp_replace(t, r"-\n\s*", ""))
     return F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+_DIVIDED = re.compile("[-\u2010\u00ac\u00ad]\n\\s*")
+_RUN = re.compile(r"[^\W_]+")
+
+
+@cache
+def _letters() -> dict[int, str | None]:
+    """fold_table() as a table of str.translate, with ligatures apart and without marks and invisible characters."""
+    table: dict[int, str | None] = dict(zip(map(ord, fold_table()[0]), fold_table()[1], strict=True))
+    table |= {c: unicodedata.normalize("NFKC", chr(c)) for c in range(0xFB00, 0xFB05)}
+    table |= {c: None for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "M"}
+    return table | {c: None for a, b in INVISIBLE for c in range(a, b + 1)} | {0xAC: None}
+
+
+def words_of(text: str) -> list[str]:
+    """words() of one string: lower case, look-alikes, accents and width folded, divided words joined."""
+    if "\n" in text:
+        text = _DIVIDED.sub("", text)
+    return _RUN.findall((text if text.isascii() else text.translate(_letters())).lower())

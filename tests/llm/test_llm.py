@@ -150,11 +150,11 @@ def brute_contains(doc, item):
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(400)]
-    items = [[rng.choice(vocabulary) for _ in range(n)] for n in (60, 45, 30, 22, 12, 7)]
+    items = [[rng.choice(vocabulary) for _ in range(n)] for n in (60, 45, 30, 22, 12, 7, 4, 2, 1)]
     docs = []
     for k in range(60):
         item = rng.choice(items)
-        size = rng.randrange(5, len(item) + 1)
+        size = rng.randrange(min(5, len(item)), len(item) + 1)
         at = rng.randrange(len(item) - size + 1)
         part = item[at : at + size]
         for _ in range(rng.randrange(0, 6)):
@@ -165,7 +165,10 @@ def test_leaks_equal_brute_force(spark):
     style = lambda ws, k: (" " if k % 2 else "\n").join(w.upper() if k % 3 == 0 else w + "," for w in ws)
     df = spark.createDataFrame([(d, style(ws, d), None) for d, ws in enumerate(docs)] + [(900, None, 1), (901, "", 1), (None, " ".join(items[0]), 1)], "doc_id long, text string, h int")
     it = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(items)] + [(90, None), (91, "one two")], "item_id long, text string")
-    assert sorted(map(tuple, leaks.leaks(df, it).collect())) == expected and 10 < len(expected) < 60
+    assert sorted(map(tuple, leaks.leaks(df, it).collect())) == expected and 10 < len(expected) < 80
+    assert sorted(map(tuple, leaks.leaks(df, it, block_words=60).collect())) == expected  # several blocks
+    twice = it.unionByName(it.selectExpr("item_id + 1000 as item_id", "upper(text) as text"))
+    assert leaks.leaks(df.unionByName(df), twice).count() == 2 * len(expected)
     assert leaks.leaks(df.where("false"), it).count() == 0 and leaks.leaks(df, it.where("false")).count() == 0
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from functools import cache
+from functools import cache, lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,6 +59,7 @@ def words(text: Column) -> Column:
 
 _DIVIDED = re.compile("[-\u2010\u00ac\u00ad]\n\\s*")
 _RUN = re.compile(r"[^\W_]+")
+_OTHER = re.compile("[^\x00-\x7f]+")
 
 
 @cache
@@ -70,8 +71,13 @@ def _letters() -> dict[int, str | None]:
     return table | {c: None for a, b in INVISIBLE for c in range(a, b + 1)} | {0xAC: None}
 
 
+@lru_cache(maxsize=1 << 16)
+def _folded(run: str) -> str:
+    return run.translate(_letters())
+
+
 def words_of(text: str) -> list[str]:
     """words() of one string: lower case, look-alikes, accents and width folded, divided words joined."""
     if "\n" in text:
         text = _DIVIDED.sub("", text)
-    return _RUN.findall((text if text.isascii() else text.translate(_letters())).lower())
+    return _RUN.findall((text if text.isascii() else _OTHER.sub(lambda m: _folded(m[0]), text)).lower())

@@ -1,20 +1,22 @@
 """Problem 10: per-document text quality statistics.
 
-Method: every line of a text gets votes from labelling functions, each a threshold on one statistic (prose, not prose or
-no vote). The functions' accuracies are learned without labels by expectation-maximization on how often they agree, over
-the counts of all vote patterns of the whole corpus (at most 3 to the power of the number of functions, however many
-lines there are). Each line's posterior then makes its characters prose or not, and a document is prose if at least half
-of its characters are. Only pattern counts and function accuracies reach the driver.
+Method: a text is read as runs of like lines. On each run twelve labelling functions, each a threshold on one statistic,
+vote for a text type (prose, list, table or junk) or not at all. Their accuracies are learned without labels by
+expectation-maximization on how often they agree, over the counts of all vote patterns of the whole corpus (at most 3 to
+the power of the number of functions, however many documents there are). A document's posterior of each type is the mean
+of its runs' posteriors by their characters, and it is prose if at least half of its characters are. Only pattern counts
+and function accuracies reach the driver.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -28,10 +30,19 @@ COMMON = (
     "и в не на что с по из за от для при его это как к о у до"
 ).split()
 KNOWN = frozenset(COMMON)
-PROSE, JUNK, NONE = 1, 0, 2
+TYPES = ("prose", "list", "table", "junk")
+PROSE, JUNK = 0, 3
+#: Labelling functions, with how often each is held to give its first and its second vote on a prose, list, table and junk run before anything is learned; else it gives none.
+FUNCTIONS = {
+    "sentences": ((0.85, 0.05), (0.1, 0.6), (0.05, 0.7), (0.05, 0.85)), "common_words": ((0.85, 0.03), (0.3, 0.3), (0.05, 0.6), (0.15, 0.7)), "letters": ((0.9, 0.02), (0.45, 0.2), (0.15, 0.6), (0.6, 0.2)),
+    "line_length": ((0.85, 0.05), (0.35, 0.4), (0.25, 0.4), (0.5, 0.3)), "last_end": ((0.85, 0.02), (0.15, 0.5), (0.05, 0.6), (0.1, 0.3)), "starts": ((0.03, 0), (0.6, 0), (0.1, 0), (0.03, 0)), "separators": ((0.01, 0), (0.15, 0), (0.7, 0), (0.1, 0)),
+    "digits": ((0.01, 0), (0.15, 0), (0.6, 0), (0.1, 0)), "references": ((0.02, 0), (0.5, 0), (0.1, 0), (0.01, 0)), "symbols": ((0.01, 0), (0.05, 0), (0.25, 0), (0.4, 0)), "repeated": ((0.005, 0), (0.02, 0), (0.03, 0), (0.5, 0)), "word_shape": ((0.005, 0), (0.02, 0), (0.03, 0), (0.5, 0)),
+}
 EM_ROUNDS = 60
-#: Lines' worth of belief that a function votes as it should, so that a few hundred lines are not read the other way round.
-BELIEF = 200.0
+#: Words of a heading at most.
+HEADING = 20
+#: Runs' worth of belief that a function votes as it should, in parts of all runs, and at least.
+BELIEF, BELIEF_LEAST = 0.1, 50.0
 
 
 WORDS = re.compile(r"[^\W\d_]+(?:[’'-]+[^\W\d_]+)*")
@@ -46,6 +57,7 @@ DIGIT = re.compile(r"\d")
 REFERENCE = re.compile(r"(?:19|20)\d\d[,;.)].*\d+\s*[-–:]\s*\d+|\d\(\d+\)|, \d+(?:, \d+)*\s*$")
 SHAPE = re.compile(r"[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ]{6}|\S{45}|[a-z][A-Z0-9][a-z0-9]?[A-Z]")
 SENTENCE_END = re.compile(r"[.!?।؟…](?<=[^\W\d_]{2}.)[”\"»’)\]]*(?:\s+[^\Wa-zß-öø-ÿа-яё_]|\s+[«“\"„¿¡(]|\s*$)|[。！？]")
+BROKEN = re.compile("\ufffd.*\ufffd|(?:\u00c3[\u0080-\u00bf\u00c2].*){2}")
 BLANK = re.compile(r"\n[ \t]*\n")
 
 
@@ -54,121 +66,161 @@ def spaced(x: str) -> bool:
     return "\t" in x or "...." in x or ("   " in x and APART.search(x) is not None) or x.count("&") >= 3 or x.count(";") >= 4 or (x.count(",") >= 3 and COMMAS.search(x) is not None)
 
 
-def line_votes(x: str) -> tuple[int, ...]:
-    """The votes of the ten labelling functions that look at one line alone."""
-    n = len(x)
-    words = WORDS.findall(x)
+def votes(run: list[str]) -> tuple[int, ...]:
+    """The vote of each function on a run of lines: 0 or 1 for its first or second, 2 for none."""
+    text = "\n".join(run)
+    n, m = len(text), len(run)
+    words = WORDS.findall(text)
     k = len(words)
-    common = sum(w in KNOWN for w in map(str.lower, words))
-    cjk = not x.isascii() and CJK.search(x) is not None
+    cjk = not text.isascii() and len(CJK.findall(text))
     letters = sum(map(len, words)) / n
-    digit = DIGIT.search(x) is not None
-    digits = sum(map(str.isdigit, x)) if digit and letters < 0.8 else 0
-    symbols = sum(map(x.count, SYMBOLS)) if letters < 0.9 else 0
+    common = sum(w in KNOWN for w in map(str.lower, words))
+    digits = sum(map(str.isdigit, text)) if letters < 0.8 else 0
+    symbols = sum(map(text.count, SYMBOLS)) if letters < 0.9 else 0
+    ends = sum(1 for _ in SENTENCE_END.finditer(text))
+    wide = cjk * 4 > n  # no blanks between words
+    parts = CJK.findall(text) if wide else words
+    grams = len(parts) - 2
+    again = m > 3 and len(set(run)) * 2 <= m or grams >= 10 and (len(set(zip(parts, parts[1:], parts[2:], strict=False))) * 2 < grams or len(set(pairwise(parts))) * 4 < grams)
+    share = lambda f: sum(map(f, run)) * 2 >= m
     return (
-        PROSE if common >= 0.12 * k and k >= 4 else JUNK if not cjk and (common == 0 or k < 2) else NONE,
-        PROSE if letters >= 0.72 else JUNK if letters < 0.6 else NONE,
-        JUNK if digits > 0.2 * n else NONE,
-        JUNK if symbols > 0.07 * n else NONE,
-        JUNK if END_JUNK.search(x, max(0, n - 200)) else PROSE if END_PROSE.search(x, max(0, n - 40)) else NONE,
-        JUNK if START_JUNK.match(x) else NONE,
-        JUNK if spaced(x) else NONE,
-        JUNK if digit and REFERENCE.search(x) else NONE,
-        JUNK if not cjk and not common and SHAPE.search(x) else NONE,
-        (PROSE if n >= 12 else JUNK if n < 9 else NONE) if cjk else PROSE if k >= 8 else JUNK if k <= 3 else NONE,
+        0 if ends * 400 >= n else 1 if not ends else 2,
+        2 if wide else 0 if common >= 0.12 * k and k >= 4 else 1 if common == 0 or common * 20 < k else 2,
+        0 if letters >= 0.72 else 1 if letters < 0.6 else 2,
+        (0 if n >= 12 * m else 1 if n < 9 * m else 2) if wide else 0 if k >= 8 * m else 1 if k <= 4 * m else 2,
+        0 if END_PROSE.search(run[-1]) else 1 if END_JUNK.search(run[-1]) else 2,
+        0 if share(lambda x: START_JUNK.match(x) is not None) else 2,
+        0 if share(spaced) else 2,
+        0 if digits > 0.15 * n else 2,
+        0 if share(lambda x: REFERENCE.search(x) is not None) else 2,
+        0 if symbols > 0.07 * n else 2,
+        0 if again else 2,
+        0 if BROKEN.search(text) or not cjk and not common and SHAPE.search(text) else 2,
     )
 
 
+def structured(line: str) -> bool:
+    return START_JUNK.match(line) is not None or spaced(line) or REFERENCE.search(line) is not None
+
+
+def runs(text: str) -> Iterator[list[str]]:
+    """The runs of a text: its blocks between blank lines; a block with some structured lines, fewer than half, is divided between them and the others."""
+    for block in BLANK.split(text):
+        lines = [x for x in block.split("\n") if x.strip()]
+        if not lines:
+            continue
+        kind = [structured(x) for x in lines]
+        if not any(kind) or sum(kind) * 2 >= len(kind):
+            yield lines
+            continue
+        at = 0
+        for i in range(1, len(lines) + 1):
+            if i == len(lines) or kind[i] != kind[at]:
+                yield lines[at:i]
+                at = i
+
+
 def text_patterns(text: str) -> tuple[list[int], list[int]]:
-    """Vote pattern (a number in base 3) and length of each line that isn't blank.
+    """Vote pattern (a number in base 3) and length of each run; runs that say the same as an earlier one of the text are read once.
 
-    Two more functions look at the paragraph around a line: sentence (one end of a sentence, followed by the start of
-    another or by the paragraph's end, in 400 characters is enough; none is not) and repeated (half of more than three
-    lines are copies of others).
+    A heading (one line of at most HEADING words without an end, before another run) counts with the run that it heads.
     """
     patterns, sizes = [], []
-    for block in BLANK.split(text):
-        lines = [x for x in block.split("\n") if x.strip(" ")]
-        if not lines or not block.strip(" "):
+    known: dict[tuple[str, ...], int] = {}
+    found = list(runs(text))
+    above = 0
+    for i, run in enumerate(found):
+        size = sum(map(len, run))
+        if len(run) == 1 and i + 1 < len(found) and not structured(run[0]) and not END_PROSE.search(run[0]) and len(run[0].split()) <= HEADING and len(run[0]) <= 10 * HEADING:
+            above += size
             continue
-        ends = sum(1 for _ in SENTENCE_END.finditer(block))
-        sentence = JUNK if not ends else PROSE if ends * 400 >= len(block) else NONE
-        repeated = JUNK if len(lines) > 3 and len(set(lines)) * 2 <= len(lines) else NONE
-        above = sentence * 3**10 + repeated * 3**11
-        known: dict[str, int] = {}
-        for x in lines:
-            if x not in known:
-                known[x] = sum(v * 3**i for i, v in enumerate(line_votes(x))) + above
-            patterns.append(known[x])
-            sizes.append(len(x))
+        key = tuple(run)
+        if key not in known:
+            known[key] = sum(v * 3**j for j, v in enumerate(votes(run)))
+        patterns.append(known[key])
+        sizes.append(size + above)
+        above = 0
     return patterns, sizes
 
 
-FUNCTIONS = ["common_words", "letters", "digits", "symbols", "ending", "start", "spacing", "reference", "word_shape", "length", "sentence", "repeated"]
-
-
-def documents_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line array of (p, n)): the vote pattern and length of each line of the text.
+def documents_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, run array of (p, n)): the vote pattern and length of each run of the text.
 
     The votes are computed on Arrow batches: the same thresholds as SQL expressions took three times the CPU time, as
     each of a dozen patterns then converts every line and runs interpreted.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [text_patterns(t) for t in batch.column(1).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(p) for p, _ in found])]).astype(np.int32)
             flat = lambda k: pa.array([v for x in found for v in x[k]], pa.int32())  # noqa: E731, B023
-            lines = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([flat(0), flat(1)], ["p", "n"]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lines], ["doc_id", "line"])
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([flat(0), flat(1)], ["p", "n"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "run"])
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, line array<struct<p:int,n:int>>")
+    return rows.mapInArrow(read, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, run array<struct<p:int,n:int>>")
 
 
-def learn(counts: dict[int, int]) -> tuple[np.ndarray, float]:
-    """Dawid-Skene EM on pattern counts -> (accuracy[function, truth, vote], share of prose); deterministic."""
+def believed() -> np.ndarray:
+    """FUNCTIONS as [function, truth, vote]."""
+    out = np.array(list(FUNCTIONS.values()), float)
+    return np.clip(np.concatenate([out, 1 - out.sum(2, keepdims=True)], 2), 0.001, None)
+
+
+def learn(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Dawid-Skene EM on pattern counts -> (accuracy[function, truth, vote], share of each type); deterministic."""
     k = len(FUNCTIONS)
     keys = np.array(sorted(counts), dtype=np.int64)
     weight = np.array([counts[p] for p in keys.tolist()], float)
-    votes = (keys[:, None] // 3 ** np.arange(k)[None, :]) % 3
-    balance = (votes == PROSE).sum(1) - (votes == JUNK).sum(1)
-    post = 1 / (1 + np.exp(-balance.astype(float)))
-    table, prior = np.full((k, 2, 3), 1 / 3), 0.5
+    cast = (keys[:, None] // 3 ** np.arange(k)[None, :]) % 3
+    belief = believed()
+    strength = max(BELIEF_LEAST, BELIEF * weight.sum())
+    table, prior = belief / belief.sum(2, keepdims=True), np.full(len(TYPES), 1 / len(TYPES))
     for _ in range(EM_ROUNDS):
-        prior = float(np.clip((weight * post).sum() / weight.sum(), 0.02, 0.98))
-        for truth, w in ((1, weight * post), (0, weight * (1 - post))):
-            for v in range(3):
-                table[:, truth, v] = ((votes == v) * w[:, None]).sum(0) + BELIEF * (0.5 if v == NONE else 0.45 if v == truth else 0.05)
+        post = posteriors(cast, table, prior)
+        prior = (weight @ post + 1) / (weight.sum() + len(TYPES))
+        for v in range(3):
+            table[:, :, v] = ((cast == v) * weight[:, None]).T @ post + strength * belief[:, :, v]
         table /= table.sum(2, keepdims=True)
-        logit = np.log(prior / (1 - prior)) + sum(np.log(table[f, 1, votes[:, f]] / table[f, 0, votes[:, f]]) for f in range(k))
-        post = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
     return table, prior
 
 
-def posterior(pattern: Column, table: np.ndarray, prior: float) -> Column:
-    """P(prose) of a line from its pattern, as an expression of the learned accuracies."""
-    logit = F.lit(float(np.log(prior / (1 - prior))))
-    for f in range(len(FUNCTIONS)):
-        weights = F.array(*(F.lit(float(np.log(table[f, 1, v] / table[f, 0, v]))) for v in range(3)))
-        logit = logit + F.get(weights, F.floor(pattern / F.lit(3**f)).cast("int") % 3)
-    return 1 / (1 + F.exp(-logit))
+def posteriors(cast: np.ndarray, table: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """P(type) of each row of votes."""
+    log = np.log(prior) + sum(np.log(table[f, :, cast[:, f]]) for f in range(table.shape[0]))
+    post = np.exp(log - log.max(1, keepdims=True))
+    return post / post.sum(1, keepdims=True)
 
 
 def text_types(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, n_chars, prose_share, text_type), one row per row with non-empty text.
+    """docs(doc_id, text) -> (doc_id, n_chars, prose_share, p_prose, p_list, p_table, p_junk, text_type), one row per row with non-empty text.
 
-    prose_share is the share of characters in lines that are prose with a posterior of a half or more; text_type is
-    prose from a share of one half, else other. Text of nothing but white space has share 0.
+    p_... are the document's posteriors; prose_share is the share of characters in runs that are prose with a posterior of
+    a half or more; text_type is prose from a share of one half, else the likeliest other type. Text of nothing but white
+    space is junk with share 0.
     """
     kept = docs.where("doc_id is not null and text is not null and text <> ''")
-    lines = cut(documents_lines(kept))
-    counts = lines.select(F.explode("line.p").alias("p")).groupBy("p").count()
+    read = cut(documents_runs(kept))
+    counts = read.select(F.explode("run.p").alias("p")).groupBy("p").count()
     table, prior = learn({r["p"]: r["count"] for r in counts.collect()} or {0: 1})  # at most 3^12 rows, by construction
-    total = F.aggregate("line", F.lit(0), lambda a, x: a + x["n"])
-    good = F.aggregate("line", F.lit(0), lambda a, x: a + F.when(posterior(x["p"], table, prior) >= 0.5, x["n"]).otherwise(0))
-    share = F.when(total > 0, good / total).otherwise(F.lit(0.0))
-    return lines.select("doc_id", total.alias("n_chars"), share.alias("prose_share")).withColumn("text_type", F.when(F.col("prose_share") >= 0.5, "prose").otherwise("other"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            p, n = (np.asarray(x, np.int64) for x in lists.flatten().flatten())
+            owner = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+            post = posteriors((p[:, None] // 3 ** np.arange(len(FUNCTIONS))[None, :]) % 3, table, prior) if len(p) else np.zeros((0, len(TYPES)))
+            total = np.bincount(owner, n, len(lists))
+            per = lambda x: np.bincount(owner, n * x, len(lists)) / np.maximum(total, 1)  # noqa: B023, E731
+            share, mean = per(post[:, PROSE] >= 0.5), np.column_stack([per(post[:, t]) for t in range(len(TYPES))])
+            mean[total == 0] = np.eye(len(TYPES))[JUNK]
+            best = np.where(share >= 0.5, PROSE, 1 + mean[:, 1:].argmax(1))
+            columns = [batch.column(0), pa.array(total.astype(np.int64)), pa.array(share), *(pa.array(mean[:, t]) for t in range(len(TYPES))), pa.array([TYPES[b] for b in best])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "prose_share", *(f"p_{t}" for t in TYPES), "text_type"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return read.mapInArrow(judge, f"doc_id {kind}, n_chars bigint, prose_share double, " + ", ".join(f"p_{t} double" for t in TYPES) + ", text_type string")
 
 
 def statistics(docs: DataFrame) -> DataFrame:

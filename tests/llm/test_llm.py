@@ -202,8 +202,13 @@ def test_text_types(spark):
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts * 8)], "doc_id long, text string, p int")
     got = {r["doc_id"]: r["text_type"] for r in quality.text_types(df).collect()}
     kinds = [got.get(i) for i in range(len(texts))]
-    assert kinds == ["prose", "other", "other", "prose", None, None, "other", "prose", "other", "prose"]
+    assert kinds == ["prose", "list", "table", "prose", None, None, "junk", "prose", "junk", "prose"]
     assert quality.text_types(df.where("false")).count() == 0
+    junk = ["Read the lattice here now\n" * 30, " ".join(["model", "wage", "tree", "crust"][k * k % 7 % 4] for k in range(200)), "Title of a text\n\n沿海冰川降低了热量平衡。数据到此为止。", "References\n" + "[1] Doe, J. How the models of the season shape a lattice. 1999, 1(2):3-44\n" * 2 + "[2] Roe, K. On the state of the art in a cold climate. 2001, 5(1):1-9"]
+    more = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts * 8 + junk)], "doc_id long, text string, p int")
+    r = {x["doc_id"] - 8 * len(texts): x for x in quality.text_types(more).collect()}
+    assert [r[k]["text_type"] for k in range(4)] == ["junk", "junk", "prose", "list"]
+    assert all(abs(x["p_prose"] + x["p_list"] + x["p_table"] + x["p_junk"] - 1) < 1e-9 for x in r.values())
     s = {r["doc_id"]: r for r in quality.statistics(df).collect()}
     assert s[5]["n_words"] is None and s[4]["n_words"] == 0 and s[0]["punctuated_share"] == 0.0 or s[0]["n_lines"] == 1
 

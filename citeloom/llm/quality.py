@@ -49,12 +49,12 @@ WORDS = re.compile(r"[^\W\d_]+(?:[’'-]+[^\W\d_]+)*")
 CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
 SYMBOLS = "|&;\\{}_^=+*/<>#@~$%\t[]"
 END_PROSE = re.compile(r"[.!?;:,。！？；：，…।؟][\"'”’»」』）)\]]*\s*$")
-END_JUNK = re.compile(r"(?:\d|[|>&]|\.{3,}\s*\d*)\s*$")
 START_JUNK = re.compile(r"\s*(?:\[\d+\]|\(?[0-9ivx]{1,5}[).]\s|\(?[a-z]\)\s|[-–—*•·▪◦]\s|\d+(?:\.\d+)+\s|[|&])")
 COMMAS = re.compile(r"(?:,[^, ]*){3}")
 APART = re.compile(r"\S {3,}\S")
 DIGIT = re.compile(r"\d")
-REFERENCE = re.compile(r"(?:19|20)\d\d[,;.)].*\d+\s*[-–:]\s*\d+|\d\(\d+\)|, \d+(?:, \d+)*\s*$")
+REFERENCE = re.compile(r"\d\(\d+\)|, \d+(?:, \d+)*\s*$")
+PAGES, DATED = re.compile(r"\d\s*[-–:]\s*\d"), re.compile(r"(?:19|20)\d\d[,;.)].*\d\s*[-–:]\s*\d")
 SHAPE = re.compile(r"[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ]{6}|\S{45}|[a-z][A-Z0-9][a-z0-9]?[A-Z]")
 SENTENCE_END = re.compile(r"[.!?।؟…](?<=[^\W\d_]{2}.)[”\"»’)\]]*(?:\s+[^\Wa-zß-öø-ÿа-яё_]|\s+[«“\"„¿¡(]|\s*$)|[。！？]")
 BROKEN = re.compile("\ufffd.*\ufffd|(?:\u00c3[\u0080-\u00bf\u00c2].*){2}")
@@ -66,57 +66,71 @@ def spaced(x: str) -> bool:
     return "\t" in x or "...." in x or ("   " in x and APART.search(x) is not None) or x.count("&") >= 3 or x.count(";") >= 4 or (x.count(",") >= 3 and COMMAS.search(x) is not None)
 
 
-def votes(run: list[str]) -> tuple[int, ...]:
-    """The vote of each function on a run of lines: 0 or 1 for its first or second, 2 for none."""
+def reference(x: str) -> bool:
+    """Whether a line reads like a bibliographic reference or an index entry."""
+    return DIGIT.search(x) is not None and (REFERENCE.search(x) is not None or PAGES.search(x) is not None and DATED.search(x) is not None)
+
+
+def signs(line: str) -> tuple[bool, bool, bool]:
+    """Whether a line starts like a list item, is set in fields, reads like a reference."""
+    return START_JUNK.match(line) is not None, spaced(line), reference(line)
+
+
+def repeats(parts: list[str]) -> bool:
+    """Whether most runs of three words, or three quarters of the pairs, stood before."""
+    n = len(parts) - 2
+    if n < 10 or len(set(parts)) > n / 2 + 2:  # fewer different words than runs of them
+        return False
+    return len(set(zip(parts, parts[1:], parts[2:], strict=False))) * 2 < n or len(set(pairwise(parts))) * 4 < n
+
+
+def votes(run: list[str], own: list[tuple[bool, bool, bool]]) -> tuple[int, ...]:
+    """The vote of each function on a run of lines with their signs: 0 or 1 for its first or second, 2 for none."""
     text = "\n".join(run)
     n, m = len(text), len(run)
     words = WORDS.findall(text)
     k = len(words)
-    cjk = not text.isascii() and len(CJK.findall(text))
+    parts = CJK.findall(text) if not text.isascii() else []
+    cjk = bool(parts)
     letters = sum(map(len, words)) / n
     common = sum(w in KNOWN for w in map(str.lower, words))
     digits = sum(map(str.isdigit, text)) if letters < 0.8 else 0
     symbols = sum(map(text.count, SYMBOLS)) if letters < 0.9 else 0
     ends = sum(1 for _ in SENTENCE_END.finditer(text))
-    wide = cjk * 4 > n  # no blanks between words
-    parts = CJK.findall(text) if wide else words
-    grams = len(parts) - 2
-    again = m > 3 and len(set(run)) * 2 <= m or grams >= 10 and (len(set(zip(parts, parts[1:], parts[2:], strict=False))) * 2 < grams or len(set(pairwise(parts))) * 4 < grams)
-    share = lambda f: sum(map(f, run)) * 2 >= m
+    wide = len(parts) * 4 > n  # no blanks between words
+    again = m > 3 and len(set(run)) * 2 <= m or repeats(parts if wide else words)
+    last = run[-1].rstrip()
+    share = [sum(x) * 2 >= m for x in zip(*own, strict=True)]
     return (
         0 if ends * 400 >= n else 1 if not ends else 2,
         2 if wide else 0 if common >= 0.12 * k and k >= 4 else 1 if common == 0 or common * 20 < k else 2,
         0 if letters >= 0.72 else 1 if letters < 0.6 else 2,
         (0 if n >= 12 * m else 1 if n < 9 * m else 2) if wide else 0 if k >= 8 * m else 1 if k <= 4 * m else 2,
-        0 if END_PROSE.search(run[-1]) else 1 if END_JUNK.search(run[-1]) else 2,
-        0 if share(lambda x: START_JUNK.match(x) is not None) else 2,
-        0 if share(spaced) else 2,
+        0 if END_PROSE.search(last) else 1 if last[-1].isdigit() or last[-1] in "|>&" or last.endswith("...") else 2,
+        *(0 if x else 2 for x in share[:2]),
         0 if digits > 0.15 * n else 2,
-        0 if share(lambda x: REFERENCE.search(x) is not None) else 2,
+        0 if share[2] else 2,
         0 if symbols > 0.07 * n else 2,
         0 if again else 2,
-        0 if BROKEN.search(text) or not cjk and not common and SHAPE.search(text) else 2,
+        0 if ("\ufffd" in text or "\u00c3" in text) and BROKEN.search(text) or not cjk and not common and SHAPE.search(text) else 2,
     )
 
 
-def structured(line: str) -> bool:
-    return START_JUNK.match(line) is not None or spaced(line) or REFERENCE.search(line) is not None
-
-
-def runs(text: str) -> Iterator[list[str]]:
-    """The runs of a text: its blocks between blank lines; a block with some structured lines, fewer than half, is divided between them and the others."""
+def runs(text: str) -> Iterator[tuple[list[str], list[tuple[bool, bool, bool]]]]:
+    """The runs of a text with the signs of their lines: its blocks between blank lines; a block with some structured lines, fewer than half, is divided between them and the others."""
     for block in BLANK.split(text):
         lines = [x for x in block.split("\n") if x.strip()]
         if not lines:
             continue
-        kind = [structured(x) for x in lines]
+        own = [signs(x) for x in lines]
+        kind = [any(x) for x in own]
         if not any(kind) or sum(kind) * 2 >= len(kind):
-            yield lines
+            yield lines, own
             continue
         at = 0
         for i in range(1, len(lines) + 1):
             if i == len(lines) or kind[i] != kind[at]:
-                yield lines[at:i]
+                yield lines[at:i], own[at:i]
                 at = i
 
 
@@ -129,14 +143,14 @@ def text_patterns(text: str) -> tuple[list[int], list[int]]:
     known: dict[tuple[str, ...], int] = {}
     found = list(runs(text))
     above = 0
-    for i, run in enumerate(found):
+    for i, (run, own) in enumerate(found):
         size = sum(map(len, run))
-        if len(run) == 1 and i + 1 < len(found) and not structured(run[0]) and not END_PROSE.search(run[0]) and len(run[0].split()) <= HEADING and len(run[0]) <= 10 * HEADING:
+        if len(run) == 1 and i + 1 < len(found) and not any(own[0]) and not END_PROSE.search(run[0]) and len(run[0].split()) <= HEADING and len(run[0]) <= 10 * HEADING:
             above += size
             continue
         key = tuple(run)
         if key not in known:
-            known[key] = sum(v * 3**j for j, v in enumerate(votes(run)))
+            known[key] = sum(v * 3**j for j, v in enumerate(votes(run, own)))
         patterns.append(known[key])
         sizes.append(size + above)
         above = 0

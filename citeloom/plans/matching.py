@@ -6,30 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import matching as M
+from ..operators import titles
 from ..operators.topk import top_k
 from ..session import table
 from .catalog import query
 
-# Titles are blocked by their first author and year or by title head, so no title meets all others.
-PAIRS = r"""w as (select id, lower(display_title) as t, display_year as y, lower(string_split(trim(string_split(display_authors[1], ',')[1]), ' ')[-1]) as a from graph_work where display_title is not null),
- q as (select query_id, lower(title) as t, "year" as y, lower(string_split(trim(string_split(first_author, ',')[1]), ' ')[-1]) as a from title_query where title is not null),
- p as (select q.query_id, w.id, q.t as qt, w.t as wt, q.y as qy, w.y as wy from q join w on substr(q.t, 1, 16) = substr(w.t, 1, 16))"""
+# All pairs of a query and a work whose titles have a Dice coefficient of at least the floor, however they begin.
+SHARED = r"""{a}g as (select t, substr(chr(1) || chr(1) || t || chr(1) || chr(1), i, 3) as g, count(*) as c from (select distinct t from {a} where t <> ''), unnest(range(1, length(t) + 3)) as u(i) group by all),
+ {b}g as (select t, substr(chr(1) || chr(1) || t || chr(1) || chr(1), i, 3) as g, count(*) as c from (select distinct t from {b} where t <> ''), unnest(range(1, length(t) + 3)) as u(i) group by all),
+ dice as (select x.t as qt, y.t as wt, case when x.t = y.t then 1.0::double else 2.0::double * sum(least(x.c, y.c)) / (length(x.t) + length(y.t) + 4) end as similarity from {a}g x join {b}g y using (g) group by 1, 2)"""
+PAIRS = rf"""w as (select id, lower(display_title) as t, display_year as y from graph_work where display_title is not null), q as (select query_id, lower(title) as t, "year" as y from title_query where title is not null),
+ {SHARED.format(a="q", b="w")}, p as (select q.query_id, w.id, qt, wt, q.y as qy, w.y as wy, similarity from dice join q on q.t = qt join w on w.t = wt where similarity >= 0.55)"""
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Queries and works whose titles begin alike."""
+    """Queries and works with near titles."""
     w = table(spark, d, "graph_work").where("display_title is not null").select("id", F.lower("display_title").alias("wt"), F.col("display_year").alias("wy"))
     q = table(spark, d, "title_query").where("title is not null").select("query_id", F.lower("title").alias("qt"), F.col("year").alias("qy"))
-    return q.withColumn("k", F.left("qt", F.lit(16))).join(w.withColumn("k", F.left("wt", F.lit(16))), "k").drop("k")
+    return titles.close(q, w)
 
 
-GRAMS = r"""g as (select query_id, id, qt, wt, list_transform(range(1, length(qt) + 3), lambda i: substr(chr(1) || chr(1) || qt || chr(1) || chr(1), i, 3)) as a, list_transform(range(1, length(wt) + 3), lambda i: substr(chr(1) || chr(1) || wt || chr(1) || chr(1), i, 3)) as b from p),
- n as (select query_id, id, qt, wt, len(a) + len(b) as size, list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))) as common from g)"""
-
-
-@query(rf"with {PAIRS}, {GRAMS} select query_id, id, round(case when qt = wt then 1.0::double else 2.0 * common / size end, 6) as similarity from n")
+@query(rf"with {PAIRS} select query_id, id, round(similarity, 6) as similarity from p")
 def m01_title_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return pairs(spark, d).select("query_id", "id", F.round(M.title_similarity(F.col("qt"), F.col("wt")), 6).alias("similarity"))
+    return pairs(spark, d).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("select id, length(display_title) + 2 as grams from graph_work where display_title <> ''")
@@ -37,43 +36,92 @@ def m02_trigrams(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "graph_work").where("display_title <> ''").select("id", F.size(M.trigrams(F.col("display_title"))).cast("bigint").alias("grams"))
 
 
-SCORES = rf"""{PAIRS}, {GRAMS}, s as (select p.query_id, p.id, case when n.qt = n.wt then 1.0::double else 2.0 * n.common / n.size end as title, case abs(p.qy - p.wy) when 0 then 1.0::double when 1 then 0.7::double when 2 then 0.3::double else case when p.qy is not null and p.wy is not null then 0.0::double end end as y from p join n using (query_id, id)),
- sc as (select query_id, id, title, floor(((0.62 * title + coalesce(0.10 * y, 0)) / (0.62 + case when y is null then 0 else 0.10 end)) * 1000000 + 0.5) / 1000000 as total from s)"""
+_FAMILIES = "list_distinct(list_transform({}, lambda x: lower(string_split(trim(string_split(trim(x), ',')[1]), ' ')[-1])))"
+# Printed entries meet the records of a provider: candidates share the identifier or have a near title.
+SCORES = rf"""w as (select openalex_id as cid, lower(title) as t, "year" as y, lower(doi) as doi, {_FAMILIES.format("authors")} as f from openalex_work),
+ q as (select id, lower(fields ->> '$.title.value') as t, try_cast(fields ->> '$.year.value' as int) as y, lower(fields ->> '$.doi.value') as doi, {_FAMILIES.format("cast(fields -> '$.authors.value' as varchar[])")} as f from bibliography_entry),
+ {SHARED.format(a="q", b="w")},
+ cand as (select q.id, w.cid from dice join q on q.t = qt join w on w.t = wt where similarity >= 0.55 union select q.id, w.cid from q join w on q.doi = w.doi),
+ parts as (select c.id, c.cid, case when q.t is null or w.t is null then null else coalesce(d.similarity, 0.0::double) end as title, q.y as qy, w.y as wy,
+   case when q.doi = w.doi then 'match' when q.doi is not null and w.doi is not null then 'conflict' else 'unknown' end as agreement,
+   case when len(q.f) > 0 and len(w.f) > 0 then 2.0::double * len(list_intersect(q.f, w.f)) / (len(q.f) + len(w.f)) end as authors,
+   case abs(q.y - w.y) when 0 then 1.0::double when 1 then 0.7::double when 2 then 0.3::double else case when q.y is not null and w.y is not null then 0.0::double end end as yr
+   from cand c join q using (id) join w using (cid) left join dice d on d.qt = q.t and d.wt = w.t),
+ sc as (select *, case agreement when 'match' then 1.0::double when 'conflict' then 0.0::double else coalesce(floor((coalesce(title * 0.62, 0) + coalesce(authors * 0.22, 0) + coalesce(yr * 0.10, 0)) / nullif((case when title is null then 0 else 0.62::double end + case when authors is null then 0 else 0.22::double end + case when yr is null then 0 else 0.10::double end), 0) * 1000000 + 0.5) / 1000000, 0.0::double) end as total from parts)"""
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    title = M.title_similarity(F.col("qt"), F.col("wt"))
-    rows = pairs(spark, d).select("query_id", "id", title.alias("title"), M.year_agreement(F.col("qy"), F.col("wy")).alias("y"))
-    total = M.weighted_mean([(F.col("title"), M.SCORE["title"]), (F.col("y"), M.SCORE["year"])])
-    return rows.select("query_id", "id", "title", (F.floor(total * 1000000 + 0.5) / 1000000).alias("total"))
-
-
-def verdicts(best: DataFrame) -> DataFrame:
-    """The two best candidates of each query -> its best one and the decision."""
-    two = best.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.struct("id", "title", "total"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.col("total"))).alias("second"))
-    clear = F.col("second").isNull() | (F.col("a.total") - F.col("second") >= M.LEAD)
-    verdict = F.when((F.col("a.title") < M.TITLE_FLOOR) | (F.col("a.total") < M.TOTAL_FLOOR), "rejected").when((F.col("a.total") >= M.ACCEPT) & clear, "accepted").otherwise("ambiguous")
-    return two.select("query_id", "a.id", verdict.alias("verdict"))
-
+    """(id, cid, title, qy, wy, agreement, total) of every printed entry and each candidate record."""
+    from ..functions.text import family_name
 
-@query(f"with {SCORES} select query_id, id, total from sc")
+    families = lambda c: F.array_distinct(F.transform(c, lambda x: family_name(F.trim(x))))
+    value = lambda n: F.get_json_object("fields", f"$.{n}.value")
+    q = table(spark, d, "bibliography_entry").select("id", F.lower(value("title")).alias("qt"), value("year").try_cast("int").alias("qy"), F.lower(value("doi")).alias("qd"), families(F.from_json(value("authors"), "array<string>")).alias("qf"))
+    w = table(spark, d, "openalex_work").select(F.col("openalex_id").alias("cid"), F.lower("title").alias("wt"), F.col("year").alias("wy"), F.lower("doi").alias("wd"), families(F.col("authors")).alias("wf"))
+    found = titles.near(q.select(F.col("qt").alias("t")), w.select(F.col("wt").alias("t")))
+    by_title = q.join(found, "qt").join(w, "wt")
+    by_key = q.where("qd is not null").join(w.where("wd is not null"), F.col("qd") == F.col("wd")).join(found.select("qt", "wt"), ["qt", "wt"], "left_anti")
+    by_key = by_key.withColumn("similarity", F.when(F.col("qt").isNotNull() & F.col("wt").isNotNull(), M.title_similarity(F.col("qt"), F.col("wt"))))
+    both = by_title.unionByName(by_key)
+    year, authors = M.year_agreement(F.col("qy"), F.col("wy")), M.family_overlap(F.col("qf"), F.col("wf"))
+    total = M.weighted_mean([(F.col("similarity"), M.SCORE["title"]), (authors, M.SCORE["authors"]), (year, M.SCORE["year"])])
+    agreement = F.when(F.col("qd") == F.col("wd"), "match").when(F.col("qd").isNotNull() & F.col("wd").isNotNull(), "conflict").otherwise("unknown")
+    mean = F.coalesce(F.floor(total * 1000000 + 0.5) / 1000000, F.lit(0.0))
+    return both.select("id", "cid", F.col("similarity").alias("title"), "qy", "wy", agreement.alias("agreement"), F.when(agreement == "match", 1.0).when(agreement == "conflict", 0.0).otherwise(mean).alias("total"))
+
+
+@query(f"with {SCORES} select id, cid, total from sc")
 def m03_score_candidate(spark: SparkSession, d: str) -> DataFrame:
-    return scores(spark, d).select("query_id", "id", "total")
-
-
-@query(f"""with {SCORES}, r as (select *, row_number() over (partition by query_id order by total desc, id) as n, lead(total) over (partition by query_id order by total desc, id) as second from sc)
- select query_id, id, case when title < 0.55 then 'rejected' when total < 0.45 then 'rejected' when total >= 0.72 and (second is null or total - second >= 0.06) then 'accepted' else 'ambiguous' end as verdict from r where n = 1""")
+    """1 for an identifier that matches, 0 for one that conflicts, else the weighted mean of title, authors and year as far as they are known; no provider record here has a venue."""
+    return scores(spark, d).select("id", "cid", "total")
+
+
+@query(f"""with {SCORES}, r as (select *, row_number() over (partition by id order by total desc, cid) as n,
+   title >= 0.55 and agreement <> 'conflict' and coalesce(abs(qy - wy) <= 2, true) and total >= 0.45 as fits, title >= 0.55 and agreement <> 'conflict' and abs(qy - wy) > 2 as off from sc),
+ e as (select id, cid, total, row_number() over (partition by id order by total desc, cid) as n, lead(total) over (partition by id order by total desc, cid) as second from r where fits),
+ g as (select id, arg_min(cid, n) filter (agreement = 'match') as hit, bool_or(n = 1 and agreement = 'conflict') as conflict, bool_or(coalesce(off, false)) as off from r group by id)
+ select q.id, case when g.id is null or q.t is null or trim(q.t) = '' then null when hit is not null then hit when conflict then null else e.cid end as cid,
+   case when g.id is null or q.t is null or trim(q.t) = '' then 'rejected' when hit is not null then 'accepted' when conflict or e.id is null then 'rejected' when e.total >= 0.72 and (second is null or e.total - second >= 0.06) then 'accepted' else 'ambiguous' end as verdict,
+   case when g.id is null then 'no_candidates' when q.t is null or trim(q.t) = '' then 'no_title' when hit is not null then 'identifier' when conflict then 'identifier_conflict' when e.id is not null then 'score' when off then 'year_disagrees' else 'title_disagrees' end as reason
+ from q left join g using (id) left join e on e.id = q.id and e.n = 1""")
 def m04_decide(spark: SparkSession, d: str) -> DataFrame:
-    """Accept the best candidate above the floors if it leads clearly; the two best come from a two-level top-k."""
-    best = top_k(scores(spark, d), ["query_id"], [F.desc("total"), F.asc("id")], 2, "id")
-    return verdicts(best)
+    """The decision on every printed entry and its reason: an identifier that matches, else one that conflicts with the best, else the best above the floors if it leads clearly."""
+    return decisions(table(spark, d, "bibliography_entry").select("id", F.lower(F.get_json_object("fields", "$.title.value")).alias("qt")), scores(spark, d))
+
+
+def decisions(asked: DataFrame, scored: DataFrame) -> DataFrame:
+    """asked(id, qt), scored(id, cid, title, qy, wy, agreement, total) -> (id, cid, verdict, reason), one row per asked row."""
+    right = F.coalesce((F.col("title") >= M.TITLE_FLOOR) & (F.col("agreement") != "conflict"), F.lit(False))
+    scored = scored.withColumn("fits", right & M.year_compatible(F.col("qy"), F.col("wy")) & (F.col("total") >= M.TOTAL_FLOOR)).withColumn("off", right & ~M.year_compatible(F.col("qy"), F.col("wy")))
+    rank = F.struct((-F.col("total")).alias("t"), "cid")
+    g = scored.groupBy("id").agg(F.min(F.when(F.col("agreement") == "match", rank)).alias("hit"), F.min(F.struct((-F.col("total")).alias("t"), "cid", "agreement")).alias("top"), F.max("off").alias("off"))
+    two = top_k(scored.where("fits").select("id", "cid", "total"), ["id"], [F.desc("total"), F.asc("cid")], 2, "cid")
+    e = two.groupBy("id").agg(F.max(F.when(F.col("rank") == 1, F.struct("cid", "total"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.col("total"))).alias("second"))
+    rows = asked.join(g, "id", "left").join(e, "id", "left")
+    void = F.col("top").isNull()
+    untitled = F.col("qt").isNull() | (F.trim("qt") == "")
+    hit, conflict = F.col("hit").isNotNull(), F.col("top.agreement") == "conflict"
+    clear = (F.col("a.total") >= M.ACCEPT) & (F.col("second").isNull() | (F.col("a.total") - F.col("second") >= M.LEAD))
+    return rows.select(
+        "id",
+        F.when(void | untitled, None).when(hit, F.col("hit.cid")).when(conflict, None).otherwise(F.col("a.cid")).alias("cid"),
+        F.when(void | untitled, "rejected").when(hit, "accepted").when(conflict | F.col("a").isNull(), "rejected").when(clear, "accepted").otherwise("ambiguous").alias("verdict"),
+        F.when(void, "no_candidates").when(untitled, "no_title").when(hit, "identifier").when(conflict, "identifier_conflict").when(F.col("a").isNotNull(), "score").when(F.col("off"), "year_disagrees").otherwise("title_disagrees").alias("reason"),
+    )
+
+
+@query(f"with {SCORES} select id, cid, agreement from sc")
+def m05_identifier_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Whether an entry's DOI is that of the candidate record, another, or one of both is unknown."""
+    return scores(spark, d).select("id", "cid", "agreement")
 
 
-@query("select e.id, case when e.fields ->> '$.doi.value' is null then 'unknown' when o.openalex_id is not null then 'match' else 'conflict' end as agreement from bibliography_entry e left join openalex_work o on o.doi = e.fields ->> '$.doi.value'")
-def m05_identifier_agreement(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "openalex_work").where("doi is not null").select(F.col("doi").alias("k"), F.lit(True).alias("hit"))
-    e = table(spark, d, "bibliography_entry").select("id", F.get_json_object("fields", "$.doi.value").alias("k"))
-    return e.join(o, "k", "left").select("id", F.when(F.col("k").isNull(), "unknown").when(F.col("hit"), "match").otherwise("conflict").alias("agreement"))
+@query(f"with {SCORES}, r as (select id, cid, total, row_number() over (partition by id order by total desc, cid) as rank from sc) select id, cid, rank from r")
+def k17_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Every candidate of an entry by descending score. An entry's candidates are works of near titles, so a window holds no more than these."""
+    from pyspark.sql import Window
+
+    return scores(spark, d).select("id", "cid", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("total"), "cid")).cast("bigint").alias("rank"))
 
 
 FAMILY = "list_distinct(list_transform({}, lambda x: lower(string_split(trim(string_split(trim(x), ',')[1]), ' ')[-1])))"
@@ -91,7 +139,7 @@ def m06_family_overlap(spark: SparkSession, d: str) -> DataFrame:
     return g.join(o, "k").select("id", "openalex_id", F.round(M.family_overlap(F.col("a"), F.col("b")), 6).alias("overlap"))
 
 
-@query(f"with {PAIRS} select query_id, id, case abs(qy - wy) when 0 then 1.0::double when 1 then 0.7::double when 2 then 0.3::double else case when qy is not null and wy is not null then 0.0::double end end as agreement, coalesce(abs(qy - wy) <= 2, true) as compatible from p")
+@query(rf"with {PAIRS} select query_id, id, case abs(qy - wy) when 0 then 1.0::double when 1 then 0.7::double when 2 then 0.3::double else case when qy is not null and wy is not null then 0.0::double end end as agreement, coalesce(abs(qy - wy) <= 2, true) as compatible from p")
 def m07_year_agreement(spark: SparkSession, d: str) -> DataFrame:
     return pairs(spark, d).select("query_id", "id", M.year_agreement(F.col("qy"), F.col("wy")).alias("agreement"), M.year_compatible(F.col("qy"), F.col("wy")).alias("compatible"))
 
@@ -104,7 +152,7 @@ def m11_lookup_entry(spark: SparkSession, d: str) -> DataFrame:
     return q.join(w, "k").where("y is null or y2 is null or abs(y - y2) <= 1").groupBy("query_id").agg(F.count("id").alias("works"), F.min("id").alias("first_id"))
 
 
-@query(r"with p as (select query_id, list_distinct(regexp_extract_all(lower(q.title), '[a-z]{2,}')) as w, regexp_extract_all(lower(g.display_title), '[a-z]{2,}') as h, g.id from title_query q join graph_work g on substr(lower(q.title), 1, 16) = substr(lower(g.display_title), 1, 16)) select query_id, id, case when len(w) >= 3 then len(list_intersect(w, h)) / len(w) >= 0.8 end as appears from p")
+@query(rf"with {PAIRS}, x as (select query_id, id, list_distinct(regexp_extract_all(qt, '[a-z]{{2,}}')) as w, regexp_extract_all(wt, '[a-z]{{2,}}') as h from p) select query_id, id, case when len(w) >= 3 then len(list_intersect(w, h)) / len(w) >= 0.8 end as appears from x")
 def m17_title_appears_in(spark: SparkSession, d: str) -> DataFrame:
     words = lambda c: F.regexp_extract_all(c, F.lit("([a-z]{2,})"), F.lit(1))
     return pairs(spark, d).select("query_id", "id", (M.words_found(words(F.col("qt")), words(F.col("wt"))) >= 0.8).alias("appears"))
@@ -115,7 +163,7 @@ def m18_values_agree(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "field_claim").where("value is not null").groupBy("work_id", "field", F.lower(F.trim("value")).alias("v")).agg(F.count("*").alias("claims")).where("claims > 1")
 
 
-@query(r"with p as (select query_id, g.id, regexp_extract_all(lower(q.title), '[a-z]{2,}') as a, regexp_extract_all(lower(g.display_title), '[a-z]{2,}') as b from title_query q join graph_work g on substr(lower(q.title), 1, 16) = substr(lower(g.display_title), 1, 16)), n as (select *, coalesce(list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))), 0) as c from p) select query_id, id, round(case when c > 0 then 2.0 * c / (len(a) + len(b)) else 0.0::double end, 6) as f1 from n")
+@query(rf"with {PAIRS}, x as (select query_id, id, regexp_extract_all(qt, '[a-z]{{2,}}') as a, regexp_extract_all(wt, '[a-z]{{2,}}') as b from p), n as (select *, coalesce(list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))), 0) as c from x) select query_id, id, round(case when c > 0 then 2.0 * c / (len(a) + len(b)) else 0.0::double end, 6) as f1 from n")
 def m23_token_f1(spark: SparkSession, d: str) -> DataFrame:
     words = lambda c: F.regexp_extract_all(c, F.lit("([a-z]{2,})"), F.lit(1))
     return pairs(spark, d).select("query_id", "id", F.round(M.token_f1(words(F.col("qt")), words(F.col("wt"))), 6).alias("f1"))

@@ -52,15 +52,31 @@ def test_other_whole_queries(run):
     assert run("f125_compact_whole", "graph_work", list(enumerate(titles)), "id int, display_title string") == {i: plain(t) for i, t in enumerate(titles)}
 
 
-def test_titles_meet_without_a_common_head(spark, run, tmp_path):
+def test_titles_meet_without_a_common_head(spark):
     works = [("a", "Spectral markets: a joint trial of queues", 2001), ("b", "Uniform clouds", None), ("c", "spectral markets: a joint trial of queues", 1990), ("d", "aaaa", 2000), ("e", None, 2000)]
     asked = [(1, "speciral markets: a joint trial of queues", 2001), (2, "On uniform clouds", 2000), (3, "nothing like it", 2000), (4, None, None), (5, "aaab", None), (6, "", 2000)]
     w = spark.createDataFrame(works, "id string, display_title string, display_year int")
-    w.write.parquet(f"{tmp_path}/graph_work.parquet")
     schema = "query_id bigint, title string, year int"
-    assert run("m04_decide_whole", "title_query", asked, schema) == {1: ("a", "accepted"), 2: ("b", "accepted"), 3: ("d", "rejected"), 4: (None, "rejected"), 5: ("d", "rejected"), 6: ("d", "rejected")}
     q = spark.createDataFrame(asked, schema).where("title is not null").select("query_id", F.lower("title").alias("qt"), F.col("year").alias("qy"))
     w = w.where("display_title is not null").select("id", F.lower("display_title").alias("wt"), F.col("display_year").alias("wy"))
     brute = q.crossJoin(w).where(matching.title_similarity(F.col("qt"), F.col("wt")) >= 0.3).select("query_id", "id")
+    for block in (20_000, 2):
+        found = titles.near(q.select(F.col("qt").alias("t")), w.select(F.col("wt").alias("t")), 0.3, block)
+        assert found.count() == found.select("qt", "wt").distinct().count()
     got = titles.close(q, w, 0.3).select("query_id", "id")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, brute.collect())) and got.count() >= 3
+
+
+def test_decisions(spark):
+    from citeloom.plans.matching import decisions
+
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(["a", None, "b", "c", "d", "e", "f", "g"])], "id int, qt string")
+    scored = [
+        (1, "x", None, None, None, "match", 1.0), (2, "y", 0.9, 2000, 2000, "conflict", 0.0), (2, "x", 0.2, None, None, "match", 1.0), (3, "x", 0.9, 2000, 2000, "conflict", 0.0),
+        (4, "x", 0.9, 2000, 2005, "unknown", 0.8), (4, "y", 0.3, 2000, 2000, "unknown", 0.4), (5, "x", 0.9, 2000, 2001, "unknown", 0.8), (5, "y", 0.9, None, 2000, "unknown", 0.78), (6, "x", 0.9, 2000, 2001, "unknown", 0.8), (6, "z", 0.5, 2000, 2001, "unknown", 0.79), (7, "x", 0.4, 2000, 2000, "unknown", 0.6),
+    ]
+    got = {r["id"]: (r["cid"], r["verdict"], r["reason"]) for r in decisions(asked, spark.createDataFrame(scored, "id int, cid string, title double, qy int, wy int, agreement string, total double")).collect()}
+    assert got == {
+        0: (None, "rejected", "no_candidates"), 1: (None, "rejected", "no_title"), 2: ("x", "accepted", "identifier"), 3: (None, "rejected", "identifier_conflict"), 4: (None, "rejected", "year_disagrees"),
+        5: ("x", "ambiguous", "score"), 6: ("x", "accepted", "score"), 7: (None, "rejected", "title_disagrees"),
+    }

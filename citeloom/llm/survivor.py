@@ -1,11 +1,11 @@
 """Problem 5: the best representative of each group of duplicate records.
 
-Method: skyline selection. Records are compared by trust (origin, then confidence), agreement, completeness and age.
-Equal records are first merged into cells by a partial aggregate, so a group with any share of all rows shrinks to its
-distinct combinations before it is put together: agreement counts of one group add up to at most its rows, so it has at
-most about sqrt(2 rows) of them per trust tier and completeness. Over the sorted cells of a group, each cell's dominance
-layer is one more than the deepest layer that dominates it. The lexicographic policy picks within layer one, and empty
-fields are filled from the first later layer that has them.
+Method: skyline selection. Records are compared by trust (origin, then confidence), agreement, completeness and age in
+days. Records equal in all four are first merged into cells by a partial aggregate, so a group with any share of all rows
+shrinks to its distinct combinations before it is put together: agreement counts of one group add up to at most its rows,
+so it has at most about sqrt(2 rows) of them per trust tier, completeness and day. Over the sorted cells of a group, each
+cell's dominance layer is one more than the deepest layer that dominates it; equal records are in one layer. The
+lexicographic policy picks within layer one, and empty fields are filled from the first later layer that has them.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 ORIGINS = ["user", "publisher", "paper", "openalex", "library_metadata", "citing_bibliography"]
 CONFIDENCES = ["explicit", "heuristic", "model"]
 FILLED = ["source_record_id", "entry_id", "locator"]
+#: The day of claims without a time: after all others.
+LAST_DAY = 2**31 - 1
 
 
 def rank_of(name: str, order: list[str]) -> Column:
@@ -60,20 +62,19 @@ def eligible(claims: DataFrame) -> DataFrame:
 
 
 def cells(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per group, tier, agreement count and completeness, with its oldest claim and its oldest filled values."""
-    order = F.struct("created_at", "id")
+    """One row per group, tier, agreement count, completeness and day, with its oldest claim and its oldest filled values."""
+    rows = rows.withColumn("day", F.coalesce(F.unix_date(F.to_date("created_at")), F.lit(LAST_DAY)))
     best = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct(F.col("created_at"), F.col("id"), F.col(c).alias("v")))).alias(f"_{c}")
-    merged = rows.groupBy(*keys, "tier", "agree", "complete").agg(F.count("*").alias("n"), F.min(F.struct("created_at", "id", "value")).alias("first"), *map(best, FILLED))
-    count = rows.groupBy(*keys, "tier", "agree").agg(F.count("*").alias("support"))
+    merged = rows.groupBy(*keys, "tier", "agree", "complete", "day").agg(F.count("*").alias("n"), F.min(F.struct(F.col("created_at").isNull().alias("undated"), "created_at", "id", "value")).alias("first"), *map(best, FILLED))
+    count = merged.groupBy(*keys, "tier", "agree").agg(F.sum("n").alias("support"))
     merged = merged.join(count, [*keys, "tier", "agree"])
-    del order
-    return merged.groupBy(*keys, "tier", "support", "complete").agg(F.min("first").alias("first"), *(F.min(f"_{c}").alias(f"_{c}") for c in FILLED))
+    return merged.groupBy(*keys, "tier", "support", "complete", "day").agg(F.min("first").alias("first"), *(F.min(f"_{c}").alias(f"_{c}") for c in FILLED))
 
 
 def layered(cell: DataFrame, keys: list[str]) -> DataFrame:
     """One row per group with its cells in policy order, each with its dominance layer (1: nothing dominates it)."""
     facts = F.struct(
-        F.col("tier"), (-F.col("support")).alias("s"), (-F.col("complete")).alias("c"), F.col("first.created_at").alias("t"), F.col("first.id").alias("id"),
+        F.col("tier"), (-F.col("support")).alias("s"), (-F.col("complete")).alias("c"), F.col("day").alias("t"), F.col("first.created_at").alias("at"), F.col("first.id").alias("id"),
         F.col("first.value").alias("value"), *(F.col(f"_{c}.v").alias(c) for c in FILLED),
     )
     rows = cell.groupBy(*keys).agg(F.array_sort(F.collect_list(facts)).alias("cell"))
@@ -92,7 +93,7 @@ def survivors(claims: DataFrame) -> DataFrame:
     """claims(field_claim) -> (work_id, field, claim_id, value, filled columns, layers), one row per group with an eligible claim.
 
     The surviving claim is the first of layer one in policy order; a null among source_record_id, entry_id and locator is
-    filled from the lowest layer whose cells have it, in policy order within the layer.
+    filled from the lowest layer whose claims have it, in policy order within the layer. A null created_at is the latest.
     """
     keys = ["work_id", "field"]
     rows = layered(cells(eligible(claims), keys), keys)

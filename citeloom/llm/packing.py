@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 CAPACITY = 4096
-MAX_DOCUMENTS = 256
-#: Attention cost of one full container.
-MAX_ATTENTION = CAPACITY**2
+MAX_DOCUMENTS = 64
+#: Attention cost (sum of squared lengths) of a container, under that of one item that fills it.
+MAX_ATTENTION = int(0.9 * CAPACITY**2)
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Tokens in one shard: what one task packs at once.
 SHARD_TOKENS = 256 * CAPACITY
@@ -97,7 +97,7 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "piece", "char_start", "char_end", "n_tokens"])
 
     kept = docs.where("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("bigint"), "text")
-    return cut(kept.mapInPandas(measure, "doc_id bigint, piece int, char_start int, char_end int, n_tokens int").withColumn("row", F.monotonically_increasing_id()))
+    return cut(kept.mapInPandas(measure, "doc_id bigint, piece int, char_start int, char_end int, n_tokens int").withColumn("row", F.xxhash64("doc_id", "piece", "char_end", "n_tokens")))
 
 
 PACKED = "doc_id bigint, piece int, char_start int, char_end int, n_tokens int, row bigint, shard bigint, container string, full boolean"
@@ -120,28 +120,29 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, max_docs: int = MAX_DOCUMENT
 
     Only texts of more than capacity tokens are divided: into pieces of at most capacity tokens, cut between characters.
     No container exceeds a capacity, except that a single piece may cost more attention than max_attention. Equal rows
-    are packed each by itself. Null and empty texts, and rows without doc_id, have nothing to pack.
+    are packed each by itself. Null and empty texts, and rows without doc_id, have nothing to pack. The containers depend
+    on the rows alone, not on their order or files. Where a round fills few containers to the wanted share, the next wants
+    less, so the rounds end.
     """
     rest = pieces(docs, capacity, tokenizer)
     done: list[DataFrame] = []
-    for turn in range(64):
+    turn = 0
+    while True:
         total = rest.agg(F.sum("n_tokens").alias("t")).first()["t"] or 0
         if not total:
             break
         shards = -(-total // shard_tokens)
         shard = rest.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(shards)).cast("bigint"))
-
         packed = cut(shard.groupBy("shard").applyInPandas(_filler(turn, capacity, max_docs, max_attention, rule, wanted), PACKED))
+        left = packed.where("not full").agg(F.sum("n_tokens").alias("t")).first()["t"] or 0
         if shards == 1:
             done.append(packed)
             break
+        if left > 0.9 * total:  # little can be filled so well (many items of over half a container): less will do
+            wanted *= 0.9
         done.append(packed.where("full"))
-        again = packed.where("not full").select(*rest.columns)
-        left = again.agg(F.sum("n_tokens").alias("t")).first()["t"] or 0
-        if left > 0.9 * total:  # the rest is tight already (many items of over half a container): another round would gain little
-            done[-1] = packed
-            break
-        rest = again
+        rest = packed.where("not full").select(*rest.columns)
+        turn += 1
     out = ["container", "doc_id", "piece", "char_start", "char_end", "n_tokens"]
     if not done:
         return rest.selectExpr("cast(null as string) as container", *out[1:])

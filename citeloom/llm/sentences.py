@@ -95,7 +95,7 @@ def shadow(text: Column) -> Column:
     gap = f"\\s+[{INVISIBLE_CLASS}\\u0300-\\u036f]*"
     # decimals, versions, names with dots, URLs
     t = _mask(t, "", "(?=[\\p{Ll}\\p{Nd}/_@-])(?<=[\\p{L}\\p{N}][.])")
-    t = _mask(t, "(?<=(?:https?://|www)\\S{0,200})", "(?=\\S)")
+    t = F.regexp_replace(t, "((?:https?://|www|(?!^)\\G)[^\\s.]*)[.](?=\\S)", f"$1{MASKS['.']}")
     # numbers that head a line of a list
     t = _mask(t, "(?<=(?:^|\\n)[ \\t]{0,8}\\d{1,2})", "(?=[ \\t])")
     # acronyms: all stops but the last
@@ -128,9 +128,10 @@ def shadow(text: Column) -> Column:
     # quotations of Chinese and Japanese: the sentence goes on after a particle, a verb of saying, or where it has begun before the quotation
     closers = "[”’」』]+"
     stops = "。！？"
+    masked = "".join(MASKS[c] for c in stops)
     t = _mask(t, "", f"(?=[{stops}]*{closers}(?:と|って|など|の|は|が|を|に|も|で|や|か|、|，))", stops)
     t = _mask(t, "", f"(?=[{stops}]*{closers}[^。！？\\n：]{{0,30}}[说說問问道写寫答称稱述尋])", stops)
-    t = _mask(t, f"(?<=[\\p{{L}}\\p{{N}}][“‘「『][^”’」』\\n]{{0,80}})", f"(?=[{stops}]*{closers}[^\\s”’」』])", stops)
+    t = reduce(lambda x, c: F.regexp_replace(x, f"([\\p{{L}}\\p{{N}}][“‘「『][^”’」』\\n]*?)[{c}](?=[{stops}{masked}]*{closers}[^\\s”’」』])", f"$1{MASKS[c]}"), stops, t)
     return t
 
 

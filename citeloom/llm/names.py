@@ -45,7 +45,7 @@ SMALL_WORDS = {"the", "of", "for", "and", "collab", "de", "la", "le", "du", "der
 ET_AL = r"^\s*(and\s+)?et\.?\s+al\.?\s*$"
 #: A given name is read as a mistyped one if a near one is this many times as frequent.
 RARER = 5
-#: A profile of at most this many readings may be a mistyping of a near family name.
+#: A profile may be a mistyping of a near family name if it has at most so many readings, or the other RARER times as many rows.
 FEW = 2
 
 
@@ -181,7 +181,7 @@ def same_family(profiles: DataFrame) -> DataFrame:
 
 
 def near_family(profiles: DataFrame) -> DataFrame:
-    """(a, b): each profile of few readings and the better known profile whose family name it mistypes.
+    """(a, b): each profile of few readings, or of few rows beside the other, and the better known profile whose family name it mistypes.
 
     Nothing in given names and initials may contradict, and either the names end alike (unlike endings tell families
     apart) or the full given names are equal.
@@ -189,11 +189,11 @@ def near_family(profiles: DataFrame) -> DataFrame:
     fam = profiles.select("p", "kind", F.explode("families").alias("w"), "readings", "n")
     pairs = cut(near_pairs(fam.where("kind = 'person'").select("w").distinct()))
     org_pairs = near_pairs(fam.where("kind <> 'person'").select("w").distinct())
-    few = profiles.where((F.col("readings") <= FEW) & (F.col("kind") == "person") & (F.size("firsts") > 0)).select("*", F.explode("main").alias("wa"))
+    few = profiles.where((F.col("kind") == "person") & (F.size("firsts") > 0)).select("*", F.explode("main").alias("wa"))
     x, y = few.alias("x"), profiles.where("kind = 'person'").select("*", F.explode("main").alias("wb")).alias("y")
     both = x.join(pairs.alias("k"), F.col("x.wa") == F.col("k.a")).join(y, F.col("k.b") == F.col("y.wb")).where((F.col("x.p") != F.col("y.p")) & _compatible("x", "y") & (F.size("y.firsts") > 0))
     order = lambda k: F.struct(F.col(f"{k}.readings"), F.col(f"{k}.n"), F.col(f"{k}.p"))
-    both = both.where(order("x") < order("y"))
+    both = both.where((order("x") < order("y")) & ((F.col("x.readings") <= FEW) | (F.col("y.n") >= RARER * F.col("x.n"))))
     full = F.arrays_overlap("x.givens", "y.givens")
     tail = F.right("x.wa", F.lit(2)) == F.right("y.wb", F.lit(2))
     best = both.groupBy(F.col("x.p").alias("a")).agg(F.max(F.struct(tail.alias("t"), full.alias("f"), (F.size(F.array_intersect("x.middles", "y.middles")) > 0).alias("m"), F.col("y.readings").alias("r"), F.col("y.n").alias("n"), F.col("y.p").alias("p"))).alias("m"))

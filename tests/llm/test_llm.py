@@ -36,6 +36,7 @@ def test_sentences_of_many_scripts(spark):
         "क्या यह संभव है? डॉ. वेरल ने कहा।यह सही है।": ["क्या यह संभव है?", "डॉ. वेरल ने कहा।", "यह सही है।"],
         "هل هذا ممكن؟ ذكر د. فيران. انتهى.": ["هل هذا ممكن؟", "ذكر د. فيران.", "انتهى."],
         "В г. Верхнем, т. е. тут. С 1990 г. по 1991 г. Новый год.": ["В г. Верхнем, т. е. тут.", "С 1990 г. по 1991 г.", "Новый год."],
+        "See https://x.org/" + "a" * 300 + ".pdf.Final.part for it. More text.": ["See https://x.org/" + "a" * 300 + ".pdf.Final.part for it.", "More text."],
         "(One alone.) Tw​o, etс. and more.": ["(One alone.)", "Tw​o, etс. and more."],
     }
     for text, got in zip(cases, split(spark, *cases), strict=True):
@@ -119,16 +120,25 @@ def test_survivor_policy_and_filling(spark):
     assert survivor.survivors(spark.createDataFrame([], CLAIM)).count() == 0
 
 
-def test_layers_equal_brute_force(spark):
+def test_layers_and_filling_equal_brute_force_on_claims(spark):
     rng = random.Random(1)
-    data = [claim(i, "title", f'"{rng.choice("abcdef")}"', rng.choice(survivor.ORIGINS), rng.choice(survivor.CONFIDENCES), day=rng.randrange(1, 28)) for i in range(60)]
-    cell = survivor.cells(survivor.eligible(spark.createDataFrame(data, CLAIM)), ["work_id", "field"])
-    facts = [(r["tier"], -r["support"], -r["complete"], r["first"]["created_at"]) for r in cell.collect()]
-    layer = {}
-    for x in sorted(facts):
-        layer[x] = 1 + max([layer[y] for y in layer if all(p <= q for p, q in zip(y, x, strict=True))], default=0)
-    got = {(c["x"]["tier"], c["x"]["s"], c["x"]["c"], c["x"]["t"]): c["layer"] for c in survivor.layered(cell, ["work_id", "field"]).first()["cell"]}
-    assert got == layer
+    data = [claim(i, "title", f'"{rng.choice("abcdef")}"', rng.choice(survivor.ORIGINS), rng.choice(survivor.CONFIDENCES), day=rng.randrange(1, 28), locator=f"p{i}" if rng.random() < 0.1 else None, entry=f"e{i}" if rng.random() < 0.05 else None) for i in range(90)]
+    data += [("v", *claim(i, "title", '"x"', o, day=d, locator=p)[1:]) for i, o, d, p in ((900, "publisher", 5, None), (901, "publisher", 9, "late"), (902, "openalex", 1, "layer-one"))]
+    got = {r["work_id"]: r for r in survivor.survivors(spark.createDataFrame(data, CLAIM)).collect()}
+    assert (got["v"]["claim_id"], got["v"]["locator"], got["v"]["layers"]) == ("id900", "layer-one", 2)
+    for work in "wv":
+        rows = [c for c in data if c[0] == work]
+        tier = lambda c: survivor.ORIGINS.index(c[4]) * 4 + survivor.CONFIDENCES.index(c[5])
+        support = {(tier(c), c[3]): sum(tier(d) == tier(c) and d[3] == c[3] for d in rows) for c in rows}
+        key = lambda c: (tier(c), -support[tier(c), c[3]], c[8].date())  # noqa: B023, E731
+        layer = {}
+        for x in sorted({key(c) for c in rows}):
+            layer[x] = 1 + max([layer[y] for y in layer if all(p <= q for p, q in zip(y, x, strict=True))], default=0)
+        order = sorted(rows, key=lambda c: (*key(c), c[8], c[2]))
+        assert got[work]["claim_id"] == order[0][2] and got[work]["layers"] == max(layer.values())
+        for name, at in (("entry_id", 10), ("locator", 11)):
+            having = [c for c in order if c[at]]
+            assert got[work][name] == (order[0][at] or (min(having, key=lambda c: layer[key(c)])[at] if having else None))
 
 
 def brute_contains(doc, item):
@@ -185,6 +195,11 @@ def test_packing_keeps_every_text_whole(spark):
             assert (len(own) > 1) == (len(enc.encode_ordinary(texts[i])) > 128)
         assert set(got.doc_id) == {i for i, t in enumerate(texts) if t}
         assert got.n_tokens.sum() / got.container.nunique() > 0.9 * 128
+        assert got.groupby("container").n_tokens.apply(lambda n: (n**2).sum() if len(n) > 1 else 0).max() <= 128 * 128
+    tight = packing.pack(df.where("doc_id < 300"), capacity=128, max_docs=6, max_attention=6000, shard_tokens=512).toPandas()
+    assert tight.groupby("container").n_tokens.apply(lambda n: (n**2).sum() if len(n) > 1 else 0).max() <= 6000 and tight.doc_id.nunique() == 300
+    again = packing.pack(df.where("doc_id < 300").repartition(7), capacity=128, max_docs=6, max_attention=6000, shard_tokens=512).toPandas()
+    assert set(map(tuple, again.itertuples(index=False))) == set(map(tuple, tight.itertuples(index=False)))
     assert packing.pack(df.where("false")).count() == 0
 
 

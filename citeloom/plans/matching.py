@@ -158,11 +158,6 @@ def m17_title_appears_in(spark: SparkSession, d: str) -> DataFrame:
     return pairs(spark, d).select("query_id", "id", (M.words_found(words(F.col("qt")), words(F.col("wt"))) >= 0.8).alias("appears"))
 
 
-@query("with k as (select work_id, field, id, lower(trim(value)) as v from field_claim where value is not null) select work_id, field, v, count(*) as claims from k group by all having count(*) > 1")
-def m18_values_agree(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "field_claim").where("value is not null").groupBy("work_id", "field", F.lower(F.trim("value")).alias("v")).agg(F.count("*").alias("claims")).where("claims > 1")
-
-
 @query(rf"with {PAIRS}, x as (select query_id, id, regexp_extract_all(qt, '[a-z]{{2,}}') as a, regexp_extract_all(wt, '[a-z]{{2,}}') as b from p), n as (select *, coalesce(list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))), 0) as c from x) select query_id, id, round(case when c > 0 then 2.0 * c / (len(a) + len(b)) else 0.0::double end, 6) as f1 from n")
 def m23_token_f1(spark: SparkSession, d: str) -> DataFrame:
     words = lambda c: F.regexp_extract_all(c, F.lit("([a-z]{2,})"), F.lit(1))

@@ -172,24 +172,6 @@ CLAIMS = """ok as (select *, list_position(['user','publisher','paper','openalex
  best as (select *, min(tier) over (partition by work_id, field) as top from ok), t as (select *, lower(value) as key from best where tier = top)"""
 
 
-@query(f"with {CLAIMS} select work_id, field, count(distinct key) > 1 as conflict, count(*) as claims from t group by work_id, field")
-def k18_select_field(spark: SparkSession, d: str) -> DataFrame:
-    """Of each field the claims of the best origin and confidence, and whether they disagree."""
-    o, c = (F.array(*map(F.lit, x)) for x in (["user", "publisher", "paper", "openalex", "library_metadata", "citing_bibliography"], ["explicit", "heuristic", "model"]))
-    kind = F.expr("schema_of_variant(try_parse_json(value))")
-    rows = table(spark, d, "field_claim").where("review_state <> 'rejected' and retracted_at is null").where(kind.isNotNull() & (kind != "VOID"))
-    tiers = rows.groupBy("work_id", "field", (F.array_position(o, F.col("origin")) * 10 + F.array_position(c, F.col("confidence"))).alias("tier")).agg(F.min(F.lower("value")).alias("lo"), F.max(F.lower("value")).alias("hi"), F.count("*").alias("n"))
-    best = tiers.groupBy("work_id", "field").agg(F.min_by(F.struct("lo", "hi", "n"), "tier").alias("b"))
-    return best.select("work_id", "field", (F.col("b.lo") != F.col("b.hi")).alias("conflict"), F.col("b.n").alias("claims"))
-
-
-@query("select work_id, field, id, review_state <> 'rejected' and retracted_at is null as eligible, case when review_state = 'rejected' then 'rejected' when retracted_at is not null then 'retracted' end as reason from field_claim")
-def k21_field_provenance(spark: SparkSession, d: str) -> DataFrame:
-    """Every claim with the first reason that rules it out."""
-    r, t = F.col("review_state") == "rejected", F.col("retracted_at").isNotNull()
-    return table(spark, d, "field_claim").select("work_id", "field", "id", (~r & ~t).alias("eligible"), F.when(r, "rejected").when(t, "retracted").alias("reason"))
-
-
 @query(f"with {WORKS}, r as (select id, kind, row_number() over (partition by kind order by num) - 1 as n from works) select id, cast(n // 36 as int) as ring, round(cos(2 * pi() * (n % 36) / 36) * (n // 36 + 1), 6) + 0.0 as x, round(sin(2 * pi() * (n % 36) / 36) * (n // 36 + 1), 6) + 0.0 as y from r where n < 360")
 def k25_ring_layout(spark: SparkSession, d: str) -> DataFrame:
     """Places of ranked works on rings of 36."""

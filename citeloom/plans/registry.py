@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .catalog import QUERIES, SQL
 
-MODULES = ("graph", "ranking", "lookup", "aggregate", "text", "matching", "changes", "documents", "stateful", "printed", "whole")
+MODULES = ("graph", "ranking", "lookup", "aggregate", "text", "matching", "changes", "documents", "stateful", "printed", "whole", "selection")
 for _m in MODULES:
     importlib.import_module(f"{__package__}.{_m}")
 

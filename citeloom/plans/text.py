@@ -10,12 +10,6 @@ from ..session import table
 from .catalog import query
 
 
-@query(r"select distinct p_name as title, trim(regexp_replace(lower(p_name), '[\s:;,.!?''\"()\[\]/_-]+', ' ', 'g')) as key from part")
-def f01_title_key(spark: SparkSession, d: str) -> DataFrame:
-    """Title keys of ASCII titles."""
-    return table(spark, d, "part").select(F.col("p_name").alias("title"), T.title_key_ascii(F.col("p_name")).alias("key")).distinct()
-
-
 @query(r"select id, list_distinct(regexp_extract_all(lower(raw_text), '10\.[0-9]{4,9}/[^\s\"<>]+')) as dois from bibliography_entry where regexp_matches(raw_text, '10\.[0-9]{4,9}/[^\s.,;]+$')")
 def f03_extract_identifiers(spark: SparkSession, d: str) -> DataFrame:
     """DOIs printed at the end of an entry."""
@@ -47,17 +41,6 @@ def f08_trim_trailing_punctuation(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "bibliography_entry").where("raw_text not like '%)' and raw_text not like '%).%'").select("id", T.trim_punctuation(F.col("raw_text")).alias("trimmed"))
 
 
-@query("select id, n.i as place, lower(string_split(trim(string_split(trim(n.a), ',')[1]), ' ')[-1]) as family from (select id, unnest(display_authors) as a, generate_subscripts(display_authors, 1) as i from graph_work) n")
-def f12_citation_family(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "graph_work").select("id", F.posexplode("display_authors").alias("i", "a")).select("id", (F.col("i") + 1).cast("bigint").alias("place"), T.family_name(F.trim("a")).alias("family"))
-
-
-@query(r"select id, len(display_authors) as authors, coalesce(regexp_matches(lower(display_authors[-1]), '^\s*(et al\.?|others|and others)\s*$'), false) as truncated from graph_work where display_authors is not null")
-def f14_author_list_key(spark: SparkSession, d: str) -> DataFrame:
-    last = F.lower(F.try_element_at("display_authors", F.lit(-1)))
-    return table(spark, d, "graph_work").where("display_authors is not null").select("id", F.size("display_authors").cast("bigint").alias("authors"), F.coalesce(last.rlike(r"^\s*(et al\.?|others|and others)\s*$"), F.lit(False)).alias("truncated"))
-
-
 @query("select id, list_position(['user','publisher','paper','openalex','library_metadata','citing_bibliography'], origin) - 1 as origin_rank, list_position(['explicit','heuristic','model'], confidence) - 1 as confidence_rank from field_claim")
 def f16_selection_rank(spark: SparkSession, d: str) -> DataFrame:
     o, c = (F.array(*map(F.lit, x)) for x in (["user", "publisher", "paper", "openalex", "library_metadata", "citing_bibliography"], ["explicit", "heuristic", "model"]))

@@ -92,7 +92,7 @@ def without_truncation(author: Column) -> Column:
 def shorten(text: Column, n: int) -> Column:
     """At most n characters, cut at the last blank before and ended with an ellipsis."""
     head = F.left(text, F.lit(n - 1))
-    at_blank = F.regexp_replace(head, r"\s+\S*$", "")
+    at_blank = F.regexp_replace(head, r"\s+\S*\z", "")
     return F.when(F.length(text) <= n, text).otherwise(F.concat(F.rtrim(F.when(head.rlike(r"\s"), at_blank).otherwise(head)), F.lit("…")))
 
 

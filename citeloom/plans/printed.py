@@ -15,28 +15,11 @@ def _entries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "bibliography_entry").where("raw_text is not null")
 
 
-@query()
-def f25_parse_fields(spark: SparkSession, d: str) -> DataFrame:
-    """Title, year and identifiers of printed entries; tested on fixed entries and against the parsed fields."""
-    return _entries(spark, d).select("id", R.parse_fields(F.col("raw_text")).alias("f")).select("id", "f.*")
-
-
-@query(r"select id, try_cast(nullif(regexp_extract(raw_text, '[(\[]((?:1[4-9]|20|21)[0-9][0-9])[a-z]?[)\]]', 1), '') as int) as year from bibliography_entry where raw_text is not null and regexp_matches(raw_text, '[(\[](1[4-9]|20|21)[0-9][0-9][a-z]?[)\]]')")
-def f26_bracketed_year(spark: SparkSession, d: str) -> DataFrame:
-    return _entries(spark, d).where(F.col("raw_text").rlike(r"[(\[](1[4-9]|20|21)[0-9][0-9][a-z]?[)\]]")).select("id", R.year_of(F.col("raw_text")).alias("year"))
-
-
 @query(r"select id, case when len(list_distinct(regexp_extract_all(lower(raw_text), '10\.[0-9]{4,9}/[a-z0-9./]*[a-z0-9]'))) = 1 then list_distinct(regexp_extract_all(lower(raw_text), '10\.[0-9]{4,9}/[a-z0-9./]*[a-z0-9]'))[1] end as doi from bibliography_entry where raw_text is not null and not regexp_matches(raw_text, '/\s')")
 def f31_extract_doi(spark: SparkSession, d: str) -> DataFrame:
     return _entries(spark, d).where(~F.col("raw_text").rlike(r"/\s")).select("id", R.doi_of(F.col("raw_text")).alias("doi"))
 
 
-@query("select id, null::varchar as arxiv from bibliography_entry where raw_text is not null and not contains(lower(raw_text), 'arxiv')")
-def f33_extract_arxiv(spark: SparkSession, d: str) -> DataFrame:
-    """No entry without the name of the archive has its identifier."""
-    return _entries(spark, d).where(~F.lower("raw_text").contains("arxiv")).select("id", R.arxiv_of(F.col("raw_text")).cast("string").alias("arxiv"))
-
-
 LINES = r"select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as line, unnest(string_split(text, chr(10))) as x from documents where text is not null"
 
 
@@ -54,11 +37,6 @@ def f83_dot_leaders(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).where(R.has_dot_leader(F.col("x"))).groupBy("doc_id").agg(F.count("*").alias("leaders"))
 
 
-@query(rf"select doc_id, count(*) as labels from ({LINES}) where regexp_full_match(trim(x), '\((?:[A-Z]\.?)?[0-9]{{1,3}}(?:\.[0-9]{{1,3}})?[a-z]?\)') group by doc_id")
-def f111_equation_labels(spark: SparkSession, d: str) -> DataFrame:
-    return _lines(spark, d).where(R.is_equation_label(F.col("x"))).groupBy("doc_id").agg(F.count("*").alias("labels"))
-
-
 @query()
 def f107_headings(spark: SparkSession, d: str) -> DataFrame:
     """Lines that look like headings, by document."""

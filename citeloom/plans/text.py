@@ -10,12 +10,6 @@ from ..session import table
 from .catalog import query
 
 
-@query(r"select id, list_distinct(regexp_extract_all(lower(raw_text), '10\.[0-9]{4,9}/[^\s\"<>]+')) as dois from bibliography_entry where regexp_matches(raw_text, '10\.[0-9]{4,9}/[^\s.,;]+$')")
-def f03_extract_identifiers(spark: SparkSession, d: str) -> DataFrame:
-    """DOIs printed at the end of an entry."""
-    return table(spark, d, "bibliography_entry").where(F.col("raw_text").rlike(r"10\.[0-9]{4,9}/[^\s.,;]+$")).select("id", T.all_dois(F.col("raw_text")).alias("dois"))
-
-
 @query(r"select id, case when regexp_full_match(lower(trim(value_normalized)), '10\.[0-9]{4,9}/[^\s]+') then lower(trim(value_normalized)) end as doi from work_identifier where scheme = 'doi'")
 def f04_normalize_doi(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "work_identifier").where("scheme = 'doi'").select("id", T.normalize_doi(F.concat(F.lit("https://doi.org/"), F.trim("value_normalized"))).alias("doi"))
@@ -47,21 +41,11 @@ def f16_selection_rank(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "field_claim").select("id", (F.array_position(o, F.col("origin")) - 1).cast("int").alias("origin_rank"), (F.array_position(c, F.col("confidence")) - 1).cast("int").alias("confidence_rank"))
 
 
-@query(r"select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as cleaned from documents where text is not null and not regexp_matches(text, '[^\x00-\x7F]')")
-def f35_clean(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", T.clean(F.col("text")).alias("cleaned"))
-
-
 @query(r"select id, try_cast(regexp_extract(fields ->> '$.year.value', '^([0-9]{4})[a-z]?', 1) as int) as year from bibliography_entry")
 def f38_leading_year(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "bibliography_entry").select("id", T.leading_year(F.get_json_object("fields", "$.year.value")).alias("year"))
 
 
-@query(r"select doc_id, substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 200) as shown from documents where text is not null and not regexp_matches(text, '[^\x00-\x7F]')")
-def f39_shown_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", F.left(T.clean(F.col("text")), F.lit(200)).alias("shown"))
-
-
 @query("select doc_id, sha256(concat_ws('|', 'v1', lang, source, coalesce(text, ''))) as key from documents")
 def f41_cache_key(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2(F.concat_ws("|", F.lit("v1"), "lang", "source", F.coalesce("text", F.lit(""))), 256).alias("key"))
@@ -111,33 +95,11 @@ def f66_canonical_chars(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_item").select("item_id", T.compact(F.col("text")).alias("canonical"))
 
 
-@query(r"select paper_id, len(regexp_extract_all(text, '\w+')) as words, length(text) as chars from reading_index where text is not null and not regexp_matches(text, '[^\x00-\x7F]')")
-def f73_objects(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "reading_index").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return rows.select("paper_id", F.size(F.regexp_extract_all("text", F.lit(r"(\w+)"), F.lit(1))).cast("bigint").alias("words"), F.length("text").cast("bigint").alias("chars"))
-
-
-@query(r"select id, [cast(x as int) for x in list_distinct(regexp_extract_all(marker_text, '[0-9]+'))] as keys from citation_mention where style = 'numeric' and not regexp_matches(marker_text, '[-–]')")
-def f89_citation_keys(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "citation_mention").where(F.col("style").eqNullSafe("numeric") & ~F.col("marker_text").rlike("[-–]")).select("id", T.citation_keys(F.col("marker_text")).alias("keys"))
-
-
-@query("select doc_id, case when length(text) <= 120 then text end as short from documents where text is not null")
-def f102_shorten(spark: SparkSession, d: str) -> DataFrame:
-    s = T.shorten(F.col("text"), 120)
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.when(F.length("text") <= 120, s).alias("short"))
-
-
 @query(r"select doc_id, regexp_replace(text, '([a-z])([,;:])([a-z])', '\1\2 \3', 'g') as repaired from documents where text is not null")
 def f104_repair_spaces(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.regexp_replace("text", "([a-z])([,;:])([a-z])", "$1$2 $3").alias("repaired"))
 
 
-@query("select doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as escaped from documents where text is not null and not regexp_matches(text, '[\\\\*_\\[\\]]')")
-def f109_escape_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"[\\*_\[\]]")).select("doc_id", T.escape_markdown(F.col("text")).alias("escaped"))
-
-
 @query("select id, upper(regexp_replace(printed_key, '[\\s\\[\\]()]', '', 'g')) as number from bibliography_entry where printed_key is not null")
 def f114_normalized_number(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "bibliography_entry").where("printed_key is not null").select("id", F.upper(F.regexp_replace("printed_key", r"[\s\[\]()]", "")).alias("number"))
@@ -149,11 +111,6 @@ def f122_completion_cost(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.round(F.col("value") * 0.000002 + tokens * 0.00001, 9).alias("cost"))
 
 
-@query(r"select id, regexp_replace(lower(display_title), '[^a-z0-9]', '', 'g') as compact from graph_work where display_title is not null and not regexp_matches(display_title, '[^\x00-\x7F]')")
-def f125_compact(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "graph_work").where(F.col("display_title").isNotNull() & ~F.col("display_title").rlike(r"[^\x00-\x7F]")).select("id", T.compact(F.col("display_title")).alias("compact"))
-
-
 @query("select id, regexp_extract_all(lower(display_title), '[a-z]{2,}') as words from graph_work where display_title is not null")
 def f126_words(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "graph_work").where("display_title is not null").select("id", F.regexp_extract_all(F.lower("display_title"), F.lit("([a-z]{2,})"), F.lit(1)).alias("words"))
@@ -200,12 +157,6 @@ def f140_provider_key(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "work_identifier").where("value_normalized <> ''").select("id", F.when(s == "arxiv", F.concat(F.lit("doi:10.48550/arxiv."), v)).otherwise(F.concat(s, F.lit(":"), v)).alias("key"))
 
 
-@query(r"select id, 'https://arxiv.org/pdf/' || value_normalized as url from work_identifier where scheme = 'arxiv' and regexp_full_match(value_normalized, '[0-9]{4}\.[0-9]{4,5}')")
-def f141_arxiv_pdf_url(spark: SparkSession, d: str) -> DataFrame:
-    v = F.col("value_normalized")
-    return table(spark, d, "work_identifier").where("scheme = 'arxiv'").where(v.rlike(f"^{T.ARXIV_NEW}$")).select("id", F.concat(F.lit("https://arxiv.org/pdf/"), v).alias("url"))
-
-
 @query("select id, case when scheme = 'arxiv' or starts_with(value_normalized, '10.48550/') then 'preprint' when scheme = 'doi' then 'published' else 'unknown' end as kind from work_identifier where value_normalized is not null")
 def f147_infer_version_kind(spark: SparkSession, d: str) -> DataFrame:
     s, v = F.col("scheme"), F.col("value_normalized")

@@ -101,46 +101,12 @@ def f08_trim_trailing_punctuation_whole(spark: SparkSession, d: str) -> DataFram
     return table(spark, d, "bibliography_entry").where("raw_text is not null").select("id", trimmed(F.col("raw_text")).alias("trimmed"))
 
 
-@query()
-def f35_clean_whole(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", collapsed(F.col("text")).alias("cleaned"))
-
-
-@query()
-def f39_shown_text_whole(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.left(collapsed(F.col("text")), F.lit(200)).alias("shown"))
-
-
 @query()
 def f47_strip_markup_whole(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").where("text is not null and source = 'landing_page'")
     return rows.select("doc_id", collapsed(_decoded(F.regexp_replace("text", "<[^>]*>", " "))).alias("plain"))
 
 
-@query()
-def f73_objects_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Words of letters and digits of any script."""
-    rows = table(spark, d, "reading_index").where("text is not null")
-    return rows.select("paper_id", F.size(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))).cast("bigint").alias("words"), F.length("text").cast("bigint").alias("chars"))
-
-
-@query()
-def f89_citation_keys_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers of numeric markers; ranges that run backwards or over more than 31 numbers are in unread."""
-    rows = table(spark, d, "citation_mention").where("style = 'numeric' and marker_text is not null").withColumn("parts", marker_parts(F.col("marker_text")))
-    return rows.select("id", expanded_keys(F.col("parts")).alias("keys"), F.filter("parts", lambda p: _range(p)[0] & ~_expands(p)).alias("unread"))
-
-
-@query()
-def f109_escape_text_whole(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", T.escape_markdown(F.col("text")).alias("escaped"))
-
-
-@query()
-def f125_compact_whole(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "graph_work").where("display_title is not null").select("id", _folded("display_title").alias("compact"))
-
-
 @query()
 def a27_histogram_grid_whole(spark: SparkSession, d: str) -> DataFrame:
     """Every year; works without one are a slot without ends."""

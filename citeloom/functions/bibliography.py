@@ -211,5 +211,5 @@ def split_entries(text: str) -> list[tuple[int, int, str | None]]:
             if line.strip() and (not starts or author_year_prefix(line)):
                 starts.append((at, None))
             at += len(line)
-    ends = [s for s, _ in starts[1:]] + [len(text)]
+    ends = [s for s, _ in starts[1:]] + [len(text)] * bool(starts)
     return [(s, s + len(text[s:e].rstrip()), k) for (s, k), e in zip(starts, ends, strict=True)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .topk import ranked, top_k
+
 # Weights of the components, and where they saturate.
 WEIGHTS = {"degree": 0.30, "global": 0.25, "local": 0.15, "mentions": 0.10, "role": 0.10, "recency": 0.10}
 DEGREE_FULL, MENTIONS_FULL, DECADES_FULL, RECENCY_YEARS = 8, 10, 5, 15
@@ -53,5 +55,35 @@ def cluster_slot(mark: Column, tag: Column, year: Column) -> Column:
     """The cluster a work falls into when it isn't shown by itself: hidden, downplayed, its first tag, its decade, or unknown."""
     return (
         F.when(mark == "hidden", "hidden").when(mark == "downplayed", "downplayed").when(tag.isNotNull(), F.concat(F.lit("tag:"), tag))
-        .when(year.isNotNull(), F.concat(F.lit("decade:"), (F.floor(year / 10) * 10).cast("string"))).otherwise("unknown")
+        .when(year.isNotNull(), F.concat(F.lit("decade:"), (F.floor(year / 10) * 10).cast("string"))).otherwise("decade:unknown")
     )
+
+
+def with_cache(scored: DataFrame, cache: DataFrame, version: int) -> DataFrame:
+    """scored(id, score), cache(id, cached, version) -> (id, score, from_cache): cached scores of this version, else the computed ones."""
+    hit = cache.where(F.col("version") == version).select("id", "cached")
+    return scored.join(hit, "id", "left").select("id", F.coalesce("cached", "score").alias("score"), F.col("cached").isNotNull().alias("from_cache"))
+
+
+def neighborhoods(neighbors: DataFrame, limit: int, expand: list[str]) -> DataFrame:
+    """neighbors(center, id, score, mark, mark_rank, tag, year, title, title_key), once per pair -> with rank, slot, first, visible.
+
+    Pinned and unmarked works are shown to the limit, pinned ones always; the others are members of their slot and shown
+    only if that is expanded. Ranks come from one global sort, so a center's neighborhood is never one task's.
+    """
+    counts = neighbors.groupBy("center").agg(F.count_if(F.col("mark_rank") == 0).alias("pinned"), F.count_if(F.col("mark_rank") == 1).alias("unmarked"))
+    top = F.least(F.greatest(F.lit(limit), "pinned"), F.col("pinned") + F.col("unmarked"))
+    rows = ranked(neighbors, ["center"], rank_order()).join(counts, "center").withColumn("slot", cluster_slot(F.col("mark"), F.col("tag"), F.col("year"))).withColumn("first", F.col("rank") <= top)
+    return rows.withColumn("visible", F.col("first") | F.col("slot").isin(*expand)).drop("pinned", "unmarked")
+
+
+def clusters(ranked_: DataFrame, samples: int = 3) -> DataFrame:
+    """neighborhoods() -> (center, slot, members, samples, place) of what isn't shown; a center has at most one slot per tag and decade."""
+    rest = ranked_.where("not visible").select("center", "slot", "id", "title", "rank")
+    first = top_k(rest.withColumnRenamed("rank", "r"), ["center", "slot"], [F.asc("r")], samples, "id").groupBy("center", "slot").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title"))), lambda x: x["title"]), " / ").alias("samples"))
+    slot = F.col("slot")
+    tag, decade = slot.startswith("tag:"), slot.startswith("decade:") & (slot != "decade:unknown")
+    group = F.when(tag, 0).when(decade, 1).when(slot == "decade:unknown", 2).when(slot == "downplayed", 3).otherwise(4)
+    order = [group, F.when(tag, F.lower(slot)).otherwise(F.lit("")), F.when(decade, -F.substring(slot, 8, 10).try_cast("int")).otherwise(0)]
+    sized = rest.groupBy("center", "slot").agg(F.count("*").alias("members")).join(first, ["center", "slot"])
+    return ranked(sized, ["center"], order, "place").select("center", "slot", "members", "samples", "place")

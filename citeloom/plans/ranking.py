@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import prominence as P
-from ..operators.topk import top_k
+from ..operators.topk import ranked, top_k
 from ..operators.traversal import reading_order
 from ..session import table
 from .catalog import query
@@ -60,11 +60,25 @@ def k02_prominence_score(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).select("id", "score")
 
 
-@query(f"with {SCORED}, cache as (select id, 0.5 as score, cast(substr(id, 2) as int) % 3 as version from works) select w.id, case when c.version = 2 then c.score else s.score end as score, c.version = 2 as from_cache from works w join cache c on c.id = w.id join scored s on s.id = w.id")
+@query(f"with {SCORED}, cache as (select id, round(cast(substr(id, 2) as int) % 1000 / 1000.0, 3)::double as score, cast(substr(id, 2) as int) % 3 as version from works where cast(substr(id, 2) as int) % 5 <> 0) select s.id, coalesce(case when c.version = 2 then c.score end, s.score) as score, coalesce(c.version = 2, false) as from_cache from scored s left join cache c on c.id = s.id")
 def k03_prominence_for(spark: SparkSession, d: str) -> DataFrame:
-    """Cached scores at the current version, the others computed anew."""
-    rows = scored(spark, d).withColumn("hit", F.substr("id", F.lit(2)).cast("int") % 3 == 2)
-    return rows.select("id", F.when(F.col("hit"), F.lit(0.5)).otherwise(F.col("score")).alias("score"), F.col("hit").alias("from_cache"))
+    """Cached scores at the current version, the others computed anew, and those without a cached one too."""
+    n = F.substr("id", F.lit(2)).cast("int")
+    cache = works(spark, d).where(n % 5 != 0).select("id", F.round(n % 1000 / 1000.0, 3).alias("cached"), (n % 3).alias("version"))
+    return P.with_cache(scored(spark, d), cache, version=2)
+
+
+@query(f"with {SCORED}, cache as (select id, round(cast(substr(id, 2) as int) % 1000 / 1000.0, 3)::double as score, cast(substr(id, 2) as int) % 3 as version from works where cast(substr(id, 2) as int) % 5 <> 0) select id, score from cache where version = 2")
+def k04_cached(spark: SparkSession, d: str) -> DataFrame:
+    """Cached scores of the current version only."""
+    n = F.substr("id", F.lit(2)).cast("int")
+    return works(spark, d).where(n % 5 != 0).where(n % 3 == 2).select("id", F.round(n % 1000 / 1000.0, 3).alias("score"))
+
+
+@query(f"with {SCORED} select id, score, citing, mentions, 3 as version from scored")
+def k05_refresh_prominence(spark: SparkSession, d: str) -> DataFrame:
+    """All scores computed anew under a new version, in one pass instead of pages."""
+    return scored(spark, d).select("id", "score", "citing", "mentions", F.lit(3).alias("version"))
 
 
 NEIGHBORS = SCORED + """, edge as (select distinct citing as center, cited as id from live), nb as (select e.center, s.* from edge e join scored s on s.id = e.id)"""
@@ -83,31 +97,63 @@ def k06_rank_neighborhood(spark: SparkSession, d: str) -> DataFrame:
     return top_k(rows, ["center"], P.rank_order(), SHOWN, "id").select("center", "id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-VISIBLE = f"""{NEIGHBORS}, t as (select center, count(*) filter (where mark = 'pinned') as pinned, count(*) filter (where mark is null) as unmarked from nb group by center),
- r as (select nb.*, row_number() over (partition by nb.center {RANK}) as rank, least(greatest({SHOWN}, t.pinned), t.pinned + t.unmarked) as visible from nb join t on t.center = nb.center)"""
-SLOT = "case when mark = 'hidden' then 'hidden' when mark = 'downplayed' then 'downplayed' when tag is not null and mark_rank = 1 and year is null then 'tag:' || tag when year is not null then 'decade:' || cast(year // 10 * 10 as int) else 'unknown' end"
+EXPANDED = ["decade:1990", "downplayed"]
+FILTER = ["Brand#11", "Brand#12", "Brand#13", "Brand#21"]
+# A third of the works have a tag; the others fall into decades.
+TAGGED = NEIGHBORS.replace("scored as (select *,", "scored as (select *, case when cast(substr(id, 2) as bigint) % 3 = 0 then tag end as first_tag,")
+SLOT = "case when mark = 'hidden' then 'hidden' when mark = 'downplayed' then 'downplayed' when first_tag is not null then 'tag:' || first_tag when year is not null then 'decade:' || cast(year // 10 * 10 as int) else 'decade:unknown' end"
+
+
+def _ranked_sql(where: str = "true") -> str:
+    return f"""{TAGGED}, kept as (select *, {SLOT} as slot from nb where {where}), t as (select center, count(*) as n, count(*) filter (where mark = 'pinned') as pinned, count(*) filter (where mark is null) as unmarked, count(*) filter (where mark = 'hidden') as hidden from kept group by center),
+ r as (select k.*, row_number() over (partition by k.center {RANK}) as rank, least(greatest({SHOWN}, t.pinned), t.pinned + t.unmarked) as top from kept k join t using (center)),
+ seen as (select *, rank <= top as first, rank <= top or slot in ({", ".join(f"'{x}'" for x in EXPANDED)}) as visible from r)"""
+
+
+def tagged_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    rows = neighbors(spark, d).withColumn("first_tag", F.when(F.substring("id", 2, 20).cast("bigint") % 3 == 0, F.col("tag")))
+    return rows.select("center", "id", "score", "mark", "mark_rank", F.col("first_tag").alias("tag"), "year", "title", "title_key")
+
 
+@query(f"with {_ranked_sql()} select center, id, rank, first from seen where visible")
+def k07_rank_neighborhood(spark: SparkSession, d: str) -> DataFrame:
+    """What is shown of every neighborhood: pinned and unmarked works to the limit, then the members of expanded clusters, all in rank order."""
+    return P.neighborhoods(tagged_neighbors(spark, d), SHOWN, EXPANDED).where("visible").select("center", "id", "rank", "first")
 
-@query(f"with {VISIBLE} select center, {SLOT} as cluster, count(*) as members, round(max(score), 4) as best from r where rank > visible group by 1, 2")
+
+TAG_LIST = ", ".join(f"'{x}'" for x in FILTER)
+
+
+@query(f"with {_ranked_sql(f'first_tag in ({TAG_LIST})')}, a as (select center, count(*) as n from nb group by center) select a.center, coalesce(t.n - t.hidden, 0) as total, a.n - coalesce(t.n, 0) as filtered_out, coalesce(t.hidden, 0) as hidden, (select count(*) from seen where seen.center = a.center and visible) as shown from a left join t using (center)")
+def k07_filtered_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Of every neighborhood seen through a tag filter: works without the hidden, works filtered out, hidden ones, shown ones."""
+    rows = tagged_neighbors(spark, d)
+    every = rows.groupBy("center").agg(F.count("*").alias("n"))
+    kept = P.neighborhoods(rows.where(F.col("tag").isin(*FILTER)), SHOWN, EXPANDED).groupBy("center").agg(F.count("*").alias("k"), F.count_if(F.col("mark") == "hidden").alias("h"), F.count_if("visible").alias("s"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return every.join(kept, "center", "left").select("center", (zero("k") - zero("h")).alias("total"), (F.col("n") - zero("k")).alias("filtered_out"), zero("h").alias("hidden"), zero("s").alias("shown"))
+
+
+@query(f"""with {_ranked_sql()}, c as (select center, slot, count(*) as members, min(rank) as first_rank from seen where not visible group by all), m as (select center, slot, title, rank, row_number() over (partition by center, slot order by rank) as n from seen where not visible),
+ s as (select center, slot, string_agg(title, ' / ' order by rank) as samples from m where n <= 3 group by all)
+ select c.center, c.slot, c.members, s.samples, row_number() over (partition by c.center order by case when c.slot like 'tag:%' then 0 when c.slot = 'decade:unknown' then 2 when c.slot like 'decade:%' then 1 when c.slot = 'downplayed' then 3 else 4 end, case when c.slot like 'tag:%' then lower(c.slot) else '' end, case when c.slot like 'decade:%' and c.slot <> 'decade:unknown' then -cast(substr(c.slot, 8) as int) else 0 end) as place from c join s using (center, slot)""")
 def k07_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """What isn't shown of every neighborhood, as clusters. Pinned works are always shown, marked-down ones never.
+    """What isn't shown of every neighborhood, as clusters in order: tags by name, decades from the newest, unknown years, downplayed, hidden; with size and first three titles."""
+    return P.clusters(P.neighborhoods(tagged_neighbors(spark, d), SHOWN, EXPANDED))
+
 
-    A rank is only needed for works of the classes pinned and unmarked, of which at most max(limit, pinned) are shown:
-    pinned ones need none, and of the unmarked the first (limit - pinned) are found by a two-level top-k.
-    """
-    rows = neighbors(spark, d).select("center", "id", "score", "mark", "mark_rank", "tag", "year", "title_key")
-    pinned = rows.groupBy("center").agg(F.count_if(F.col("mark") == "pinned").alias("pinned"))
-    first = top_k(rows.where("mark is null"), ["center"], P.rank_order(), SHOWN, "id").join(pinned, "center").where(F.col("rank") <= F.lit(SHOWN) - F.col("pinned"))
-    rest = rows.where("mark is null or mark <> 'pinned'").join(first.select("center", "id"), ["center", "id"], "left_anti")
-    tag = F.when((F.col("mark_rank") == 1) & F.col("year").isNull(), F.col("tag"))
-    return rest.groupBy("center", P.cluster_slot(F.col("mark"), tag, F.col("year")).alias("cluster")).agg(F.count("*").alias("members"), F.round(F.max("score"), 4).alias("best"))
+@query(f"with {_ranked_sql()}, shown as (select center, id from seen where visible union select distinct center, center from nb) select distinct a.center, l.citing, l.cited from shown a join live l on l.citing = a.id join shown b on b.center = a.center and b.id = l.cited")
+def j10_neighbors_response(spark: SparkSession, d: str) -> DataFrame:
+    """The edges between what is shown of every neighborhood, its center included."""
+    rows = tagged_neighbors(spark, d)
+    shown = P.neighborhoods(rows, SHOWN, EXPANDED).where("visible").select("center", "id").unionByName(rows.select("center", F.col("center").alias("id")).distinct())
+    edges = live(spark, d).select("citing", "cited").distinct()
+    return edges.join(shown.withColumnRenamed("id", "citing"), "citing").join(shown.withColumnRenamed("id", "cited"), ["center", "cited"]).select("center", "citing", "cited").distinct()
 
 
-@query(f"with {WORKS} select id, {SLOT.replace('mark_rank', '(case mark when ' + chr(39) + 'pinned' + chr(39) + ' then 0 when ' + chr(39) + 'downplayed' + chr(39) + ' then 2 when ' + chr(39) + 'hidden' + chr(39) + ' then 3 else 1 end)')} as slot from works")
+@query(f"with {TAGGED} select distinct id, {SLOT} as slot from nb")
 def k08_cluster_slot(spark: SparkSession, d: str) -> DataFrame:
-    w = works(spark, d)
-    tag = F.when((P.mark_rank(F.col("mark")) == 1) & F.col("year").isNull(), F.col("tag"))
-    return w.select("id", P.cluster_slot(F.col("mark"), tag, F.col("year")).alias("slot"))
+    return tagged_neighbors(spark, d).select("id", P.cluster_slot(F.col("mark"), F.col("tag"), F.col("year")).alias("slot")).distinct()
 
 
 @query("select p_name as work, arg_min(p_brand, lower(p_brand) || '|' || p_partkey) as tag from part group by p_name")
@@ -127,23 +173,23 @@ def k10_suggest_order(spark: SparkSession, d: str) -> DataFrame:
     return reading_order(items, cites, "ramp")
 
 
-@query(f"with {WORKS} select kind, id, row_number() over (partition by kind order by num % 5 desc, num % 100 desc, year asc nulls last, lower(title), id) as place from works qualify place <= 20")
+@query(f"with {WORKS} select kind, id, row_number() over (partition by kind order by num % 5 desc, num % 100 desc, year asc nulls last, lower(title), id) as place from works")
 def k11_priority(spark: SparkSession, d: str) -> DataFrame:
     """Reading priority: depth, score, oldest first, title, id."""
     rows = works(spark, d).withColumn("depth", F.col("num") % 5).withColumn("score", F.col("num") % 100).withColumn("key", F.lower("title"))
     order = [F.desc("depth"), F.desc("score"), F.asc_nulls_last("year"), F.asc("key"), F.asc("id")]
-    return top_k(rows, ["kind"], order, 20, "id").select("kind", "id", F.col("rank").cast("bigint").alias("place"))
+    return ranked(rows, ["kind"], order, "place").select("kind", "id", "place")
 
 
 COLUMN = "order by case mark when 'pinned' then 0 when 'downplayed' then 2 when 'hidden' then 3 else 1 end, num % 100 desc, trim(lower(title)) = '', trim(lower(title)), id"
 
 
-@query(f"with {WORKS} select year, id, row_number() over (partition by year {COLUMN}) as place from works qualify place <= 10")
+@query(f"with {WORKS} select year, id, row_number() over (partition by year {COLUMN}) as place from works")
 def k13_histogram_entries(spark: SparkSession, d: str) -> DataFrame:
     """Entries of each histogram column in order: mark, score, untitled last, title, id."""
     rows = works(spark, d).withColumn("m", P.mark_rank(F.col("mark"))).withColumn("score", F.col("num") % 100).withColumn("key", F.trim(F.lower("title")))
     order = [F.asc("m"), F.desc("score"), F.asc(F.col("key") == ""), F.asc("key"), F.asc("id")]
-    return top_k(rows, ["year"], order, 10, "id").select("year", "id", F.col("rank").cast("bigint").alias("place"))
+    return ranked(rows, ["year"], order, "place").select("year", "id", "place")
 
 
 @query(f"with {WORKS}, f as (select year, id, num, mark, title from works qualify row_number() over (partition by year {COLUMN}) = 1) select id from f {COLUMN} limit 1")
@@ -161,20 +207,17 @@ def k15_rank_candidates(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("scheme", F.lower(F.trim("value_normalized")).alias("url")).agg(F.min(F.when(F.array_position(order, F.col("status")) > 0, F.array_position(order, F.col("status")))).cast("int").alias("rank"))
 
 
-@query("select lower(title) as key, arg_max(openalex_id, struct_pack(a := len(referenced_works), b := -length(openalex_id))) is not null as found, max(len(referenced_works)) as referenced from openalex_work where title is not null group by 1")
+@query("select lower(title) as key, count(*) as candidates, arg_min(openalex_id, struct_pack(a := -len(coalesce(referenced_works, [])), b := length(openalex_id), c := openalex_id)) as openalex_id from openalex_work where title is not null group by 1")
 def k16_select_title_match(spark: SparkSession, d: str) -> DataFrame:
-    """Of records with one title the one that refers to most works."""
+    """Of the records with one title the one that refers to most works, then the shortest and smallest id."""
     rows = table(spark, d, "openalex_work").where("title is not null")
-    return rows.groupBy(F.lower("title").alias("key")).agg(F.max_by("openalex_id", F.struct(F.size("referenced_works"), -F.length("openalex_id"))).isNotNull().alias("found"), F.max(F.size("referenced_works").cast("bigint")).alias("referenced"))
-
-
-CLAIMS = """ok as (select *, list_position(['user','publisher','paper','openalex','library_metadata','citing_bibliography'], origin) * 10 + list_position(['explicit','heuristic','model'], confidence) as tier from field_claim where review_state <> 'rejected' and retracted_at is null and json_valid(value) and json_type(value) <> 'NULL'),
- best as (select *, min(tier) over (partition by work_id, field) as top from ok), t as (select *, lower(value) as key from best where tier = top)"""
+    order = F.struct(-F.coalesce(F.size("referenced_works"), F.lit(0)), F.length("openalex_id"), "openalex_id")
+    return rows.groupBy(F.lower("title").alias("key")).agg(F.count("*").alias("candidates"), F.min_by("openalex_id", order).alias("openalex_id"))
 
 
-@query(f"with {WORKS}, r as (select id, kind, row_number() over (partition by kind order by num) - 1 as n from works) select id, cast(n // 36 as int) as ring, round(cos(2 * pi() * (n % 36) / 36) * (n // 36 + 1), 6) + 0.0 as x, round(sin(2 * pi() * (n % 36) / 36) * (n // 36 + 1), 6) + 0.0 as y from r where n < 360")
+@query(f"with {WORKS}, r as (select id, kind, row_number() over (partition by kind order by num) - 1 as n from works) select id, cast(n // 36 as int) as ring, round(cos(2 * pi() * (n % 36) / 36) * (n // 36 + 1), 6) + 0.0 as x, round(sin(2 * pi() * (n % 36) / 36) * (n // 36 + 1), 6) + 0.0 as y  from r")
 def k25_ring_layout(spark: SparkSession, d: str) -> DataFrame:
     """Places of ranked works on rings of 36."""
-    r = top_k(works(spark, d), ["kind"], [F.asc("num")], 360, "num").withColumn("n", F.col("rank") - 1)
+    r = ranked(works(spark, d), ["kind"], ["num"]).withColumn("n", F.col("rank") - 1)
     ring, angle = F.floor(F.col("n") / 36), 2 * F.pi() * (F.col("n") % 36) / 36
     return r.select("id", ring.cast("int").alias("ring"), (F.round(F.cos(angle) * (ring + 1), 6) + 0.0).alias("x"), (F.round(F.sin(angle) * (ring + 1), 6) + 0.0).alias("y"))

@@ -27,14 +27,6 @@ def s05_metadata_from_filename(spark: SparkSession, d: str) -> DataFrame:
 PAYLOAD = "select openalex_id, to_json({'id': 'https://openalex.org/' || openalex_id, 'doi': 'https://doi.org/' || doi, 'title': title, 'publication_year': year}) as payload from openalex_work"
 
 
-@query('select openalex_id as id, lower(doi) as doi, nullif(trim(title), \'\') as title, "year" from openalex_work')
-def s10_parse_work(spark: SparkSession, d: str) -> DataFrame:
-    """Provider records as JSON and parsed back."""
-    j = F.to_json(F.struct(F.concat(F.lit("https://openalex.org/"), "openalex_id").alias("id"), F.concat(F.lit("https://doi.org/"), "doi").alias("doi"), "title", F.col("year").alias("publication_year")))
-    w = S.parse_work(j)
-    return table(spark, d, "openalex_work").select(w.alias("w")).select("w.id", "w.doi", "w.title", "w.year")
-
-
 @query("select event_id, case when event_id % 5 = 0 then null when event_id % 7 = 0 then null else cast(floor(value) as bigint) end as count from events")
 def s12_parse_cited_by_count(spark: SparkSession, d: str) -> DataFrame:
     """Numbers count, strings and negative numbers don't."""
@@ -44,26 +36,8 @@ def s12_parse_cited_by_count(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", S.parse_cited_by_count(json).alias("count"))
 
 
-@query("with t as (select work_id, value_normalized as key from work_identifier where scheme = 'openalex' and value_normalized <> '') select distinct t.key, case when o.openalex_id is null then 'miss' else 'cache' end as source from t left join openalex_work o on o.openalex_id = t.key")
-def s17_read_through_cache(spark: SparkSession, d: str) -> DataFrame:
-    """Keys answered by cached records, and misses."""
-    keys = table(spark, d, "work_identifier").where("scheme = 'openalex' and value_normalized <> ''").select(F.col("value_normalized").alias("key"))
-    cache = table(spark, d, "openalex_work").select(F.col("openalex_id").alias("key"), F.coalesce("title", F.lit('{"not_found":true}')).alias("payload"))
-    return S.read_through(keys, cache, "key").select("key", "source")
-
-
 @query("select paper_id, unnest(range(1, len(pages) + 1)) as number from reading_index where len(pages) > 0")
 def s25_split_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages joined by form feeds and divided again."""
     text = F.array_join(F.transform("pages", lambda p: F.concat(F.lit("p"), p["page_number"].cast("string"))), "\f")
     return table(spark, d, "reading_index").where("size(pages) > 0").select("paper_id", F.explode(S.split_pages(text)).alias("p")).select("paper_id", F.col("p.number").cast("bigint").alias("number"))
-
-
-@query("select source, lang, count(*) as documents from documents where length(text) between 500 and 5000 group by 1, 2")
-def s27_select(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where(F.length("text").between(500, 5000)).groupBy("source", "lang").agg(F.count("*").alias("documents"))
-
-
-@query("select openalex_id, len(list_distinct(list_slice(referenced_works, 1, 12))) as edges from openalex_work")
-def s36_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "openalex_work").select("openalex_id", F.size(F.array_distinct(F.slice("referenced_works", 1, 12))).cast("bigint").alias("edges"))

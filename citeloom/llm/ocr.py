@@ -26,8 +26,10 @@ from .boost import Boosted
 #: Rows that a classifier is trained on at most.
 SAMPLE = 20_000
 SEED = 11
-#: Lines at the top and the bottom of a page that may be furniture, and how many pages on its like may stand.
-EDGE, REACH = 2, 4
+#: Lines at the top and the bottom of a page that may be furniture, and how many pages on a like one is looked for letter by letter; equal ones are found at any distance.
+EDGE, REACH = 3, 4
+#: Characters of a line that is nothing but a page number, at most.
+NUMBER_LENGTH = 16
 #: A word this frequent in its language can be what a misread word stands for.
 TRUSTED = 4
 SIGNS = "-‐‑¬­"
@@ -64,7 +66,7 @@ def language(text: str) -> str:
 
 
 def lines(papers: DataFrame) -> DataFrame:
-    """One row per line that isn't blank, with its place on the page and in the text; noisy: the paper has a scanned page."""
+    """One row per line that isn't blank, with its place on the page and in the text; noisy: the paper has a scanned page; trust: the page's confidence, -1 where it has none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -74,60 +76,97 @@ def lines(papers: DataFrame) -> DataFrame:
                 for order, p in enumerate(pages):
                     found = [(m.start() + p["text_start"], m[0]) for m in re.finditer(r"[^\n]*\S[^\n]*", text[p["text_start"] : p["text_end"]])]
                     width = float(np.median([len(x) for _, x in found])) if found else 0.0
-                    out += [(paper, lang, noisy, order, p["provenance"], i, len(found) - 1 - i, start, x, width) for i, (start, x) in enumerate(found)]
-            yield pd.DataFrame(out, columns=["paper_id", "lang", "noisy", "page", "provenance", "line", "back", "start", "text", "width"])
+                    trust = -1.0 if p["confidence"] is None or p["confidence"] != p["confidence"] else float(p["confidence"])
+                    out += [(paper, lang, noisy, order, p["provenance"], trust, i, len(found) - 1 - i, start, x, width) for i, (start, x) in enumerate(found)]
+            yield pd.DataFrame(out, columns=["paper_id", "lang", "noisy", "page", "provenance", "trust", "line", "back", "start", "text", "width"])
 
     kept = papers.where("paper_id is not null and text is not null and pages is not null").select("paper_id", "text", "pages")
-    return cut(kept.repartition("paper_id").mapInPandas(run, "paper_id string, lang string, noisy boolean, page int, provenance string, line int, back int, start bigint, text string, width double"))
+    return cut(kept.repartition("paper_id").mapInPandas(run, "paper_id string, lang string, noisy boolean, page int, provenance string, trust double, line int, back int, start bigint, text string, width double"))
+
+
+PAIR = ["alike", "step", "number", "size", "end", "letters", "gap", "trust", "edge", "repeats", "support"]
+#: Lines alike to this degree support each other.
+ALIKE = 0.7
 
 
 def _pair_features(batch: pd.DataFrame) -> np.ndarray:
     na, nb = batch["text_a"].map(number_of).to_numpy(), batch["text_b"].map(number_of).to_numpy()
-    step = (batch["page_b"] - batch["page_a"]).to_numpy()
+    gap = (batch["page_b"] - batch["page_a"]).to_numpy()
     end = batch["text_a"].str.contains(r"[.!?;,][\"”’»)]*\s*$").to_numpy()
     size = batch["text_a"].str.len().to_numpy()
-    return np.column_stack([batch["alike"].to_numpy(), (na >= 0) & (nb >= 0) & (nb - na == step), na >= 0, size / np.maximum(batch["width"].to_numpy(), 1), end, batch["letters"].to_numpy()]).astype(float)
+    step = (na >= 0) & (nb >= 0) & (nb - na == gap) & (gap > 0)
+    return np.column_stack([batch["alike"].to_numpy(), step, na >= 0, size / np.maximum(batch["width"].to_numpy(), 1), end, batch["letters"].to_numpy(), gap, batch["trust"].to_numpy(), batch["edge"].to_numpy(), batch["repeats"].to_numpy(), batch["support"].to_numpy()]).astype(float)
+
+
+def sure_pair(x: np.ndarray) -> np.ndarray:
+    """What shows beyond doubt: equal or nearly equal lines with letters, or numbers that count the pages."""
+    return ((x[:, 0] >= 0.9) & (x[:, 5] >= 6) & (x[:, 6] > 0)) | (x[:, 1] > 0)
 
 
 def furniture(rows: DataFrame) -> DataFrame:
-    """rows of lines() -> (paper_id, start, noise_kind) of running lines and page numbers."""
+    """rows of lines() -> (paper_id, start, noise_kind) of running lines and page numbers.
+
+    A classifier of line pairs decides: a line at an edge with a like one of another page, and a line of nothing but a
+    number with itself. It learns from sure pairs of the edges against pairs of the same place within pages. Where a corpus
+    has too few of either to learn from, the sure pairs and the numbers are taken.
+    """
     bare = F.lower(F.regexp_replace("text", r"[\d\s]+", ""))
-    near = rows.where("noisy").withColumn("bare", bare).withColumn("letters", F.length(F.regexp_replace("text", r"[^\p{L}]", "")))
-    edge = near.where((F.col("line") < EDGE) | (F.col("back") < EDGE)).withColumn("side", F.explode(F.expr(f"filter(array(if(line < {EDGE}, 't', null), if(back < {EDGE}, 'b', null)), x -> x is not null)")))
-    inner = near.where((F.col("line") >= EDGE) & (F.col("back") >= EDGE)).withColumn("side", F.concat(F.lit("i"), F.col("line")))
+    near = rows.where("noisy").withColumn("bare", bare).withColumn("letters", F.length(F.regexp_replace("text", r"[^\p{L}]", ""))).withColumn("edge", F.least("line", "back"))
+    outer = near.where(F.col("edge") < EDGE).withColumn("side", F.explode(F.expr(f"filter(array(if(line < {EDGE}, 't', null), if(back < {EDGE}, 'b', null)), x -> x is not null)")))
+    inner = near.where(F.col("edge") >= EDGE).withColumn("side", F.concat(F.lit("i"), F.col("line")))
+    number = F.pandas_udf(lambda s: s.map(number_of).astype("int64"), LongType())
 
     def paired(x: DataFrame) -> DataFrame:
+        x = x.join(x.where("letters >= 6").groupBy("paper_id", "side", "bare").agg(F.countDistinct("page").alias("repeats")), ["paper_id", "side", "bare"], "left").withColumn("repeats", F.coalesce("repeats", F.lit(0)))
         a = x.withColumn("other", F.explode(F.array(*(F.col("page") + d for d in range(1, REACH + 1)))))
-        b = x.select("paper_id", "side", F.col("page").alias("other"), F.col("start").alias("start_b"), F.col("text").alias("text_b"), F.col("bare").alias("bare_b"))
+        b = x.select("paper_id", "side", F.col("page").alias("other"), F.col("start").alias("start_b"), F.col("text").alias("text_b"), F.col("bare").alias("bare_b"), F.col("trust").alias("trust_b"))
         both = a.join(b, ["paper_id", "side", "other"])
-        alike = 1 - F.levenshtein("bare", "bare_b") / F.greatest(F.length("bare"), F.length("bare_b"), F.lit(1))
-        return both.select("paper_id", "side", F.col("page").alias("page_a"), F.col("other").alias("page_b"), F.col("start").alias("start_a"), "start_b", F.col("text").alias("text_a"), "text_b", "width", "letters", alike.alias("alike"))
-
-    pairs = cut(paired(edge))
+        # equal lines farther apart: each with the next page that has it
+        ahead = x.where("repeats > 1").select("paper_id", "side", "bare", "page", "start", "text", "trust").groupBy("paper_id", "side", "bare").agg(F.array_sort(F.collect_list(F.struct("page", "start", "text", "trust"))).alias("s"))
+        far = ahead.select("paper_id", "side", F.explode(F.transform(F.slice("s", F.lit(1), F.size("s") - 1), lambda v, i: F.struct(v.alias("a"), F.get("s", i + 1).alias("b")))).alias("p")).where(F.col("p.b.page") - F.col("p.a.page") > REACH)
+        far = far.select("paper_id", "side", F.col("p.a.start").alias("start"), F.col("p.b.page").alias("other"), F.col("p.b.start").alias("start_b"), F.col("p.b.text").alias("text_b"), F.col("p.b.trust").alias("trust_b")).join(x, ["paper_id", "side", "start"]).withColumn("bare_b", F.col("bare"))
+        alone = x.where(F.length(F.trim("text")) <= NUMBER_LENGTH).where(number("text") >= 0)
+        alone = alone.select("*", F.col("page").alias("other"), F.col("start").alias("start_b"), F.col("text").alias("text_b"), F.col("bare").alias("bare_b"), F.col("trust").alias("trust_b"))
+        alike = F.when(F.col("start") == F.col("start_b"), 1.0).otherwise(1 - F.levenshtein("bare", "bare_b") / F.greatest(F.length("bare"), F.length("bare_b"), F.lit(1)))
+        cols = ["paper_id", "side", F.col("page").alias("page_a"), F.col("other").alias("page_b"), F.col("start").alias("start_a"), "start_b", F.col("text").alias("text_a"), "text_b", "width", "letters", "edge", F.least("trust", "trust_b").alias("trust"), "repeats", alike.alias("alike")]
+        found = cut(both.select(*cols).unionByName(far.select(*cols)).unionByName(alone.select(*cols)))
+        ends = found.where((F.col("alike") >= ALIKE) & (F.col("start_a") != F.col("start_b"))).select("paper_id", F.explode(F.array("start_a", "start_b")).alias("start"))
+        support = ends.groupBy("paper_id", "start").agg(F.count("*").alias("n"))
+        per = lambda k: support.select("paper_id", F.col("start").alias(f"start_{k}"), F.col("n").alias(f"n_{k}"))
+        known = found.join(per("a"), ["paper_id", "start_a"], "left").join(per("b"), ["paper_id", "start_b"], "left")
+        return known.withColumn("support", F.least(F.coalesce("n_a", F.lit(0)), F.coalesce("n_b", F.lit(0)))).drop("n_a", "n_b")
+
+    pairs = cut(paired(outer))
     order = lambda df: df.orderBy(F.xxhash64("paper_id", "start_a", "start_b")).limit(SAMPLE // 2).toPandas()
-    sure, other = order(pairs), order(paired(inner))
+    seen, other = order(pairs), order(paired(inner))
     model = None
-    if len(sure) and len(other):
-        x = _pair_features(sure)
-        good = ((x[:, 0] >= 0.9) & (x[:, 5] >= 6)) | (x[:, 1] > 0)
-        bad = _pair_features(other)
-        bad = bad[~(((bad[:, 0] >= 0.9) & (bad[:, 5] >= 6)) | (bad[:, 1] > 0))]
-        if good.sum() >= 20 and len(bad) >= 20:
-            model = Boosted(trees=20, depth=2).fit(np.vstack([x[good], bad]), np.r_[np.ones(good.sum()), np.zeros(len(bad))])
+    if len(seen) and len(other):
+        x, bad = _pair_features(seen), _pair_features(other)
+        sure = sure_pair(x)
+        known = set(zip(seen["paper_id"][sure], seen["start_a"][sure], strict=True)) | set(zip(seen["paper_id"][sure], seen["start_b"][sure], strict=True))
+        itself = np.array([(p, a) in known for p, a in zip(seen["paper_id"], seen["start_a"], strict=True)]) & (seen["start_a"] == seen["start_b"]).to_numpy()
+        good = x[sure | itself]
+        worse = x[sure & (x[:, 5] >= 6) & (x[:, 6] > 0)].copy()  # the same lines read worse
+        worse[:, 0] -= np.random.default_rng(SEED).uniform(0, 0.3, len(worse))
+        worse[:, PAIR.index("repeats")] = 0
+        good = np.vstack([good, worse])
+        unlike = x[(x[:, 0] < 0.5) & (x[:, 1] == 0)]
+        bad = np.vstack([bad[~sure_pair(bad)], unlike])
+        bad[:, PAIR.index("edge")] = np.minimum(bad[:, PAIR.index("edge")], EDGE - 1)  # where a line stands is no proof against it
+        if len(good) >= 20 and len(bad) >= 20:
+            model = Boosted(trees=40, depth=3).fit(np.vstack([good, bad]), np.r_[np.ones(len(good)), np.zeros(len(bad))])
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = _pair_features(batch)
-            p = model.predict(x) if model else np.zeros(len(x))
-            p = np.where((x[:, 0] >= 0.75) & (x[:, 5] >= 6) | (x[:, 1] > 0), np.maximum(p, 0.9), np.where((x[:, 0] < 0.5) & (x[:, 1] == 0), 0.0, p))
-            hit = batch[p >= 0.5]
+            taken = model.predict(x) >= 0.5 if model else sure_pair(x) | ((x[:, 2] > 0) & (x[:, 6] == 0))
+            hit = batch[taken]
             yield pd.DataFrame({"paper_id": pd.concat([hit["paper_id"], hit["paper_id"]]), "start": pd.concat([hit["start_a"], hit["start_b"]])})
 
     hits = pairs.mapInPandas(judge, "paper_id string, start bigint").distinct()
-    number = F.pandas_udf(lambda s: s.map(number_of).astype("int64"), LongType())
-    alone = edge.where(F.length(F.trim("text")) <= 16).withColumn("v", number("text")).where("v >= 0").select("paper_id", "start", F.lit(True).alias("num")).distinct()
-    both = hits.withColumn("hit", F.lit(True)).join(alone, ["paper_id", "start"], "full_outer")
-    return cut(both.select("paper_id", "start", F.when(F.col("num"), "page_number").otherwise("running_line").alias("noise_kind")))
+    kinds = outer.select("paper_id", "start", "text").distinct().join(hits, ["paper_id", "start"])
+    bare_number = (F.length(F.trim("text")) <= NUMBER_LENGTH) & (number("text") >= 0)
+    return cut(kinds.select("paper_id", "start", F.when(bare_number, "page_number").otherwise("running_line").alias("noise_kind")))
 
 
 def body(rows: DataFrame, noise: DataFrame) -> DataFrame:
@@ -206,12 +245,11 @@ def divided(found: DataFrame, words: DataFrame) -> DataFrame:
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            p = model.predict(_join_features(x)) if model else np.ones(len(x))
-            joined, compound, left, right = (x[c].fillna(0).to_numpy(float) for c in ("n_joined", "n_compound", "n_left", "n_right"))
-            soft = x["soft"].to_numpy(bool)
-            parts = (left >= TRUSTED) & (right >= TRUSTED)
-            keep = (p >= 0.5) | soft | ((joined >= 2) & (joined > 3 * compound)) | ((compound == 0) & ~parts)
-            keep &= soft | (compound <= 3 * joined)
+            if model:
+                keep = model.predict(_join_features(x)) >= 0.5
+            else:
+                joined, compound = (x[c].fillna(0).to_numpy(float) for c in ("n_joined", "n_compound"))
+                keep = x["soft"].to_numpy(bool) | (compound <= joined)
             yield x.loc[keep, ["paper_id", "start", "sign_start", "whole"]]
 
     return cut(described(ends).mapInPandas(judge, "paper_id string, start bigint, sign_start bigint, whole string").withColumnRenamed("whole", "word"))

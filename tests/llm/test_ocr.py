@@ -35,3 +35,31 @@ def test_corrections_without_native_words_and_with_a_native_typo(spark):
 def test_language_of_the_whole_text():
     assert ocr.language("the cat " * 2500 + "der Hund " * 9000) == "de"
     assert ocr.language("12 345") == "other"
+
+
+def test_furniture_is_what_the_classifier_decides(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    words = ["model", "season", "wage", "tree", "market", "lattice", "sample", "graph", "reader", "winter", "margin", "corpus"]
+    papers = []
+    for p in range(12):
+        text, pages = "", []
+        for k in range(9):
+            body = "\n".join(" ".join(rng.choice(words) for _ in range(rng.randrange(6, 10))) + rng.choice([".", ",", ""]) for _ in range(14))
+            head = f"Annals of Things, Vol. {p}" if k % 2 else f"Annals of Thimgs, Vol. {p}"
+            page = f"{head}\n{body}\n{100 + k}\n"
+            pages.append((k + 1, len(text), len(text) + len(page), "ocr", 0.8 if k % 3 else None))
+            text += page
+        papers.append((f"p{p}", text, pages))
+    kind = "paper_id string, text string, pages array<struct<page_number:int,text_start:int,text_end:int,provenance:string,confidence:float>>"
+    rows = ocr.lines(spark.createDataFrame(papers, kind))
+    got = {(r["paper_id"], r["start"]): r["noise_kind"] for r in ocr.furniture(rows).collect()}
+    want = {}
+    for p, text, pages in papers:
+        for _, a, b, _, _ in pages:
+            want[p, a] = "running_line"
+            want[p, text.rindex("\n", a, b - 1) + 1] = "page_number"
+    assert len(set(got.items()) & set(want.items())) >= 0.97 * len(want) and len(got) <= 1.03 * len(want)
+    monkeypatch.setattr(ocr.Boosted, "predict", lambda self, x: x[:, 0] * 0)
+    assert ocr.furniture(rows).count() == 0

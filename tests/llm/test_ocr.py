@@ -60,6 +60,18 @@ def test_furniture_is_what_the_classifier_decides(spark, monkeypatch):
         for _, a, b, _, _ in pages:
             want[p, a] = "running_line"
             want[p, text.rindex("\n", a, b - 1) + 1] = "page_number"
+    wrong = [(k, v, dict((q[0], q[1]) for q in papers)[k[0]][k[1] : k[1] + 30]) for k, v in got.items() if want.get(k) != v]
     assert len(set(got.items()) & set(want.items())) >= 0.97 * len(want) and len(got) <= 1.03 * len(want)
-    monkeypatch.setattr(ocr.Boosted, "predict", lambda self, x: x[:, 0] * 0)
+
+    class Never:
+        def __init__(self, **_):
+            pass
+
+        def fit(self, x, y):
+            return self
+
+        def predict(self, x):
+            return x[:, 0] * 0
+
+    monkeypatch.setattr(ocr, "Boosted", Never)
     assert ocr.furniture(rows).count() == 0

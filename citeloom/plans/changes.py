@@ -159,13 +159,3 @@ def d06_deduplicate(spark: SparkSession, d: str) -> DataFrame:
 @query("select id, list_sort(list_distinct(list_filter(display_authors, lambda x: x <> ''))) as names from graph_work where display_authors is not null")
 def d07_sorted_unique(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "graph_work").where("display_authors is not null").select("id", F.array_sort(F.array_distinct(F.filter("display_authors", lambda x: x != ""))).alias("names"))
-
-
-@query("with r as (select min(id) as new, display_title from graph_work where display_title is not null group by display_title having count(*) > 1), m as (select g.id as old, r.new from graph_work g join r using (display_title) where g.id <> r.new), f as (select coalesce(m.new, i.work_id) as work_id, i.scheme, i.value_normalized, i.id from work_identifier i left join m on m.old = i.work_id) select work_id, scheme, value_normalized, min(id) as id from f group by 1, 2, 3")
-def d11_merge_work(spark: SparkSession, d: str) -> DataFrame:
-    """Identifiers after works of one title are merged into the smallest; those that become equal stay once."""
-    g = table(spark, d, "graph_work").where("display_title is not null").select("id", "display_title")
-    to = g.groupBy("display_title").agg(F.min("id").alias("new"), F.count("*").alias("n")).where("n > 1")
-    redirects = g.join(to, "display_title").where("id <> new").select(F.col("id").alias("old"), "new")
-    facts = table(spark, d, "work_identifier").select("work_id", "scheme", "value_normalized", "id")
-    return C.merge_works(redirects, facts, "work_id", ["work_id", "scheme", "value_normalized"])

@@ -56,14 +56,6 @@ def look_p09_openalex_ids_for(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "work_identifier").where("scheme = 'openalex' and status = 'active' and work_id is not null").groupBy("work_id").agg(F.min("value_normalized").alias("openalex_id"))
 
 
-@query("select g.id from graph_work g where not exists (select 1 from field_claim c where c.work_id = g.id and c.origin in ('user', 'publisher')) and not exists (select 1 from work_identifier i where i.work_id = g.id and i.status = 'active')")
-def look_p10_mergeable_stubs(spark: SparkSession, d: str) -> DataFrame:
-    """Works with neither a trusted claim nor an active identifier: two anti joins."""
-    a = table(spark, d, "field_claim").where("origin in ('user', 'publisher')").select(F.col("work_id").alias("id"))
-    b = table(spark, d, "work_identifier").where("status = 'active'").select(F.col("work_id").alias("id"))
-    return table(spark, d, "graph_work").select("id").join(a, "id", "left_anti").join(b, "id", "left_anti")
-
-
 @query("select work_id, field, id, origin from field_claim where field in ('title', 'year') and retracted_at is null")
 def look_p11_claims_for(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "field_claim").where("field in ('title', 'year') and retracted_at is null").select("work_id", "field", "id", "origin")

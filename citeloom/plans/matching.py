@@ -61,7 +61,7 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
     found = titles.near(q.select(F.col("qt").alias("t")), w.select(F.col("wt").alias("t")))
     by_title = q.join(found, "qt").join(w, "wt")
     by_key = q.where("qd is not null").join(w.where("wd is not null"), F.col("qd") == F.col("wd")).join(found.select("qt", "wt"), ["qt", "wt"], "left_anti")
-    by_key = by_key.withColumn("similarity", F.when(F.col("qt").isNotNull() & F.col("wt").isNotNull(), M.title_similarity(F.col("qt"), F.col("wt"))))
+    by_key = by_key.withColumn("similarity", titles.dice("qt", "wt"))
     both = by_title.unionByName(by_key)
     year, authors = M.year_agreement(F.col("qy"), F.col("wy")), M.family_overlap(F.col("qf"), F.col("wf"))
     total = M.weighted_mean([(F.col("similarity"), M.SCORE["title"]), (authors, M.SCORE["authors"]), (year, M.SCORE["year"])])
@@ -144,14 +144,6 @@ def m07_year_agreement(spark: SparkSession, d: str) -> DataFrame:
     return pairs(spark, d).select("query_id", "id", M.year_agreement(F.col("qy"), F.col("wy")).alias("agreement"), M.year_compatible(F.col("qy"), F.col("wy")).alias("compatible"))
 
 
-@query("with q as (select query_id, lower(trim(title)) as k, \"year\" as y from title_query where title is not null), w as (select id, lower(trim(display_title)) as k, display_year as y from graph_work where display_title is not null) select q.query_id, count(w.id) as works, min(w.id) as first_id from q join w on w.k = q.k and (q.y is null or w.y is null or abs(q.y - w.y) <= 1) group by q.query_id")
-def m11_lookup_entry(spark: SparkSession, d: str) -> DataFrame:
-    """Exact title keys within a year of each other."""
-    q = table(spark, d, "title_query").where("title is not null").select("query_id", F.lower(F.trim("title")).alias("k"), F.col("year").alias("y"))
-    w = table(spark, d, "graph_work").where("display_title is not null").select("id", F.lower(F.trim("display_title")).alias("k"), F.col("display_year").alias("y2"))
-    return q.join(w, "k").where("y is null or y2 is null or abs(y - y2) <= 1").groupBy("query_id").agg(F.count("id").alias("works"), F.min("id").alias("first_id"))
-
-
 @query(rf"with {PAIRS}, x as (select query_id, id, list_distinct(regexp_extract_all(qt, '[a-z]{{2,}}')) as w, regexp_extract_all(wt, '[a-z]{{2,}}') as h from p) select query_id, id, case when len(w) >= 3 then len(list_intersect(w, h)) / len(w) >= 0.8 end as appears from x")
 def m17_title_appears_in(spark: SparkSession, d: str) -> DataFrame:
     words = lambda c: F.regexp_extract_all(c, F.lit("([a-z]{2,})"), F.lit(1))

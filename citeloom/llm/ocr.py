@@ -26,12 +26,14 @@ from .boost import Boosted
 #: Rows that a classifier is trained on at most.
 SAMPLE = 20_000
 SEED = 11
+#: How often a native word is misread on purpose to learn from.
+MISREADINGS = 3
 #: Lines at the top and the bottom of a page that may be furniture, and how many pages on a like one is looked for letter by letter; equal ones are found at any distance.
 EDGE, REACH = 3, 4
 #: Characters of a line that is nothing but a page number, at most.
 NUMBER_LENGTH = 16
-#: A word this frequent in its language can be what a misread word stands for.
-TRUSTED = 4
+#: A word this frequent in its language can be what a misread word stands for, unless native pages, which should show it so often at least, hardly do.
+TRUSTED, EXPECTED = 4, 3
 SIGNS = "-‐‑¬­"
 # What scanning reads for what (read, printed).
 CONFUSIONS = [
@@ -320,11 +322,24 @@ def grams(shape: Column) -> Column:
 FEATURES = ["cost", "edits", "n_right", "n_read", "length", "odd", "capital", "odd_right", "same_shape"]
 
 
+#: How much rarer on native pages than on scanned ones, by its share of the words, a suspect is at least.
+RARER = 8
+
+
+def counted(words: DataFrame) -> DataFrame:
+    """Adds trusted: whether a word is frequent and not one that only scanned pages show; and rare: whether native pages lack it."""
+    total = words.groupBy("lang").agg(F.sum("native").alias("natives"), F.sum(F.col("n") - F.col("native")).alias("scans"))
+    scanned = F.col("n") - F.col("native")
+    rare = F.col("native") * F.col("scans") * RARER <= scanned * F.col("natives")
+    missed = rare & (F.col("natives") > 0) & (scanned * F.col("natives") >= EXPECTED * F.col("scans"))
+    return words.join(F.broadcast(total), "lang").select(*words.columns, ((F.col("n") >= TRUSTED) & ~missed).alias("trusted"), rare.alias("rare"))
+
+
 def candidates(suspects: DataFrame, words: DataFrame) -> DataFrame:
     """suspects(lang, word, n, capital) -> with each trusted word (right) of the language that shares enough q-grams, or its own shape."""
     shaped = F.pandas_udf(lambda s: s.map(shape), StringType())
     forms = F.pandas_udf(lambda s: s.map(coarse_forms), ArrayType(StringType()))
-    good = words.where((F.col("n") >= TRUSTED) & F.col("word").rlike(r"^\p{L}[\p{L}’'-]*\p{L}$")).select("lang", F.col("word").alias("right"), F.col("n").alias("m"))
+    good = counted(words).where(F.col("trusted") & F.col("word").rlike(r"^\p{L}[\p{L}’'-]*\p{L}$")).select("lang", F.col("word").alias("right"), F.col("n").alias("m"))
     a = cut(cut(suspects.withColumn("rough", F.explode(forms("word")))).withColumn("grams", grams(F.col("rough"))))
     b = cut(cut(good.withColumn("form", F.explode(forms("right")))).withColumn("other", grams(F.col("form"))))
     index = cut(b.select("lang", "right", "form", "m", F.size("other").alias("size"), F.explode(F.array_distinct("other")).alias("g")))
@@ -359,8 +374,8 @@ def trained(words: DataFrame) -> Boosted | None:
         native = take(letters.where((F.col("native") > 0) | (F.col("n") >= TRUSTED))).toPandas()
     if native.empty:
         return None
-    rng = random.Random(SEED)
-    made = [(l, misread(w, rng), 1, c, w) for l, w, n, c in zip(native["lang"], native["word"], native["n"], native["capital"], strict=True) for _ in range(2)]
+    # a stream of its own for each word and turn, so that one word more or less changes nothing for the others
+    made = [(l, misread(w, random.Random(f"{SEED} {k} {l} {w}")), 1, c, w) for l, w, c in zip(native["lang"], native["word"], native["capital"], strict=True) for k in range(MISREADINGS)]
     made = pd.DataFrame([x for x in made if x[1] != x[4]], columns=["lang", "word", "n", "capital", "truth"]).drop_duplicates(["lang", "word"])
     made = made[~made["word"].isin(set(native["word"]))]
     if made.empty:
@@ -374,7 +389,7 @@ def trained(words: DataFrame) -> Boosted | None:
     no = candidates(rare, words).withColumn("truth", F.lit(""))
     data = yes.unionByName(no).orderBy(F.xxhash64("lang", "word", "right")).limit(SAMPLE).toPandas()
     y = ((data["truth"] == data["right"]) | ((data["m"] == 0) & (data["truth"].map(shape) == data["right"]))).to_numpy(float)
-    return Boosted(trees=50, depth=4).fit(features(data), y) if 0 < y.sum() < len(y) else None
+    return Boosted(trees=100, depth=4).fit(features(data), y) if 0 < y.sum() < len(y) else None
 
 
 def by_rule(x: np.ndarray) -> np.ndarray:
@@ -383,15 +398,10 @@ def by_rule(x: np.ndarray) -> np.ndarray:
     return np.where((x[:, FEATURES.index("n_right")] > 0) & ((cost <= 0.5) | (odd & (cost <= 1))), 1 / (1 + cost), 0.0)
 
 
-#: How much rarer on native pages than on scanned ones, by its share of the words, a suspect is at least.
-RARER = 8
-
-
 def corrections(words: DataFrame) -> DataFrame:
     """(lang, word, right): misread words of scanned pages and the best ranked correction of each."""
-    total = words.groupBy("lang").agg(F.sum("native").alias("natives"), F.sum(F.col("n") - F.col("native")).alias("scans"))
-    rare = F.col("native") * F.col("scans") * RARER <= (F.col("n") - F.col("native")) * F.col("natives")
-    suspects = words.join(total, "lang").where((F.length("word") >= 3) & (F.col("n") > F.col("native")) & ((F.col("native") == 0) | rare) & F.col("word").rlike(r"\p{L}.*\p{L}|[!|0-9]\p{L}"))
+    known = counted(words)
+    suspects = known.where((F.length("word") >= 3) & (F.col("n") > F.col("native")) & ((F.col("native") == 0) | F.col("rare")) & F.col("word").rlike(r"\p{L}.*\p{L}|[!|0-9]\p{L}"))
     model = trained(words)
     judge = model.predict if model else by_rule
 
@@ -400,8 +410,11 @@ def corrections(words: DataFrame) -> DataFrame:
             x = x[x["m"].eq(0) | (x["m"] >= 8 * x["n"])]
             yield x.assign(p=judge(features(x)))[["lang", "word", "right", "p"]] if len(x) else pd.DataFrame(columns=["lang", "word", "right", "p"])
 
-    ranked = candidates(suspects.select("lang", "word", "n", "capital"), words).mapInPandas(rank, "lang string, word string, right string, p double").where("p >= 0.5")
-    return cut(ranked.groupBy("lang", "word").agg(F.max(F.struct("p", "right")).alias("best")).select("lang", "word", F.col("best.right").alias("right")))
+    ranked = candidates(suspects.select("lang", "word", "n", "capital"), words).mapInPandas(rank, "lang string, word string, right string, p double")
+    # candidates share the belief that a word is misread: the best one stands for it if any is right with a half or more
+    none = F.sum(F.log(1 - F.least("p", F.lit(0.999))))
+    best = ranked.where("p >= 0.02").groupBy("lang", "word").agg(F.max(F.struct("p", "right")).alias("best"), none.alias("none"))
+    return cut(best.where(F.exp("none") <= 0.5).select("lang", "word", F.col("best.right").alias("right")))
 
 
 def analysed(papers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

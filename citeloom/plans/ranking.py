@@ -199,14 +199,6 @@ def k14_initial_cursor(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(F.min(F.struct(P.mark_rank(F.col("mark")).alias("m"), (-(F.col("num") % 100)).alias("s"), (F.col("key") == "").alias("e"), "key", "id")).alias("b")).select("b.id")
 
 
-@query("select scheme, lower(trim(value_normalized)) as url, min(list_position(['active','conflicting','retracted'], status)) as rank from work_identifier where scheme = 'url' and value_normalized <> '' group by all")
-def k15_rank_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Normalised links, each with its best rank."""
-    order = F.array(*map(F.lit, ["active", "conflicting", "retracted"]))
-    rows = table(spark, d, "work_identifier").where("scheme = 'url' and value_normalized <> ''")
-    return rows.groupBy("scheme", F.lower(F.trim("value_normalized")).alias("url")).agg(F.min(F.when(F.array_position(order, F.col("status")) > 0, F.array_position(order, F.col("status")))).cast("int").alias("rank"))
-
-
 @query("select lower(title) as key, count(*) as candidates, arg_min(openalex_id, struct_pack(a := -len(coalesce(referenced_works, [])), b := length(openalex_id), c := openalex_id)) as openalex_id from openalex_work where title is not null group by 1")
 def k16_select_title_match(spark: SparkSession, d: str) -> DataFrame:
     """Of the records with one title the one that refers to most works, then the shortest and smallest id."""

@@ -85,11 +85,6 @@ def f64_blob_storage_key(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.concat(F.lit("sha256/"), F.left(h, F.lit(2)), F.lit("/"), h, F.lit(".txt")).alias("key"))
 
 
-@query(r"select id, substr(regexp_replace(lower(display_title), '[^a-z0-9]+', '-', 'g'), 1, 60) || '.pdf' as filename from graph_work where display_title is not null")
-def f65_fetched_filename(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "graph_work").where("display_title is not null").select("id", F.concat(F.left(F.regexp_replace(F.lower("display_title"), "[^a-z0-9]+", "-"), F.lit(60)), F.lit(".pdf")).alias("filename"))
-
-
 @query(r"select item_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') as canonical from eval_item")
 def f66_canonical_chars(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_item").select("item_id", T.compact(F.col("text")).alias("canonical"))

@@ -37,18 +37,6 @@ def f83_dot_leaders(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).where(R.has_dot_leader(F.col("x"))).groupBy("doc_id").agg(F.count("*").alias("leaders"))
 
 
-@query()
-def f107_headings(spark: SparkSession, d: str) -> DataFrame:
-    """Lines that look like headings, by document."""
-    return _lines(spark, d).where(R.looks_like_heading(F.col("x"))).groupBy("doc_id").agg(F.count("*").alias("headings"))
-
-
-@query()
-def f97_meaningful_sentences(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(F.split("text", r"(?<=[.!?])\s+")).alias("s"))
-    return s.where(R.is_meaningful_sentence(F.col("s"))).groupBy("doc_id").agg(F.count("*").alias("sentences"))
-
-
 @query("with n as (select l_orderkey as k, l_linenumber as a, l_linenumber + cast(l_quantity as int) % 25 as b from lineitem) select k, a, len(case when b > a and b - a <= 20 then range(a + 1, b + 1) else [] end) as tail from n")
 def f81_range_tail(spark: SparkSession, d: str) -> DataFrame:
     """How many numbers ranges stand for beyond their first."""

@@ -46,11 +46,6 @@ def f38_leading_year(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "bibliography_entry").select("id", T.leading_year(F.get_json_object("fields", "$.year.value")).alias("year"))
 
 
-@query("select doc_id, sha256(concat_ws('|', 'v1', lang, source, coalesce(text, ''))) as key from documents")
-def f41_cache_key(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.sha2(F.concat_ws("|", F.lit("v1"), "lang", "source", F.coalesce("text", F.lit(""))), 256).alias("key"))
-
-
 @query("select openalex_id, regexp_replace('https://openalex.org/' || openalex_id, '^https?://(api\\.)?openalex\\.org/', '') as short from openalex_work")
 def f42_short_openalex_id(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "openalex_work").select("openalex_id", F.regexp_replace(F.concat(F.lit("https://openalex.org/"), "openalex_id"), r"^https?://(api\.)?openalex\.org/", "").alias("short"))
@@ -179,8 +174,3 @@ def f159_progress(spark: SparkSession, d: str) -> DataFrame:
 def f160_tile_width(spark: SparkSession, d: str) -> DataFrame:
     n = F.length("text")
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.when(n >= 4500, 3).when(n >= 1200, 2).otherwise(1).alias("width"))
-
-
-@query(r"select doc_id, len(list_filter(string_split_regex(text, '\n[ \t]*\n'), lambda x: x <> '')) as sections from documents where text is not null")
-def f161_discover_sections(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(F.filter(F.split("text", r"\n[ \t]*\n"), lambda x: x != "")).cast("bigint").alias("sections"))

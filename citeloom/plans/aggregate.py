@@ -16,12 +16,6 @@ def a02_outgoing_counts(spark: SparkSession, d: str) -> DataFrame:
     return live(spark, d).groupBy("citing").agg(F.countDistinct("cited").alias("cited"))
 
 
-@query("select o_custkey as ramp, count(*) as items, count(*) filter (where o_orderstatus = 'F') as done, count(*) filter (where o_orderstatus = 'O') as open, count(*) filter (where o_orderstatus = 'P') as skipped from orders group by o_custkey")
-def a03_ramp_counts(spark: SparkSession, d: str) -> DataFrame:
-    n = lambda s, a: F.count_if(F.col("o_orderstatus") == s).alias(a)
-    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("ramp")).agg(F.count("*").alias("items"), n("F", "done"), n("O", "open"), n("P", "skipped"))
-
-
 @query("select n_name as tag, count(c_custkey) as uses from nation left join customer on c_nationkey = n_nationkey and c_acctbal < 0 group by n_name")
 def a04_list_tags(spark: SparkSession, d: str) -> DataFrame:
     """Uses of each tag, unused ones with zero."""
@@ -120,14 +114,6 @@ def a19_wilson(spark: SparkSession, d: str) -> DataFrame:
     return s.select("confidence", "n", "k", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-@query("with m as (select event_type as stage, median(value) as mid from events group by event_type) select e.event_id, e.value >= greatest(150, 2 * m.mid) as confused from events e join m on m.stage = e.event_type")
-def a20_mark_confused(spark: SparkSession, d: str) -> DataFrame:
-    """Calls far above their stage's median."""
-    e = table(spark, d, "events").select("event_id", "event_type", "value")
-    mid = e.groupBy("event_type").agg(F.median("value").alias("mid"))
-    return e.join(F.broadcast(mid), "event_type").select("event_id", (F.col("value") >= F.greatest(F.lit(150.0), 2 * F.col("mid"))).alias("confused"))
-
-
 @query("with x as (select work_id, field, bool_or(review_state = 'accepted') as truth, bool_or(origin in ('openalex','publisher')) as guess from field_claim group by all), s as (select field, count(*) filter (where truth and guess) as hit, count(*) filter (where guess) as guessed, count(*) filter (where truth) as true_ from x group by field) select field, hit, round(case when guessed > 0 then hit / guessed when true_ = 0 then 1.0 else 0.0 end, 6) as precision_, round(case when true_ > 0 then hit / true_ else 1.0 end, 6) as recall from s")
 def a22_score_objects(spark: SparkSession, d: str) -> DataFrame:
     """Set precision and recall per kind; without predictions precision is 1 only if there is no truth."""
@@ -161,15 +147,6 @@ def a26_upper_median(spark: SparkSession, d: str) -> DataFrame:
     return metrics.upper_median(table(spark, d, "lineitem"), "l_suppkey", "l_quantity").select(F.col("l_suppkey").alias("page"), F.col("median").alias("height"))
 
 
-@query(f"""with {WORKS}, y as (select year, count(*) as n from works where year is not null and year % 9 <> 0 and year % 10 < 7 group by year), g as (select year, n, lead(year) over (order by year) as nxt from y),
- slots as (select year as lo, year as hi, n from g union all select s.v, s.v, 0 from g, unnest(range(year + 1, nxt)) as s(v) where nxt - year - 1 between 1 and 3 union all select year + 1, nxt - 1, 0 from g where nxt - year - 1 > 3)
- select lo, hi, n from slots""")
-def a27_histogram_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Columns by year; up to three empty years get a slot each, a longer run one gap slot."""
-    w = works(spark, d).where("year is not null and year % 9 <> 0 and year % 10 < 7")
-    return metrics.histogram_slots(w, "year")
-
-
 @query("with b as (select citing_version_id, ordinal, raw_text, row_number() over (partition by citing_version_id, lower(trim(raw_text)) order by ordinal, id) as n from bibliography_entry where raw_text is not null) select citing_version_id, count(*) filter (where n = 1) as kept, count(*) filter (where n > 1) as repeated from b group by 1")
 def a28_merge_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Merged outputs with equal texts counted once."""

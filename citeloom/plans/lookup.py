@@ -11,11 +11,6 @@ from .catalog import query
 from .views import DOCUMENTS_OF, documents_of
 
 
-@query("select id, kind, display_title, display_year from graph_work where visibility = 'public'")
-def look_p01_get(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "graph_work").where("visibility = 'public'").select("id", "kind", "display_title", "display_year")
-
-
 @query("select g.id, g.display_title from graph_work g where g.id in (select work_id from field_claim where origin = 'user')")
 def look_p02_get_many(spark: SparkSession, d: str) -> DataFrame:
     ids = table(spark, d, "field_claim").where("origin = 'user'").select(F.col("work_id").alias("id"))
@@ -29,98 +24,16 @@ def look_p03_find_by_identifier(spark: SparkSession, d: str) -> DataFrame:
     return i.join(table(spark, d, "graph_work").select("id", "display_title"), "id").select("scheme", "value", "id", "display_title").distinct()
 
 
-@query("select distinct i.scheme, i.value_normalized as value, g.id, g.kind from work_identifier i join graph_work g on g.id = i.work_id where i.status = 'active' and i.scheme in ('arxiv', 'pmid', 'semantic_scholar')")
-def look_p04_find_by_version_identifier(spark: SparkSession, d: str) -> DataFrame:
-    i = table(spark, d, "work_identifier").where("status = 'active' and scheme in ('arxiv', 'pmid', 'semantic_scholar')").select("scheme", F.col("value_normalized").alias("value"), F.col("work_id").alias("id"))
-    return i.join(table(spark, d, "graph_work").select("id", "kind"), "id").select("scheme", "value", "id", "kind").distinct()
-
-
-@query("select work_id, count(distinct id) as identifiers, string_agg(distinct scheme, ',' order by scheme) as schemes from work_identifier where status = 'active' and work_id is not null group by work_id")
-def look_p05_active_identifiers(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "work_identifier").where("status = 'active' and work_id is not null")
-    return rows.groupBy("work_id").agg(F.countDistinct("id").alias("identifiers"), F.array_join(F.array_sort(F.collect_set("scheme")), ",").alias("schemes"))
-
-
-@query("select document_version_id, epoch_us(min(created_at)) as first_seen, epoch_us(max(created_at)) as last_seen from citation_mention group by 1")
-def look_p06_versions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "citation_mention").groupBy("document_version_id").agg(F.unix_micros(F.min("created_at")).alias("first_seen"), F.unix_micros(F.max("created_at")).alias("last_seen"))
-
-
-@query("select lower(trim(display_title)) as key, count(*) as works, min(id) as first_id from graph_work where display_title is not null and trim(display_title) <> '' group by 1")
-def look_p08_find_by_title_key(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "graph_work").where("display_title is not null and trim(display_title) <> ''").groupBy(F.lower(F.trim("display_title")).alias("key")).agg(F.count("*").alias("works"), F.min("id").alias("first_id"))
-
-
 @query("select work_id, min(value_normalized) as openalex_id from work_identifier where scheme = 'openalex' and status = 'active' and work_id is not null group by work_id")
 def look_p09_openalex_ids_for(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "work_identifier").where("scheme = 'openalex' and status = 'active' and work_id is not null").groupBy("work_id").agg(F.min("value_normalized").alias("openalex_id"))
 
 
-@query("select work_id, field, id, origin from field_claim where field in ('title', 'year') and retracted_at is null")
-def look_p11_claims_for(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "field_claim").where("field in ('title', 'year') and retracted_at is null").select("work_id", "field", "id", "origin")
-
-
-@query("select source_record_id, count(*) as rows from (select source_record_id from field_claim union all select source_record_id from work_identifier) where source_record_id is not null group by 1")
-def look_p13_source_records(spark: SparkSession, d: str) -> DataFrame:
-    both = table(spark, d, "field_claim").select("source_record_id").unionByName(table(spark, d, "work_identifier").select("source_record_id"))
-    return both.where("source_record_id is not null").groupBy("source_record_id").agg(F.count("*").alias("rows"))
-
-
-@query("select citing_version_id, count(*) as entries, min(ordinal) as first_ordinal, max(ordinal) as last_ordinal from bibliography_entry group by 1")
-def look_p14_entries(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "bibliography_entry").groupBy("citing_version_id").agg(F.count("*").alias("entries"), F.min("ordinal").alias("first_ordinal"), F.max("ordinal").alias("last_ordinal"))
-
-
-@query("select e.id, e.entry_key, count(m.id) as mentions from bibliography_entry e left join citation_mention m on m.entry_id = e.id group by e.id, e.entry_key")
-def look_p17_resolved_entries(spark: SparkSession, d: str) -> DataFrame:
-    """Entries with their mentions counted before the join."""
-    m = table(spark, d, "citation_mention").where("entry_id is not null").groupBy(F.col("entry_id").alias("id")).agg(F.count("*").alias("n"))
-    return table(spark, d, "bibliography_entry").select("id", "entry_key").join(m, "id", "left").select("id", "entry_key", F.coalesce("n", F.lit(0)).alias("mentions"))
-
-
-@query("select assertion_id, document_version_id, id, marker_start from citation_mention qualify row_number() over (partition by document_version_id, assertion_id order by page, marker_start, id) = 1")
-def look_p19_mentions_for_edge(spark: SparkSession, d: str) -> DataFrame:
-    """The first mention of each assertion in each document, by text order."""
-    rows = table(spark, d, "citation_mention").select("assertion_id", "document_version_id", "id", "page", "marker_start")
-    return rows.groupBy("document_version_id", "assertion_id").agg(F.min(F.struct("page", "marker_start", "id")).alias("m")).select("assertion_id", "document_version_id", "m.id", "m.marker_start")
-
-
-@query("select e.citing_version_id, e.id as entry_id, count(m.id) as mentions, min(m.marker_start) as first_marker from bibliography_entry e join citation_mention m on m.entry_id = e.id group by 1, 2")
-def look_p20_local_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Edges of a document with their mentions, without a query per edge."""
-    m = table(spark, d, "citation_mention").where("entry_id is not null").groupBy("entry_id").agg(F.count("*").alias("mentions"), F.min("marker_start").alias("first_marker"))
-    return table(spark, d, "bibliography_entry").select("citing_version_id", F.col("id").alias("entry_id")).join(m, "entry_id").select("citing_version_id", "entry_id", "mentions", "first_marker")
-
-
-@query(f"with {DOCUMENTS_OF} select state, count(*) as works from documents_of group by state")
-def look_p22_states(spark: SparkSession, d: str) -> DataFrame:
-    return documents_of(spark, d).groupBy("state").agg(F.count("*").alias("works"))
-
-
 @query("select distinct work_id, true as has_claim from field_claim where review_state <> 'rejected' and retracted_at is null")
 def look_p25_has_current_claim(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "field_claim").where("review_state <> 'rejected' and retracted_at is null").select("work_id", F.lit(True).alias("has_claim")).distinct()
 
 
-@query("select c.id, c.field, w.display_title, e.ordinal from field_claim c join graph_work w on w.id = c.work_id left join bibliography_entry e on e.id = c.entry_id")
-def look_p26_claim_view(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "graph_work").select(F.col("id").alias("work_id"), "display_title")
-    e = table(spark, d, "bibliography_entry").select(F.col("id").alias("entry_id"), "ordinal")
-    return table(spark, d, "field_claim").select("id", "field", "work_id", "entry_id").join(w, "work_id").join(e, "entry_id", "left").select("id", "field", "display_title", "ordinal")
-
-
-@query("select doc_id, text is not null as found, length(text) as size from documents")
-def look_p28_find(spark: SparkSession, d: str) -> DataFrame:
-    """Cached payloads; a null one is a miss."""
-    return table(spark, d, "documents").select("doc_id", F.col("text").isNotNull().alias("found"), F.length("text").cast("bigint").alias("size"))
-
-
-@query("select workspace_id, source, count(*) as documents, min(doc_id) as first_id from documents group by 1, 2")
-def look_p30_list_documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy("workspace_id", "source").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_id"))
-
-
 @query("select sha256(text) as sha, min(doc_id) as doc_id, count(*) as copies from documents where text is not null and text <> '' group by 1")
 def look_p34_present_document_for_sha(spark: SparkSession, d: str) -> DataFrame:
     """The first document of each content hash."""
@@ -138,27 +51,6 @@ def look_p38_tags_for_works(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").groupBy(F.col("p_name").alias("work")).agg(F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("tags"))
 
 
-@query("with t as (select id, lower(display_title) as t from graph_work where display_title is not null), p as (select t.id, t.t, substr(t.t, 1, 24) as head from t), n as (select head, count(distinct t) as titles, min(id) as first_id from p group by head) select head, case when titles = 1 then first_id end as id, titles from n")
-def look_p42_ramp_reference(spark: SparkSession, d: str) -> DataFrame:
-    """What a title's beginning refers to: an id if it is unique, else the number of titles it could mean."""
-    t = table(spark, d, "graph_work").where("display_title is not null").select("id", F.lower("display_title").alias("t"))
-    n = t.groupBy(F.left("t", F.lit(24)).alias("head")).agg(F.countDistinct("t").alias("titles"), F.min("id").alias("first_id"))
-    return n.select("head", F.when(F.col("titles") == 1, F.col("first_id")).alias("id"), "titles")
-
-
-@query("select g.id, coalesce(c.claims, 0) as claims, coalesce(i.identifiers, 0) as identifiers from graph_work g left join (select work_id, count(*) as claims from field_claim group by 1) c on c.work_id = g.id left join (select work_id, count(*) as identifiers from work_identifier group by 1) i on i.work_id = g.id")
-def look_p44_get_work(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "field_claim").groupBy(F.col("work_id").alias("id")).agg(F.count("*").alias("c"))
-    i = table(spark, d, "work_identifier").groupBy(F.col("work_id").alias("id")).agg(F.count("*").alias("i"))
-    return table(spark, d, "graph_work").select("id").join(c, "id", "left").join(i, "id", "left").select("id", F.coalesce("c", F.lit(0)).alias("claims"), F.coalesce("i", F.lit(0)).alias("identifiers"))
-
-
-@query("select w.id, last.origin, last.field from graph_work w join (select work_id, origin, field from field_claim qualify row_number() over (partition by work_id order by created_at desc, id desc) = 1) last on last.work_id = w.id")
-def look_p47_latest_claim(spark: SparkSession, d: str) -> DataFrame:
-    rows = last_by(table(spark, d, "field_claim").select("work_id", "created_at", "id", "origin", "field"), ["work_id"], ["created_at", "id"])
-    return table(spark, d, "graph_work").select("id").join(rows.select(F.col("work_id").alias("id"), "origin", "field"), "id")
-
-
 @query("select id, nullif(trim(fields ->> '$.title.value'), '') as title, nullif(trim(fields ->> '$.venue.value'), '') as venue from bibliography_entry")
 def look_p50_text(spark: SparkSession, d: str) -> DataFrame:
     """Non-empty string fields of a JSON object."""

@@ -105,11 +105,3 @@ def f08_trim_trailing_punctuation_whole(spark: SparkSession, d: str) -> DataFram
 def f47_strip_markup_whole(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").where("text is not null and source = 'landing_page'")
     return rows.select("doc_id", collapsed(_decoded(F.regexp_replace("text", "<[^>]*>", " "))).alias("plain"))
-
-
-@query()
-def a27_histogram_grid_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Every year; works without one are a slot without ends."""
-    w = works(spark, d)
-    unknown = w.where("year is null").agg(F.count("*").alias("n")).where("n > 0")
-    return metrics.histogram_slots(w, "year").unionByName(unknown.select(F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"), "n"))

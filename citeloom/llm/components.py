@@ -1,18 +1,16 @@
 """Problem 4: consolidating pairwise matches into groups.
 
 Method: vertices of degree one are stripped and chains of degree-two vertices are compressed by list ranking, again and
-again while that takes away a fair share of the links; the core that remains is solved by one task if it is small and by
-alternating large and small stars if not; the labels are then handed back to the removed vertices, last removed first.
+again while that takes away a fair share of the links; the core that remains is solved by alternating large and small
+stars, whatever its size; the labels are then handed back to the removed vertices, last removed first.
 
 Every step is a join or an aggregate with map-side combine; nothing but counts reaches the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +22,6 @@ HOT = 256
 SALTS = 64
 #: Another round of stripping and compressing is made if the last one took away this share of the links.
 WORTH = 0.1
-#: A core of at most this many links is solved by one task (some tens of MB); a larger one by stars over all tasks.
-CORE_LINKS = 100_000
 
 
 def join_spread(many: DataFrame, one: DataFrame, key: str, how: str = "inner", total: int | None = None) -> DataFrame:
@@ -104,30 +100,6 @@ def _compress(edges: DataFrame) -> tuple[DataFrame | None, DataFrame]:
     return removed, cut(kept.unionByName(bridges).distinct())
 
 
-def _one_task(edges: DataFrame) -> DataFrame:
-    """(child, parent) of a small core: union by smallest vertex in one task."""
-    kind = edges.schema["a"].dataType.simpleString()
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parent: dict = {}
-
-        def find(v):
-            while parent.setdefault(v, v) != v:
-                parent[v] = parent[parent[v]]
-                v = parent[v]
-            return v
-
-        for batch in batches:
-            for a, b in zip(batch["a"], batch["b"], strict=True):
-                x, y = find(a), find(b)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-        out = [(v, find(v)) for v in list(parent)]
-        yield pd.DataFrame([x for x in out if x[0] != x[1]], columns=["child", "parent"])
-
-    return edges.coalesce(1).mapInPandas(solve, f"child {kind}, parent {kind}")
-
-
 def _stars(edges: DataFrame) -> DataFrame:
     """(child, parent) of the core: alternating large and small stars until every vertex hangs on its group's smallest."""
     before = edges.count()
@@ -164,7 +136,7 @@ def components(links: DataFrame) -> DataFrame:
             if not left:
                 break
         if left and left > before * (1 - WORTH):
-            core = cut(_one_task(edges) if left <= CORE_LINKS else _stars(edges))
+            core = cut(_stars(edges))
             levels.append((core, left))
             break
     schema = links.select(F.col("a").alias("child"), F.col("a").alias("parent")).schema

@@ -75,6 +75,89 @@ def plan_frontier(candidates: DataFrame, group: str, fanout: int, budget: int) -
     return kept.select(group, "parent", "work", "rank").groupBy(group).applyInPandas(plan, f"{group} {kind[group]}, parent {kind['parent']}, work {kind['work']}, place int")
 
 
+def planned(parents: list[tuple], children: dict, fanout: int, remaining: int, visited: set) -> tuple[list[tuple], bool]:
+    """One walk's next level: (parent, work) in order, and whether the budget cut any.
+
+    parents in order; children[parent] are its works, best first. A work taken by an earlier parent doesn't use up a later
+    one's fanout.
+    """
+    taken: set = set()
+    out: list[tuple] = []
+    for parent in parents:
+        n = 0
+        for work in children.get(parent, ()):
+            if n == fanout:
+                break
+            if work in visited or work in taken:
+                continue
+            taken.add(work)
+            out.append((parent, work))
+            n += 1
+    return out[:remaining], len(out) > remaining
+
+
+def walk(edges: DataFrame, works: DataFrame, seeds: DataFrame, depth: int = 3, fanout: int = 10, budget: int = 40) -> DataFrame:
+    """edges(citing, cited), works(id, score, year, mark), seeds(seed) -> (seed, level, place, parent, work, truncated): what each walk expands.
+
+    Level 0 is the seed. Of every expanded work the best children (score, newest year, id) that are neither hidden nor
+    downplayed nor visited are expanded next, at most fanout of a work and budget of a walk in all; truncated says whether
+    the budget cut the level. All walks go level by level together, a join per level. A walk's plan is made from at most
+    fanout + budget children of each of its at most budget parents, so no task holds a hub.
+    """
+    from .topk import top_k
+
+    kind = {f.name: f.dataType.simpleString() for f in works.schema}["id"]
+    schema = f"seed {kind}, level int, place int, parent {kind}, work {kind}, truncated boolean"
+    level = cut(seeds.where("seed is not null").select("seed", F.lit(0).alias("level"), F.lit(0).alias("place"), F.lit(None).cast(kind).alias("parent"), F.col("seed").alias("work"), F.lit(False).alias("truncated")).distinct())
+    seen = level
+    order = [F.desc_nulls_last("score"), F.desc_nulls_last("year"), F.asc("child")]
+    for step in range(1, depth):
+        children = level.select("seed", "place", F.col("work").alias("citing")).join(edges, "citing").select("seed", "place", F.col("citing").alias("parent"), F.col("cited").alias("child")).distinct()
+        open_ = children.join(works.where("mark is null or mark not in ('hidden', 'downplayed')").select(F.col("id").alias("child"), "score", "year"), "child")
+        open_ = open_.join(seen.select("seed", F.col("work").alias("child")), ["seed", "child"], "left_anti")
+        best = top_k(open_, ["seed", "parent"], order, fanout + budget, "child", salts=8)
+        own = best.groupBy("seed").agg(F.collect_list(F.struct("place", "parent", "rank", "child")).alias("c")).join(seen.groupBy("seed").agg(F.count("*").alias("used")), "seed")
+
+        def plan(batches: Iterator[pd.DataFrame], step: int = step) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = []
+                for seed, rows, used in zip(batch["seed"], batch["c"], batch["used"], strict=True):
+                    rows = sorted(rows, key=lambda r: (r["place"], r["rank"]))
+                    lists: dict = {}
+                    for r in rows:
+                        lists.setdefault(r["parent"], []).append(r["child"])
+                    chosen, cut_ = planned(list(lists), lists, fanout, max(0, budget - used), set())
+                    out += [(seed, step, i, p, w, cut_) for i, (p, w) in enumerate(chosen)]
+                yield pd.DataFrame(out, columns=["seed", "level", "place", "parent", "work", "truncated"])
+
+        level = cut(own.mapInPandas(plan, schema))
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    return seen
+
+
+def paths(walked: DataFrame, depth: int) -> DataFrame:
+    """walk() -> (seed, work, path array from the seed): one join per level over the walk's own links."""
+    at = walked.where("level = 0").select("seed", "work", F.array("work").alias("path"))
+    out = at
+    for step in range(1, depth):
+        at = walked.where(F.col("level") == step).join(at.select("seed", F.col("work").alias("parent"), "path"), ["seed", "parent"]).select("seed", "work", F.concat("path", F.array("work")).alias("path"))
+        out = out.unionByName(at)
+    return out
+
+
+def collapsed(walked: DataFrame, closed: DataFrame, depth: int) -> DataFrame:
+    """walk() without what hangs below closed(seed, work): a closed work stays, its children and theirs go."""
+    gone = closed.select("seed", F.col("work").alias("parent"))
+    lost = None
+    for step in range(1, depth):
+        below = walked.where(F.col("level") == step).join(gone, ["seed", "parent"], "left_semi").select("seed", "level", "work")
+        gone = gone.unionByName(below.select("seed", F.col("work").alias("parent")))
+        lost = below if lost is None else lost.unionByName(below)
+    return walked if lost is None else walked.join(lost, ["seed", "level", "work"], "left_anti")
+
+
 def reading_order(items: DataFrame, cites: DataFrame, group: str) -> DataFrame:
     """items(group, id, depth, score, year, title_key, is_seed), cites(group, citing, cited) -> (group, id, position).
 

@@ -111,6 +111,42 @@ def j12_walk(spark: SparkSession, d: str) -> DataFrame:
     return traversal.levels(co_edges(spark, d), table(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("node")), depth=3)
 
 
+FIRST = f"""{CO}, {WORKS}, b as (select c.citing as seed, c.cited as work, row_number() over (partition by c.citing order by w.num % 100 desc, w.year desc nulls last, c.cited) as n from co c join works w on w.num = c.cited join ({SEEDS}) s on s.node = c.citing where w.mark is null or w.mark not in ('hidden', 'downplayed')), chosen as (select seed, 1 as level, n - 1 as place, seed as parent, work from b where n <= 10)"""
+
+
+def _walk(spark: SparkSession, d: str, depth: int) -> DataFrame:
+    from ..session import cut
+
+    w = works(spark, d).select(F.col("num").alias("id"), ((F.col("num") % 100).cast("double") / 100).alias("score"), "year", "mark")
+    seeds = table(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("seed"))
+    return traversal.walk(cut(co_edges(spark, d)), w, seeds, depth)
+
+
+@query(f"with {FIRST} select node as seed, 0 as level, 0 as place, null::bigint as parent, node as work from ({SEEDS}) union all select * from chosen")
+def j12_walk_from_with_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Walks of two levels within fanout and budget; SQL can't state a third, which tests compare with brute force."""
+    return _walk(spark, d, 2).select("seed", "level", "place", "parent", "work")
+
+
+@query()
+def j12_walk_three_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Walks of three levels: a child taken by an earlier parent doesn't use up a later one's fanout."""
+    return _walk(spark, d, 3)
+
+
+@query(f"with {FIRST} select node as seed, node as work, cast(node as varchar) as path from ({SEEDS}) union all select seed, work, seed || '>' || work from chosen")
+def j20_walk_path_to(spark: SparkSession, d: str) -> DataFrame:
+    """The way from a walk's seed to each of its works."""
+    return traversal.paths(_walk(spark, d, 2), 2).select("seed", "work", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+@query(f"with {FIRST}, closed as (select node from ({SEEDS}) where node % 2 = 0) select node as seed, node as work from ({SEEDS}) union all select seed, work from chosen where seed not in (select node from closed)")
+def j21_collapse_expansion(spark: SparkSession, d: str) -> DataFrame:
+    """Walks after the expansions of every second seed are closed."""
+    walked = _walk(spark, d, 2)
+    return traversal.collapsed(walked, walked.where("level = 0 and seed % 2 = 0").select("seed", "work"), 2).select("seed", "work")
+
+
 @query(f"with {CO}, {WORKS} select c.citing as parent, c.cited as work, cast(w.num % 100 as double) / 100 as score, w.year, w.mark from co c join works w on w.num = c.cited")
 def j13_frontier_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Children of all parents with score, year and mark."""

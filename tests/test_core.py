@@ -183,3 +183,31 @@ def test_every_query_has_a_name_and_sql_has_a_query():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 100
+
+
+def test_walks_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(9)
+    ids = list(range(60))
+    edges = [(a, b) for a in ids for b in rng.sample(ids, rng.randrange(0, 12)) if a != b]
+    works = {i: (rng.randrange(5) / 4, rng.choice([None, 1990, 2000]), rng.choice([None, None, None, "pinned", "hidden"])) for i in ids}
+    seeds = [0, 1, 2, 3]
+    for fanout, budget in ((2, 6), (3, 100), (10, 5)):
+        want = set()
+        for seed in seeds:
+            visited, level = {seed}, [seed]
+            want.add((seed, 0, 0, None, seed))
+            for step in (1, 2):
+                lists = {p: sorted((b for a, b in set(edges) if a == p and works[b][2] != "hidden" and b not in visited), key=lambda b: (-works[b][0], works[b][1] is None, -(works[b][1] or 0), b)) for p in level}
+                chosen, _ = traversal.planned(level, lists, fanout, max(0, budget - len(visited)), set())
+                want |= {(seed, step, i, p, w) for i, (p, w) in enumerate(chosen)}
+                level = [w for _, w in chosen]
+                visited |= set(level)
+        e = spark.createDataFrame(edges + edges[:5] + [(None, 1)], "citing long, cited long")
+        w = spark.createDataFrame([(i, *v) for i, v in works.items()], "id long, score double, year int, mark string")
+        got = traversal.walk(e, w, spark.createDataFrame([(x,) for x in seeds], "seed long"), 3, fanout, budget)
+        assert {tuple(r)[:5] for r in got.collect()} == want
+        paths = {(r["seed"], r["work"]): r["path"] for r in traversal.paths(got, 3).collect()}
+        assert len(paths) == len(want) and all(p[0] == s and p[-1] == x for (s, x), p in paths.items())
+    assert traversal.walk(e, w, spark.createDataFrame([], "seed long"), 3).count() == 0

@@ -243,7 +243,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     word = F.filter(F.split(t, r"\s+"), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x) != "")
     n = F.length(t)
-    per = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    per = lambda a, b: F.when(t.isNull(), None).when(b > 0, a / b).otherwise(F.lit(0.0))
     return docs.select(
         "doc_id",
         F.when(t.isNotNull(), F.size(word)).cast("bigint").alias("n_words"),

@@ -135,5 +135,18 @@ qualify row_number() over (partition by work_id, field order by tier, support de
 """
 
 
+P10_SQL = r"""
+with t as (select doc_id, text, length(text) as n, list_filter(string_split_regex(text, '[\t-\r ]+'), lambda w: w <> '') as words, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') as lines from documents)
+select doc_id, cast(len(words) as bigint) as n_words,
+  round(case when text is null then null when len(words) > 0 then coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::double / len(words) else 0.0 end, 6) as mean_word_length,
+  round(case when text is null then null when n > 0 then length(regexp_replace(text, '[A-Za-z0-9\t-\r ]', '', 'g'))::double / n else 0.0 end, 6) as symbol_ratio,
+  round(case when text is null then null when n > 0 then length(regexp_replace(text, '[^0-9]', '', 'g'))::double / n else 0.0 end, 6) as digit_ratio,
+  cast(len(lines) as bigint) as n_lines,
+  round(case when text is null then null when len(lines) > 0 then len(list_filter(lines, lambda x: regexp_matches(x, '[.!?。！？][\t-\r ]*$')))::double / len(lines) else 0.0 end, 6) as punctuated_share,
+  round(case when text is null then null when len(words) > 0 then len(list_filter(words, lambda w: list_contains(%s, lower(w))))::double / len(words) else 0.0 end, 6) as common_share
+from t
+""" % sorted(quality.KNOWN)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_SQL, "p5_found": P5_SQL}
+    return {"p4_found": P4_SQL, "p5_found": P5_SQL, "p10_statistics": P10_SQL}

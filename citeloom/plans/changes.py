@@ -63,15 +63,6 @@ def w14_set_review_state(spark: SparkSession, d: str) -> DataFrame:
     return C.update_where(rows, keys, "work_id", {"review_state": change}).drop("work_id")
 
 
-@query("with r as (select *, lead(id) over (partition by work_id, field order by created_at, id) as superseded_by from field_claim where origin = 'user') select id, superseded_by from r")
-def w17_supersede(spark: SparkSession, d: str) -> DataFrame:
-    """Each user claim with the next one that replaced it. A user can't write unbounded claims of one field."""
-    from pyspark.sql import Window
-
-    rows = table(spark, d, "field_claim").where("origin = 'user'")
-    return rows.select("id", F.lead("id").over(Window.partitionBy("work_id", "field").orderBy("created_at", "id")).alias("superseded_by"))
-
-
 @query("select user_id, to_json(list_slice(list(event_id order by ts, event_id), -20, -1)) as trials from events group by user_id")
 def w23_push_trial(spark: SparkSession, d: str) -> DataFrame:
     """The newest 20 trials of each key in their order, found by a two-level top-k."""
@@ -88,15 +79,6 @@ def w39_title_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "graph_work").select("id", F.nullif(F.trim(F.regexp_replace(F.lower("display_title"), "[^a-z0-9]+", " ")), F.lit("")).alias("title_key"))
 
 
-@query("select l_orderkey, l_linenumber, cast(row_number() over (partition by l_orderkey order by l_quantity desc, l_linenumber) - 1 as bigint) as position from lineitem")
-def w53_reorder(spark: SparkSession, d: str) -> DataFrame:
-    """Positions from a new order; a list is bounded."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_quantity"), F.asc("l_linenumber"))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.row_number().over(w) - 1).cast("bigint").alias("position"))
-
-
 SCAN = """b as (select doc_id, coalesce(sha256(text), '') as sha from documents), o as (select 'f' || doc_id as path, sha from b where doc_id % 3 <> 0),
  s as (select 'f' || case when doc_id % 7 = 0 then doc_id + 500000 else doc_id end as path, case when doc_id % 11 = 0 then sha || 'x' else sha end as sha from b where doc_id % 5 <> 0)"""
 

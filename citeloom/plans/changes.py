@@ -54,15 +54,6 @@ def w11_insert_claim_once(spark: SparkSession, d: str) -> DataFrame:
     return C.insert_ignore(stored, new, ["work_id", "field", "value"], ["made", "id"])
 
 
-@query("select id, case when work_id in (select work_id from work_identifier where status = 'conflicting') and review_state = 'unreviewed' then 'disputed' else review_state end as review_state from field_claim")
-def w14_set_review_state(spark: SparkSession, d: str) -> DataFrame:
-    """Unreviewed claims of works with conflicting identifiers become disputed."""
-    keys = table(spark, d, "work_identifier").where("status = 'conflicting' and work_id is not null")
-    rows = table(spark, d, "field_claim").select("work_id", "id", "review_state")
-    change = F.when(F.col("review_state") == "unreviewed", "disputed").otherwise(F.col("review_state"))
-    return C.update_where(rows, keys, "work_id", {"review_state": change}).drop("work_id")
-
-
 @query("select user_id, to_json(list_slice(list(event_id order by ts, event_id), -20, -1)) as trials from events group by user_id")
 def w23_push_trial(spark: SparkSession, d: str) -> DataFrame:
     """The newest 20 trials of each key in their order, found by a two-level top-k."""
@@ -73,12 +64,6 @@ def w23_push_trial(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("user_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id"))), lambda x: x["event_id"])).alias("trials"))
 
 
-@query("select id, nullif(trim(regexp_replace(lower(display_title), '[^a-z0-9]+', ' ', 'g')), '') as title_key from graph_work")
-def w39_title_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Derived title keys in one pass instead of pages of 500."""
-    return table(spark, d, "graph_work").select("id", F.nullif(F.trim(F.regexp_replace(F.lower("display_title"), "[^a-z0-9]+", " ")), F.lit("")).alias("title_key"))
-
-
 SCAN = """b as (select doc_id, coalesce(sha256(text), '') as sha from documents), o as (select 'f' || doc_id as path, sha from b where doc_id % 3 <> 0),
  s as (select 'f' || case when doc_id % 7 = 0 then doc_id + 500000 else doc_id end as path, case when doc_id % 11 = 0 then sha || 'x' else sha end as sha from b where doc_id % 5 <> 0)"""
 
@@ -109,14 +94,6 @@ def d19_apply_partial_scan(spark: SparkSession, d: str) -> DataFrame:
     return C.reconcile(*_files(spark, d), partial=True)
 
 
-@query("select lower(title) as key, arg_max(openalex_id, struct_pack(a := (doi is not null)::int + (\"year\" is not null)::int + (len(authors) > 0)::int, b := openalex_id)) as best, count(*) as records, max(len(referenced_works)) as most from openalex_work where title is not null group by 1")
-def d02_merge_into(spark: SparkSession, d: str) -> DataFrame:
-    """Records of one title merged: the most complete names it, counts take the greatest."""
-    full = F.col("doi").isNotNull().cast("int") + F.col("year").isNotNull().cast("int") + (F.size("authors") > 0).cast("int")
-    rows = table(spark, d, "openalex_work").where("title is not null")
-    return rows.groupBy(F.lower("title").alias("key")).agg(F.max_by("openalex_id", F.struct(full.alias("a"), "openalex_id")).alias("best"), F.count("*").alias("records"), F.max(F.size("referenced_works").cast("bigint")).alias("most"))
-
-
 @query("select openalex_id, (doi is not null)::int + (title is not null)::int + (\"year\" is not null)::int + (len(authors) > 0)::int as completeness from openalex_work")
 def d03_completeness(spark: SparkSession, d: str) -> DataFrame:
     n = lambda c: c.cast("int")
@@ -132,12 +109,6 @@ def d05_distinct_passages(spark: SparkSession, d: str) -> DataFrame:
     return top_k(p, ["document_version_id"], [F.asc("f")], 6, "f").select("document_version_id", "passage")
 
 
-@query("select lower(trim(name)) as key, min(name) as name from (select unnest(display_authors) as name from graph_work) where trim(name) <> '' group by 1")
-def d06_deduplicate(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "graph_work").select(F.explode("display_authors").alias("name")).where("trim(name) <> ''")
-    return rows.groupBy(F.lower(F.trim("name")).alias("key")).agg(F.min("name").alias("name"))
-
-
 @query("select id, list_sort(list_distinct(list_filter(display_authors, lambda x: x <> ''))) as names from graph_work where display_authors is not null")
 def d07_sorted_unique(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "graph_work").where("display_authors is not null").select("id", F.array_sort(F.array_distinct(F.filter("display_authors", lambda x: x != ""))).alias("names"))

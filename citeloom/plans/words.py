@@ -80,17 +80,6 @@ def f40_cache_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "bibliography_entry").where("raw_text is not null").select("id", F.sha2(F.concat(F.lit("model-1|v3|"), "raw_text"), 256).alias("key"), F.sha2(json, 256).alias("label_key"))
 
 
-ABBREVIATIONS = "e.g|i.e|cf|al|fig|eq|dr|prof|mr|mrs|st|vs|vol|no|pp|sec|ch"
-ENDINGS = [("It ends.", True), ("by Smith et al.", False), ("see Fig.", False), ("Why?", True), ("no end", False), ("He said so.”", True), ("A.", False), ("", False), ("(see e.g.", False)]
-
-
-@query(literals(ENDINGS, "x, y"))
-def f68_ends_sentence(spark: SparkSession, d: str) -> DataFrame:
-    """Whether a token run ends a sentence: a terminator, also before closing quotes, but not an abbreviation's or an initial's stop."""
-    x = F.col("x")
-    return _case(spark, ENDINGS, "string", x.rlike(r"[.!?][\"”’)\]]*$") & ~x.rlike(rf"(?i)(?:^|[\s(])(?:{ABBREVIATIONS.replace('.', '[.]')})\.$") & ~x.rlike(r"(?:^|\s)\p{Lu}\.$"))
-
-
 SOFT = "[\\x{ad}\\x{200b}\\x{0}\\x{feff}]"
 
 

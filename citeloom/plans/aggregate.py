@@ -55,11 +55,6 @@ def a09_tokens_per_page(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "reading_token").groupBy("paper_id", "page").agg(F.count("*").alias("tokens"))
 
 
-@query(f"with p as ({PAGES}) select provenance, count(*) as pages, count(*) filter (where size < 100) as sparse from p group by provenance")
-def a10_count_pages(spark: SparkSession, d: str) -> DataFrame:
-    return pages(spark, d).groupBy("provenance").agg(F.count("*").alias("pages"), F.count_if(F.col("size") < 100).alias("sparse"))
-
-
 PARAGRAPHS = r"select r.paper_id, u.p as par from reading_index r, unnest(string_split_regex(r.text, '\n[ \t]*\n')) as u(p) where r.text is not null"
 
 

@@ -175,15 +175,6 @@ def m27_align(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", align("needle", "hay").alias("a")).select("id", "a.distance", "a.words")
 
 
-@query("select id, case when instr(raw_text, fields ->> '$.title.value') > 0 then 'verbatim' when instr(regexp_replace(lower(raw_text), '[^a-z0-9]', '', 'g'), regexp_replace(lower(fields ->> '$.title.value'), '[^a-z0-9]', '', 'g')) > 0 then 'normalized' else 'missing' end as verdict from bibliography_entry where fields ->> '$.title.value' is not null")
-def m29_verify_quote(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the parsed title stands in the printed entry as it is, or by its letters and digits alone."""
-    t = F.get_json_object("fields", "$.title.value")
-    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    rows = table(spark, d, "bibliography_entry").withColumn("t", t).where("t is not null")
-    return rows.select("id", F.when(F.instr(F.col("raw_text"), F.col("t")) > 0, "verbatim").when(F.instr(bare("raw_text"), bare("t")) > 0, "normalized").otherwise("missing").alias("verdict"))
-
-
 @query("select id, case when passage is null then 'no passage' when instr(passage, marker_text) = 0 then 'not in passage' when marker_end - marker_start <> length(marker_text) then 'wrong span' else 'grounded' end as state from citation_mention where marker_text is not null")
 def m31_ground_quote(spark: SparkSession, d: str) -> DataFrame:
     """Whether a quote stands in the passage it names; the first reason against it."""

@@ -51,12 +51,6 @@ def f42_short_openalex_id(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "openalex_work").select("openalex_id", F.regexp_replace(F.concat(F.lit("https://openalex.org/"), "openalex_id"), r"^https?://(api\.)?openalex\.org/", "").alias("short"))
 
 
-@query("select query_id, 'title:' || lower(title) || coalesce('|' || (year - 1) || '-' || (year + 1), '') as search from title_query where title is not null")
-def f44_title_search(spark: SparkSession, d: str) -> DataFrame:
-    y = F.col("year")
-    return table(spark, d, "title_query").where("title is not null").select("query_id", F.concat(F.lit("title:"), F.lower("title"), F.coalesce(F.concat(F.lit("|"), (y - 1).cast("string"), F.lit("-"), (y + 1).cast("string")), F.lit(""))).alias("search"))
-
-
 @query(r"select doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) as plain from documents where source = 'landing_page' and text is not null and not contains(text, '&') and not regexp_matches(text, '[^\x00-\x7F]')")
 def f47_strip_markup(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").where(F.col("text").isNotNull() & (F.col("source") == "landing_page") & ~F.col("text").contains("&") & ~F.col("text").rlike(r"[^\x00-\x7F]"))

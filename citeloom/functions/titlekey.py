@@ -47,7 +47,7 @@ def decode_latex(title: str) -> str:
         if name is None:
             if sign is None:
                 return "\\"
-            return "" if sign in "'\"`^~=.!()[]" else " " if sign in "\\ ,;:" else sign if sign in "&%#_" else {"$": "\ue000", "{": "\ue001", "}": "\ue002"}.get(sign, "\\" + sign)
+            return "" if sign in "'\"`^~=.!()[]" else " " if sign in "\\ ,;:" else sign if sign in "&%#" else {"$": "\ue000", "{": "\ue001", "}": "\ue002", "_": "\ue004"}.get(sign, "\\" + sign)
         found = _named(name)
         if found is None:
             return f"\ue003{name} "
@@ -62,7 +62,7 @@ def decode_latex(title: str) -> str:
         text = head + "\ue000" + tail
     text = re.sub(r"\$\$?([^$]*)\$\$?", lambda m: m[1].replace("-", "−"), text)
     text = text.replace("{", "").replace("}", "").replace("~", " ")
-    return text.translate({0xE000: "$", 0xE001: "{", 0xE002: "}", 0xE003: "\\"})
+    return text.translate({0xE000: "$", 0xE001: "{", 0xE002: "}", 0xE003: "\\", 0xE004: "_"})
 
 
 def title_key(title: str | None) -> str | None:

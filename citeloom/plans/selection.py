@@ -62,7 +62,7 @@ def f01_title_key(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("title", key_of(F.col("title")).alias("key"))
 
 
-LATEX = [(r"$\alpha$ and \textbf{bold}", "α and bold"), (r"H$_2$O", "H_{2}O"), ("costs $5", "costs $5"), (r"a~b\,c", "a b c"), (r"\ss \O", "ßØ"), ("$x-y$", "x−y"), (r"50\% \& 1\_2", "50% & 1_2")]
+LATEX = [(r"$\alpha$ and \textbf{bold}", "α and bold"), (r"H$_2$O", "H_{2}O"), ("costs $5", "costs $5"), (r"a~b\,c", "a b c"), (r"\ss \O", "ß Ø"), ("$x-y$", "x−y"), (r"50\% \& 1\_2", "50% & 1_2")]
 
 
 @query("select * from (values " + ", ".join("('{}', '{}')".format(a.replace("'", "''"), b) for a, b in LATEX) + ") as l(title, decoded) union select distinct display_title, display_title from graph_work where display_title is not null and not regexp_matches(display_title, '[\\\\${}~^_]')")

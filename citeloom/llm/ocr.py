@@ -335,16 +335,22 @@ def counted(words: DataFrame) -> DataFrame:
     return words.join(F.broadcast(total), "lang").select(*words.columns, ((F.col("n") >= TRUSTED) & ~missed).alias("trusted"), rare.alias("rare"))
 
 
-def candidates(suspects: DataFrame, words: DataFrame) -> DataFrame:
-    """suspects(lang, word, n, capital) -> with each trusted word (right) of the language that shares enough q-grams, or its own shape."""
-    shaped = F.pandas_udf(lambda s: s.map(shape), StringType())
+def indexed(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(trusted words with the triples of each form, inverted index, triples by how many forms have them), built once for all searches."""
     forms = F.pandas_udf(lambda s: s.map(coarse_forms), ArrayType(StringType()))
     good = counted(words).where(F.col("trusted") & F.col("word").rlike(r"^\p{L}[\p{L}’'-]*\p{L}$")).select("lang", F.col("word").alias("right"), F.col("n").alias("m"))
-    a = cut(cut(suspects.withColumn("rough", F.explode(forms("word")))).withColumn("grams", grams(F.col("rough"))))
-    b = cut(cut(good.withColumn("form", F.explode(forms("right")))).withColumn("other", grams(F.col("form"))))
+    b = cut(good.withColumn("form", F.explode(forms("right"))).withColumn("other", grams(F.col("form"))))
     index = cut(b.select("lang", "right", "form", "m", F.size("other").alias("size"), F.explode(F.array_distinct("other")).alias("g")))
+    return b, index, cut(index.groupBy("lang", "g").agg(F.count("*").alias("df")))
+
+
+def candidates(suspects: DataFrame, words: DataFrame, built: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """suspects(lang, word, n, capital) -> with each trusted word (right) of the language that shares enough q-grams, or its own shape."""
+    shaped = F.pandas_udf(lambda s: s.map(shape), StringType())
+    forms = F.pandas_udf(lambda s: s.map(coarse_forms), ArrayType(StringType()))
+    b, index, rare = built or indexed(words)
+    a = cut(suspects.withColumn("rough", F.explode(forms("word"))).withColumn("grams", grams(F.col("rough"))))
     # prefix filter: of a suspect's different grams, rarest first, a correction that shares the least number of them has one of the first
-    rare = index.groupBy("lang", "g").agg(F.count("*").alias("df"))
     least = F.greatest(F.lit(1), F.ceil(SHARED * F.size("grams") - 1).cast("int"))
     own = a.select("lang", "word", "rough", "n", F.size("grams").alias("k"), (F.size(F.array_distinct("grams")) - least + 1).alias("take"), F.explode(F.array_distinct("grams")).alias("g")).join(rare, ["lang", "g"], "left")
     first = own.groupBy("lang", "word", "rough", "n", "k", "take").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g"))).alias("s"))
@@ -364,7 +370,7 @@ def features(x: pd.DataFrame) -> np.ndarray:
     return np.column_stack([cost, edits, np.log1p(x["m"]), np.log1p(x["n"]), x["word"].str.len(), odd > 0, x["capital"], x["m"] == 0, same]).astype(float)
 
 
-def trained(words: DataFrame) -> Boosted | None:
+def trained(words: DataFrame, built: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> Boosted | None:
     """Ranker of corrections: native words misread on purpose with their origin, against rare native words with what is near them."""
     letters = words.where((F.length("word") >= 4) & F.col("word").rlike(r"^\p{L}+$"))
     take = lambda df: df.orderBy(F.xxhash64("lang", "word")).limit(SAMPLE // 4)
@@ -382,12 +388,13 @@ def trained(words: DataFrame) -> Boosted | None:
         return None
     spark = words.sparkSession
     truth = spark.createDataFrame(made)
-    yes = candidates(truth.drop("truth"), words).join(truth.select("lang", "word", "truth"), ["lang", "word"])
     rare = words.where((F.col("native") > 0) & (F.col("n") == F.col("native")) & (F.col("n") <= 3) & (F.length("word") >= 4)).orderBy(F.xxhash64("lang", "word")).limit(SAMPLE // 4).select("lang", "word", "n", "capital")
     if few:
         rare = take(letters.where(F.col("n") >= TRUSTED)).select("lang", "word", F.lit(1).cast("bigint").alias("n"), "capital")
-    no = candidates(rare, words).withColumn("truth", F.lit(""))
-    data = yes.unionByName(no).orderBy(F.xxhash64("lang", "word", "right")).limit(SAMPLE).toPandas()
+    known = truth.select("lang", "word", "truth")
+    asked = truth.drop("truth").unionByName(rare.join(known, ["lang", "word"], "left_anti").select("lang", "word", "n", "capital"))
+    found = candidates(asked, words, built).join(known, ["lang", "word"], "left").withColumn("truth", F.coalesce("truth", F.lit("")))
+    data = found.orderBy(F.xxhash64("lang", "word", "right")).limit(SAMPLE).toPandas()
     y = ((data["truth"] == data["right"]) | ((data["m"] == 0) & (data["truth"].map(shape) == data["right"]))).to_numpy(float)
     return Boosted(trees=100, depth=4).fit(features(data), y) if 0 < y.sum() < len(y) else None
 
@@ -402,7 +409,8 @@ def corrections(words: DataFrame) -> DataFrame:
     """(lang, word, right): misread words of scanned pages and the best ranked correction of each."""
     known = counted(words)
     suspects = known.where((F.length("word") >= 3) & (F.col("n") > F.col("native")) & ((F.col("native") == 0) | F.col("rare")) & F.col("word").rlike(r"\p{L}.*\p{L}|[!|0-9]\p{L}"))
-    model = trained(words)
+    built = indexed(words)
+    model = trained(words, built)
     judge = model.predict if model else by_rule
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -410,7 +418,7 @@ def corrections(words: DataFrame) -> DataFrame:
             x = x[x["m"].eq(0) | (x["m"] >= 8 * x["n"])]
             yield x.assign(p=judge(features(x)))[["lang", "word", "right", "p"]] if len(x) else pd.DataFrame(columns=["lang", "word", "right", "p"])
 
-    ranked = candidates(suspects.select("lang", "word", "n", "capital"), words).mapInPandas(rank, "lang string, word string, right string, p double")
+    ranked = candidates(suspects.select("lang", "word", "n", "capital"), words, built).mapInPandas(rank, "lang string, word string, right string, p double")
     # candidates share the belief that a word is misread: the best one stands for it if any is right with a half or more
     none = F.sum(F.log(1 - F.least("p", F.lit(0.999))))
     best = ranked.where("p >= 0.02").groupBy("lang", "word").agg(F.max(F.struct("p", "right")).alias("best"), none.alias("none"))

@@ -22,7 +22,7 @@ class Boosted:
         for f, cuts in enumerate(self.cuts):
             if not len(cuts):
                 continue
-            place = np.searchsorted(cuts, x[rows, f], side="left")
+            place = self.place[f][rows]
             gs = np.bincount(place, g[rows], len(cuts) + 1).cumsum()[:-1]
             hs = np.bincount(place, h[rows], len(cuts) + 1).cumsum()[:-1]
             n = np.bincount(place, minlength=len(cuts) + 1).cumsum()[:-1]
@@ -45,6 +45,7 @@ class Boosted:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
         self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1], method="lower")) for c in x.T]
+        self.place = [np.searchsorted(cuts, c, side="left") for cuts, c in zip(self.cuts, x.T, strict=True)]
         share = np.clip(y.mean(), 0.01, 0.99)
         self.base = float(np.log(share / (1 - share)))
         z = np.full(len(y), self.base)
@@ -53,6 +54,7 @@ class Boosted:
             tree = self._grow(x, y - p, p * (1 - p), np.arange(len(y)), self.depth)
             self.model.append(tree)
             z += self.rate * self._value(tree, x)
+        del self.place
         return self
 
     def predict(self, x: np.ndarray) -> np.ndarray:

@@ -45,11 +45,6 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "reading_index").select("paper_id", F.explode("pages").alias("p")).select("paper_id", "p.page_number", "p.provenance", "p.confidence", (F.col("p.text_end") - F.col("p.text_start")).alias("size"), "p.text_start", "p.text_end")
 
 
-@query(f"with p as ({PAGES}) select paper_id, count(*) as pages, count(*) filter (where provenance = 'native') as native, count(*) filter (where provenance = 'ocr') as ocr, count(*) filter (where size = 0) as empty, count(*) filter (where provenance = 'ocr' and confidence < 0.7) as weak, cast(sum(size) as bigint) as chars from p group by paper_id")
-def a08_inventory(spark: SparkSession, d: str) -> DataFrame:
-    return pages(spark, d).groupBy("paper_id").agg(F.count("*").alias("pages"), F.count_if(F.col("provenance") == "native").alias("native"), F.count_if(F.col("provenance") == "ocr").alias("ocr"), F.count_if(F.col("size") == 0).alias("empty"), F.count_if((F.col("provenance") == "ocr") & (F.col("confidence") < F.lit(0.7))).alias("weak"), F.sum("size").alias("chars"))
-
-
 @query("select paper_id, page, count(*) as tokens from reading_token group by paper_id, page")
 def a09_tokens_per_page(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "reading_token").groupBy("paper_id", "page").agg(F.count("*").alias("tokens"))
@@ -58,17 +53,6 @@ def a09_tokens_per_page(spark: SparkSession, d: str) -> DataFrame:
 PARAGRAPHS = r"select r.paper_id, u.p as par from reading_index r, unnest(string_split_regex(r.text, '\n[ \t]*\n')) as u(p) where r.text is not null"
 
 
-@query(rf"with p as ({PARAGRAPHS}) select paper_id, count(*) as paragraphs, count(*) filter (where length(par) > 4000) as oversize, max(length(par)) as longest from p where par <> '' group by paper_id")
-def a11_count_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "reading_index").where("text is not null").select("paper_id", F.explode(F.split("text", r"\n[ \t]*\n")).alias("par")).where("par <> ''")
-    return p.groupBy("paper_id").agg(F.count("*").alias("paragraphs"), F.count_if(F.length("par") > 4000).alias("oversize"), F.max(F.length("par")).cast("bigint").alias("longest"))
-
-
-@query("select kind, count(*) as works, count(distinct display_title) as titles, count(*) - count(distinct display_title) as repeated from graph_work group by kind")
-def a12_count_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "graph_work").groupBy("kind").agg(F.count("*").alias("works"), F.countDistinct("display_title").alias("titles")).withColumn("repeated", F.col("works") - F.col("titles"))
-
-
 @query("with g as (select r.paper_id, case when p.provenance = 'unavailable' then 'unavailable' when p.confidence is null and p.provenance = 'ocr' then 'unknown confidence' end as reason from reading_index r, unnest(r.pages) as u(p)) select reason, count(*) as pages from g where reason is not null group by reason")
 def a13_count_gaps(spark: SparkSession, d: str) -> DataFrame:
     reason = F.when(F.col("provenance") == "unavailable", "unavailable").when(F.col("confidence").isNull() & (F.col("provenance") == "ocr"), "unknown confidence").alias("reason")
@@ -140,10 +124,3 @@ def a25_reasoning_profile(spark: SparkSession, d: str) -> DataFrame:
 def a26_upper_median(spark: SparkSession, d: str) -> DataFrame:
     """Element n // 2 of the sorted heights: the upper median, found from the counts of equal heights."""
     return metrics.upper_median(table(spark, d, "lineitem"), "l_suppkey", "l_quantity").select(F.col("l_suppkey").alias("page"), F.col("median").alias("height"))
-
-
-@query("with b as (select citing_version_id, ordinal, raw_text, row_number() over (partition by citing_version_id, lower(trim(raw_text)) order by ordinal, id) as n from bibliography_entry where raw_text is not null) select citing_version_id, count(*) filter (where n = 1) as kept, count(*) filter (where n > 1) as repeated from b group by 1")
-def a28_merge_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Merged outputs with equal texts counted once."""
-    per = table(spark, d, "bibliography_entry").where("raw_text is not null").groupBy("citing_version_id", F.lower(F.trim("raw_text")).alias("k")).agg(F.count("*").alias("n"))
-    return per.groupBy("citing_version_id").agg(F.count("*").alias("kept"), (F.sum("n") - F.count("*")).alias("repeated"))

@@ -89,6 +89,33 @@ def d08_reconcile_files(spark: SparkSession, d: str) -> DataFrame:
     return C.reconcile(*_files(spark, d))
 
 
+_DONE = f"select * from ({RECONCILED.format(chr(39) + 'tombstoned' + chr(39))})"
+
+
+@query(f"{_DONE} where decision = 'moved'")
+def d09_move_candidate(spark: SparkSession, d: str) -> DataFrame:
+    """New paths whose content a vanished path had."""
+    return C.reconcile(*_files(spark, d)).where("decision = 'moved'")
+
+
+@query(f"{_DONE} where decision = 'tombstoned'")
+def d10_tombstone(spark: SparkSession, d: str) -> DataFrame:
+    """Stored paths that the scan lacks and that moved nowhere."""
+    return C.reconcile(*_files(spark, d)).where("decision = 'tombstoned'")
+
+
+@query(f"select path, sha from ({RECONCILED.format(chr(39) + 'tombstoned' + chr(39))}) where decision <> 'tombstoned'")
+def d18_apply_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The library after a full scan."""
+    return C.reconcile(*_files(spark, d)).where("decision <> 'tombstoned'").select("path", "sha")
+
+
+@query(f"select decision, count(*) as files from ({RECONCILED.format(chr(39) + 'tombstoned' + chr(39))}) group by 1")
+def d20_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    """How many files a scan leaves, replaces, moves, adds, doubles and loses."""
+    return C.reconcile(*_files(spark, d)).groupBy("decision").agg(F.count("*").alias("files"))
+
+
 @query(RECONCILED.format("'unchanged'"))
 def d19_apply_partial_scan(spark: SparkSession, d: str) -> DataFrame:
     return C.reconcile(*_files(spark, d), partial=True)

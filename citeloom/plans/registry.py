@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .catalog import QUERIES, SQL
 
-MODULES = ("graph", "ranking", "lookup", "aggregate", "text", "matching", "changes", "documents", "stateful", "printed", "whole", "selection", "entries", "wholetext", "providers", "merging", "resolution", "links", "words", "records", "evaluation", "writes", "merged", "grounding", "mentions", "audits")
+MODULES = ("graph", "ranking", "lookup", "aggregate", "text", "matching", "changes", "documents", "stateful", "printed", "whole", "selection", "entries", "wholetext", "providers", "merging", "resolution", "links", "words", "records", "evaluation", "writes", "merged", "grounding", "mentions", "audits", "keyed", "pairs")
 for _m in MODULES:
     importlib.import_module(f"{__package__}.{_m}")
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .topk import ranked
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows of new replace rows of old with the same keys; of several new rows with one key the last by order counts.
@@ -43,16 +45,14 @@ def reconcile(old: DataFrame, scan: DataFrame, partial: bool = False) -> DataFra
 
     A new path whose content a vanished path had is a move; the first new path (by name) takes the first vanished one, the
     next the next. A new path with content that another present path has is a duplicate. With partial, paths missing from
-    the scan stay as they are instead of being tombstoned. Matching is by rank within equal content, not row by row.
+    the scan stay as they are instead of being tombstoned. Matching is by rank within equal content, which a global sort gives,
+    so content that many files share (empty ones) is no task of its own.
     """
-    from pyspark.sql import Window
-
     o = old.where("path is not null").select(F.col("path"), F.col("sha").alias("old_sha"))
     s = scan.where("path is not null").select(F.col("path"), F.col("sha").alias("new_sha"))
     both = o.join(s, "path", "full_outer")
-    by_sha = lambda c: F.row_number().over(Window.partitionBy(c, F.lit(0)).orderBy("path"))
-    gone = both.where("new_sha is null").withColumn("k", by_sha("old_sha")).select(F.col("path").alias("was"), F.col("old_sha").alias("sha"), "k")
-    fresh = both.where("old_sha is null").withColumn("k", by_sha("new_sha")).select("path", F.col("new_sha").alias("sha"), "k")
+    gone = ranked(both.where("new_sha is null").select("path", F.col("old_sha").alias("sha")), ["sha"], ["path"], "k").withColumnRenamed("path", "was")
+    fresh = ranked(both.where("old_sha is null").select("path", F.col("new_sha").alias("sha")), ["sha"], ["path"], "k")
     moved = fresh.join(gone, ["sha", "k"], "left")
     present = both.where("old_sha is not null and new_sha is not null").select(F.col("new_sha").alias("sha")).distinct().withColumn("have", F.lit(True))
     new_rows = moved.join(present, "sha", "left").select("path", "sha", F.when(F.col("was").isNotNull(), "moved").when(F.col("have") | (F.col("k") > 1), "duplicate").otherwise("added").alias("decision"))

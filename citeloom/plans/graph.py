@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import traversal
+from ..operators.topk import ranked
 from ..session import table
 from .catalog import query
 from .views import ASSERTIONS, DOCUMENTS_OF, WORKS, assertions, documents_of, live, works
@@ -87,7 +88,9 @@ REDIRECTS = "pairs as (select work_id as src, lead(work_id) over (partition by s
 def j11_resolve_redirect(spark: SparkSession, d: str) -> DataFrame:
     """Where chains of redirects lead within eight hops: three rounds of pointer doubling."""
     rows = table(spark, d, "work_identifier").where("status <> 'retracted' and value_normalized <> '' and work_id is not null and scheme is not null").select("scheme", "value_normalized", "work_id").distinct()
-    nxt = rows.withColumn("new", F.lead("work_id").over(Window.partitionBy("scheme", "value_normalized").orderBy("work_id"))).where("new is not null")
+    at = ranked(rows, ["scheme", "value_normalized"], ["work_id"], "n")
+    ahead = at.select("scheme", "value_normalized", (F.col("n") - 1).alias("n"), F.col("work_id").alias("new"))
+    nxt = at.join(ahead, ["scheme", "value_normalized", "n"])
     return traversal.resolve_redirects(nxt.groupBy(F.col("work_id").alias("old")).agg(F.max("new").alias("new")), hops=8)
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics
 from ..session import table
 from .catalog import query
-from .views import ASSERTIONS, WORKS, live, works
+from .views import ASSERTIONS, live
 
 
 @query(f"with {ASSERTIONS} select citing, count(distinct cited) as cited from live group by citing")

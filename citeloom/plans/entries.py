@@ -126,6 +126,12 @@ def f32_read_doi(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("txt", udf(B.read_doi, StringType())("txt").alias("doi"))
 
 
+@query(r"with x as (select id, list_distinct(list_transform(regexp_extract_all(regexp_replace(raw_text, '([/_-])[ \t]*\n\s*|[ \t]*\n\s*([0-9])', '\1\2', 'g'), '(?i)\b10\.[0-9]{4,9}/[^\s\"“”<>]*'), lambda d: regexp_replace(d, '[.,;:'')\]}]+$', ''))) as dois from bibliography_entry where raw_text is not null) select id, case when len(list_filter(dois, lambda d: regexp_full_match(d, '10\.[0-9]{4,9}/\S+'))) = 1 then list_filter(dois, lambda d: regexp_full_match(d, '10\.[0-9]{4,9}/\S+'))[1] end as doi from x")
+def f31_extract_doi(spark: SparkSession, d: str) -> DataFrame:
+    """The DOI of every entry that prints exactly one, also where it is broken over lines."""
+    return table(spark, d, "bibliography_entry").where("raw_text is not null").select("id", udf(B.extract_doi, StringType())("raw_text").alias("doi"))
+
+
 @query("select id, case when id % 3 = 0 then '2' || lpad(cast(id % 1000 as varchar), 3, '0') || '.0' || lpad(cast(id % 10000 as varchar), 4, '0') when id % 3 = 1 then 'hep-th/99' || lpad(cast(id % 100000 as varchar), 5, '0') end as arxiv from (select row_number() over (order by o_orderkey) as id from orders)")
 def f33_extract_arxiv(spark: SparkSession, d: str) -> DataFrame:
     """Identifiers printed in references of three kinds: new form, old form, two different ones."""

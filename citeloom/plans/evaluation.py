@@ -9,9 +9,8 @@ from ..functions import links as L
 from ..operators import metrics
 from ..operators.topk import ranked
 from ..session import table
-from .aggregate import works
 from .catalog import query
-from .views import WORKS
+from .views import WORKS, works
 
 #: Requests of a host that one task orders.
 RUN = 100_000

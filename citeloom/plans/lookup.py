@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.topk import last_by
 from ..session import table
 from .catalog import query
 from .views import DOCUMENTS_OF, documents_of

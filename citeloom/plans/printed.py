@@ -15,11 +15,6 @@ def _entries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "bibliography_entry").where("raw_text is not null")
 
 
-@query(r"select id, case when len(list_distinct(regexp_extract_all(lower(raw_text), '10\.[0-9]{4,9}/[a-z0-9./]*[a-z0-9]'))) = 1 then list_distinct(regexp_extract_all(lower(raw_text), '10\.[0-9]{4,9}/[a-z0-9./]*[a-z0-9]'))[1] end as doi from bibliography_entry where raw_text is not null and not regexp_matches(raw_text, '/\s')")
-def f31_extract_doi(spark: SparkSession, d: str) -> DataFrame:
-    return _entries(spark, d).where(~F.col("raw_text").rlike(r"/\s")).select("id", R.doi_of(F.col("raw_text")).alias("doi"))
-
-
 LINES = r"select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as line, unnest(string_split(text, chr(10))) as x from documents where text is not null"
 
 

@@ -10,7 +10,6 @@ from ..operators.topk import ranked, top_k
 from ..operators.traversal import reading_order
 from ..session import table
 from .catalog import query
-from .graph import CO, co_edges
 from .views import ASSERTIONS, DOCUMENTS_OF, WORKS, documents_of, live, works
 
 THIS_YEAR = 2025

@@ -30,11 +30,6 @@ def f07_is_valid_arxiv(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "work_identifier").select("id", F.coalesce(F.col("value_normalized").rlike(f"^({T.ARXIV_NEW}|{T.ARXIV_OLD})$"), F.lit(False)).alias("valid"))
 
 
-@query(r"select id, regexp_replace(raw_text, '[.,;:\"''<>]+$', '') as trimmed from bibliography_entry where raw_text not like '%)' and raw_text not like '%).%'")
-def f08_trim_trailing_punctuation(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "bibliography_entry").where("raw_text not like '%)' and raw_text not like '%).%'").select("id", T.trim_punctuation(F.col("raw_text")).alias("trimmed"))
-
-
 @query("select id, list_position(['user','publisher','paper','openalex','library_metadata','citing_bibliography'], origin) - 1 as origin_rank, list_position(['explicit','heuristic','model'], confidence) - 1 as confidence_rank from field_claim")
 def f16_selection_rank(spark: SparkSession, d: str) -> DataFrame:
     o, c = (F.array(*map(F.lit, x)) for x in (["user", "publisher", "paper", "openalex", "library_metadata", "citing_bibliography"], ["explicit", "heuristic", "model"]))
@@ -51,12 +46,6 @@ def f42_short_openalex_id(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "openalex_work").select("openalex_id", F.regexp_replace(F.concat(F.lit("https://openalex.org/"), "openalex_id"), r"^https?://(api\.)?openalex\.org/", "").alias("short"))
 
 
-@query(r"select doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) as plain from documents where source = 'landing_page' and text is not null and not contains(text, '&') and not regexp_matches(text, '[^\x00-\x7F]')")
-def f47_strip_markup(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").where(F.col("text").isNotNull() & (F.col("source") == "landing_page") & ~F.col("text").contains("&") & ~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return rows.select("doc_id", T.strip_markup(F.col("text")).alias("plain"))
-
-
 @query("select openalex_id, doi is not null and not starts_with(lower(doi), '10.48550/') as crossref from openalex_work")
 def f50_is_crossref_doi(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "openalex_work").select("openalex_id", (F.col("doi").isNotNull() & ~F.coalesce(F.lower("doi").startswith("10.48550/"), F.lit(False))).alias("crossref"))

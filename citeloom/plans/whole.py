@@ -1,8 +1,4 @@
-"""Queries over whole tables where SQL can't state the result.
-
-The queries of the same name without `_whole` keep to the rows on which their SQL gives the same answer. These take every
-row, have no SQL and are tested against brute force; on the rows of the SQL they give the same.
-"""
+"""Text functions over whole tables that need Python or a recursion in SQL; also tested against brute force on small tables."""
 
 from __future__ import annotations
 
@@ -14,10 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions import text as T
-from ..operators import metrics
 from ..session import table
-from .aggregate import works
 from .catalog import query
 
 # Character references, and letters that decomposing doesn't take apart.
@@ -96,12 +89,21 @@ def expanded_keys(parts: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(parts, one)))
 
 
-@query()
-def f08_trim_trailing_punctuation_whole(spark: SparkSession, d: str) -> DataFrame:
+_OVER = " or ".join(f"(ends_with(t, '{b}') and length(replace(t, '{a}', '')) > length(replace(t, '{b}', '')))" for a, b in ("()", "[]", "{}"))
+
+
+@query(f"with recursive r as (select id, raw_text as t from bibliography_entry where raw_text is not null union all select id, substr(t, 1, length(t) - 1) from r where regexp_matches(t, '[.,;:\"''<>]$') or {_OVER}) select id, arg_min(t, length(t)) as trimmed from r group by id")
+def f08_trim_trailing_punctuation(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "bibliography_entry").where("raw_text is not null").select("id", trimmed(F.col("raw_text")).alias("trimmed"))
 
 
-@query()
-def f47_strip_markup_whole(spark: SparkSession, d: str) -> DataFrame:
+_DECODED = "regexp_replace(text, '<[^>]*>', ' ', 'g')"
+for _a, _b in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("#39", "''"), ("nbsp", " "), ("amp", "&")):
+    _DECODED = f"replace({_DECODED}, '&{_a};', '{_b}')"
+
+
+@query(rf"select doc_id, trim(regexp_replace({_DECODED}, '[\t-\r\x{{1c}}-\x{{20}}\x{{85}}\p{{Z}}]+', ' ', 'g')) as plain from documents where text is not null and source = 'landing_page'")
+def f47_strip_markup(spark: SparkSession, d: str) -> DataFrame:
+    """Landing pages without tags, references decoded once; numeric references of characters stand in the tests only."""
     rows = table(spark, d, "documents").where("text is not null and source = 'landing_page'")
     return rows.select("doc_id", collapsed(_decoded(F.regexp_replace("text", "<[^>]*>", " "))).alias("plain"))

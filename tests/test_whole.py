@@ -37,14 +37,14 @@ def test_text_queries_take_every_document(run):
     assert run("f39_shown_text", "documents", data, schema) == {i: " ".join(t.split())[:200] for i, t in texts.items()}
     escape = lambda t: re.sub(r"([\\*_\[\]])", r"\\\1", t.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;"))
     assert run("f109_escape_text", "documents", data, schema) == {i: escape(t) for i, t in texts.items()}
-    assert run("f47_strip_markup_whole", "documents", data, schema)[91] == "café &lt; 中 x"
+    assert run("f47_strip_markup", "documents", data, schema)[91] == "café &lt; 中 x"
 
 
 def test_other_whole_queries(run):
     got = run("f73_objects", "reading_index", list(enumerate(TEXTS)), "paper_id int, text string")
     assert got == {i: (len(re.findall(r"\w+", t)), len(t.split()), len([p for p in t.split("\n\n") if p.strip()]), len(t)) for i, t in enumerate(TEXTS)}
     entries = ["A (b).", "a) b).", "x (y))).,", "see [1]]", "end)", "", "{a}}", "(a", '"q".\'']
-    assert run("f08_trim_trailing_punctuation_whole", "bibliography_entry", list(enumerate(entries)), "id int, raw_text string") == {i: trim(t) for i, t in enumerate(entries)}
+    assert run("f08_trim_trailing_punctuation", "bibliography_entry", list(enumerate(entries)), "id int, raw_text string") == {i: trim(t) for i, t in enumerate(entries)}
     marks = [(1, "numeric", "[1, 3–5]"), (2, "numeric", "[7]"), (3, "numeric", "[9-4; 2]"), (4, "numeric", "(1-99)"), (5, None, "[1]"), (6, "numeric", "[2 − 4]")]
     got = run("f89_citation_keys", "citation_mention", [(str(i), s, m) for i, s, m in marks], "id string, style string, marker_text string")
     assert {k: v for k, v in got.items() if k.isdigit()} == {"1": "1,3,4,5", "2": "7", "3": "2", "4": "", "6": "2,3,4"}

@@ -8,12 +8,19 @@ likely as the firm chain that connects it, unless its own facts contradict. The
 Queries and entries are first reduced to classes of equal (title, first author, year, part), so a publication with any
 share of the rows is compared once per way of writing it. Vectors are counted on a grid whose size doesn't depend on the
 data; EM runs over these counts, that is over all candidate pairs whose titles share two fifths of their weight.
+
+Candidate pairs are never shuffled or kept as such: every part of the queries meets every part of the entries in a task,
+which finds the pairs that share a block key and keeps those that may still match; of the others it gives the counts.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,42 +98,25 @@ def of_entries(entries: DataFrame) -> DataFrame:
 
 
 def classes(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(class table, membership key -> class)."""
+    """(class table with a number as cls, membership key -> class)."""
     parts = ["title", "mark", "author", "year"]
-    tagged = cut(rows.withColumn("cls", F.md5(F.concat_ws("\u0001", "title", "mark", F.coalesce("author", F.lit("\u0002")), F.coalesce(F.col("year").cast("string"), F.lit("\u0002"))))))
-    return cut(tagged.groupBy("cls").agg(*(F.any_value(p).alias(p) for p in parts))), tagged.select(key, "cls")
-
-
-def block_keys(side: DataFrame, years: list[int]) -> DataFrame:
-    """(cls, key): first author with a title word, three telling title words in a row, two of them with the year.
-
-    Words that over a twelfth of all titles have tell nothing and make no keys, unless the title has too few others.
-    """
-    pairs_ = F.filter(F.arrays_zip("words", "weights"), lambda x: (F.length(x["words"]) >= 3) & ~x["words"].isin(*STOP))
-    telling = F.filter(pairs_, lambda x: x["weights"] >= TELLING)
-    rows = side.withColumn("w", F.transform(F.when(F.size(telling) >= 3, telling).otherwise(pairs_), lambda x: F.left(x["words"], F.lit(5))))
-    n = F.size("w")
-    by_author = F.when(F.col("author").isNotNull(), F.flatten(F.transform("w", lambda w: F.array(F.concat_ws("|", F.lit("a"), F.left("author", F.lit(6)), w), F.concat_ws("|", F.lit("z"), F.right("author", F.lit(6)), w)))))
-    at = lambda i, k: F.get("w", (i + k).cast("int"))
-    three = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.concat_ws("|", F.lit("t"), at(i, 0), at(i, 1), at(i, 2))))
-    steps = F.array(*map(F.lit, years))
-    pairs = F.when((n >= 3) & F.col("year").isNotNull(), F.flatten(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.flatten(F.transform(steps, lambda y: F.array(F.concat_ws("|", F.lit("y"), at(i, 0), at(i, 1), (F.col("year") + y).cast("string")), F.concat_ws("|", F.lit("y"), at(i, 0), at(i, 2), (F.col("year") + y).cast("string"))))))))
-    few = F.when(n < 3, F.array(F.concat_ws("|", F.lit("f"), F.array_join("w", " "))))
-    none = F.expr("cast(array() as array<string>)")
-    return rows.select("cls", F.explode(F.array_distinct(F.concat(*(F.coalesce(x, none) for x in (by_author, three, pairs, few))))).alias("key"))
+    tagged = cut(rows.withColumn("text", F.unhex(F.md5(F.concat_ws("\u0001", "title", "mark", F.coalesce("author", F.lit("\u0002")), F.coalesce(F.col("year").cast("string"), F.lit("\u0002")))))))
+    # numbers are given to rows that are written already, so they stay the same however often they are read
+    found = cut(tagged.groupBy("text").agg(*(F.any_value(p).alias(p) for p in parts))).withColumn("cls", F.monotonically_increasing_id())
+    return found.select("cls", *parts), tagged.select(key, "text").join(found.select("text", "cls"), "text").select(key, "cls")
 
 
 def weighted(side: DataFrame, rarity: DataFrame) -> DataFrame:
-    """Adds the title's words and the weight of each, the logarithm of how rare it is among all titles."""
+    """The title of words that one blank divides, and the weight of each, the logarithm of how rare it is among all titles."""
     words = side.select("cls", F.posexplode(F.split("title", " ")).alias("i", "word")).where("word <> ''")
     both = words.join(rarity, "word").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("i", "word", "weight"))).alias("x"))
-    return cut(side.join(both.select("cls", F.transform("x", lambda x: x["word"]).alias("words"), F.transform("x", lambda x: x["weight"]).alias("weights")), "cls"))
+    both = both.select("cls", F.concat_ws(" ", F.transform("x", lambda x: x["word"])).alias("title"), F.transform("x", lambda x: x["weight"]).alias("weights"))
+    return side.drop("title").join(both, "cls")
 
 
-def rarity_of(sides: list[DataFrame]) -> DataFrame:
+def rarity_of(sides: list[DataFrame], total: int) -> DataFrame:
     """(word, weight) over the titles of all classes of both sides."""
     words = sides[0].select("title").unionByName(sides[1].select("title")).select(F.explode(F.array_distinct(F.split("title", " "))).alias("word"))
-    total = sum(x.count() for x in sides)
     return cut(words.groupBy("word").agg(F.count("*").alias("n")).select("word", (F.log(F.lit(total + 1.0) / F.col("n")) + 0.05).alias("weight")))
 
 
@@ -170,26 +160,266 @@ def title_similarity(a: list[str], wa: list[float], b: list[str], wb: list[float
     return min(1.0, 0.5 * 2 * shared / max(heavy_a + heavy_b, 1e-9) + 0.5 * shared / max(min(heavy_a, heavy_b), 1e-9))
 
 
-def similarity(q: str, e: str) -> list[Column]:
-    """Title, author, year and part similarity, each on a grid of GRID steps; -1 where unknown."""
-    c = F.col
-
-    @F.pandas_udf("double")
-    def title(a: pd.Series, wa: pd.Series, b: pd.Series, wb: pd.Series) -> pd.Series:
-        return pd.Series([title_similarity(*x) for x in zip(a, wa, b, wb, strict=True)], dtype=float)
-
-    x, y = c(f"{q}.author"), c(f"{e}.author")
-    author = 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1))
-    gap = F.abs(c(f"{q}.year") - c(f"{e}.year"))
-    year = F.when(gap == 0, 1.0).when(gap == 1, 0.75).when(gap == 2, 0.2).otherwise(0.0)
-    grid = lambda v: F.coalesce(F.round(v * GRID), F.lit(-1)).cast("int")
-    return [
-        grid(title(*(c(f"{k}.{n}") for k in (q, e) for n in ("words", "weights")))).alias("s_title"), grid(F.when(x.isNotNull() & y.isNotNull(), author)).alias("s_author"),
-        grid(F.when(gap.isNotNull(), year)).alias("s_year"), grid(F.when(c(f"{q}.mark") == c(f"{e}.mark"), 1.0).otherwise(0.0)).alias("s_mark"),
-    ]
-
-
-FEATURES = ["s_title", "s_author", "s_year", "s_mark"]
+#: Classes of queries and of entries that one task compares at most, tasks at least, and pairs that it compares at once.
+PART_Q, PART_E, LEAST_BLOCKS, AT_ONCE = 250_000, 500_000, 16, 40_000
+#: Different words of a title, and letters of an author, that are compared as columns of a matrix; what has more is compared by itself.
+WIDE, NAME = 14, 24
+BITS = 22
+
+
+def mixed(*parts: np.ndarray | int) -> np.ndarray:
+    """A 64-bit hash of several whole numbers, row by row."""
+    h = np.zeros(1, np.uint64)
+    for p in parts:
+        h = (h ^ np.asarray(p).astype(np.int64).astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+    return h
+
+
+def near_words(words: list[str]) -> list[tuple[int, int]]:
+    """All pairs (i, j), i < j, of different words that are near."""
+    at, by = {w: i for i, w in enumerate(words)}, defaultdict(list)
+    found = set()
+    for i, w in enumerate(words):
+        for k in range(3, len(w) - 1):
+            if (j := at.get(w[:k])) is not None:
+                found.add((min(i, j), max(i, j)))
+        if len(w) >= 4:
+            for v in {w, *(w[:k] + w[k + 1 :] for k in range(len(w)))}:
+                by[v].append(i)
+    for same in by.values():
+        found |= {(i, j) for x, i in enumerate(same) for j in same[x + 1 :] if (i, j) not in found and near(words[i], words[j])}
+    return sorted(found)
+
+
+class Side:
+    """The classes of one side of a block as arrays; the words of both sides have numbers in common."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        self.rows = rows = rows.combine_chunks()
+        self.cls = rows["cls"].to_numpy()
+        lists = pc.split_pattern(rows["title"], " ").combine_chunks()
+        self.start = np.asarray(lists.offsets, np.int64)
+        self.start, self.flat = self.start - self.start[0], lists.flatten()
+        self.row = np.repeat(np.arange(len(rows)), np.diff(self.start))
+        self.weight = rows["weights"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        self.year = rows["year"].fill_null(0).to_numpy().astype(np.int64)
+        self.dated = rows["year"].is_valid().to_numpy()
+        self.named = rows["author"].is_valid().to_numpy()
+
+    def arranged(self, word: np.ndarray, mark: np.ndarray, author: np.ndarray, divides: np.ndarray) -> None:
+        """Different words of each class as a matrix; odd: classes of too many words or with words that join to another one."""
+        n = len(self.rows)
+        self.word, self.mark, self.author = word, mark, author
+        self.heavy = np.bincount(self.row, self.weight, n)
+        once = np.unique(self.row * (1 << 32) + word, return_index=True, return_counts=True)
+        order = np.argsort(once[1], kind="stable")  # in the order of the title
+        first, times = once[1][order], once[2][order]
+        row = self.row[first]
+        place = np.arange(len(first)) - np.searchsorted(row, row)
+        fits = place < WIDE
+        self.words, self.again = np.full((n, WIDE), -1, np.int32), np.zeros((n, WIDE), bool)
+        for to, what in ((self.words, word[first]), (self.again, times > 1)):
+            to[row[fits], place[fits]] = what[fits]
+        self.odd = np.zeros(n, bool)
+        self.odd[row[~fits]] = True
+        for k in range(0, n, AT_ONCE):
+            self.odd[k : k + AT_ONCE] |= hit(divides, self.words[k : k + AT_ONCE], self.words[k : k + AT_ONCE]).any((1, 2))
+
+    def keys(self, a: int, b: int, short: np.ndarray, usable: np.ndarray, ends: tuple[np.ndarray, np.ndarray], years: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(class, key) of the classes from a to b: first author with a title word, three telling title words in a row, two of them with the year.
+
+        Words that over a twelfth of all titles have tell nothing and make no keys, unless the title has too few others.
+        """
+        n, s = b - a, slice(self.start[a], self.start[b])
+        row, word, weight = self.row[s] - a, self.word[s], self.weight[s]
+        named, dated, year, ends = self.named[a:b], self.dated[a:b], self.year[a:b], [x[self.author[a:b]] for x in ends]
+        ok = usable[word]
+        telling = ok & (weight >= TELLING)
+        ok = np.where((np.bincount(row, telling, n) >= 3)[row], telling, ok)
+        row, w = row[ok], short[word[ok]]
+        many = np.bincount(row, minlength=n)
+        at = np.arange(max(0, len(row) - 2))
+        at = at[row[at] == row[at + 2]]
+        by_name = named[row]
+        out = [(row[by_name], mixed(kind, end[row[by_name]], w[by_name])) for kind, end in zip((1, 2), ends, strict=True)]
+        out.append((row[at], mixed(3, w[at], w[at + 1], w[at + 2])))
+        at = at[dated[row[at]]]
+        for y in years:
+            out += [(row[at], mixed(4, w[at], w[at + k], year[row[at]] + y)) for k in (1, 2)]
+        few = np.flatnonzero(many < 3)
+        one, two = np.full(n, -1), np.full(n, -1)
+        lead = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
+        one[row[lead]], two[row[~lead]] = w[lead], w[~lead]
+        out.append((few, mixed(5, one[few], two[few])))
+        return np.concatenate([x for x, _ in out]).astype(np.int32) + np.int32(a), np.concatenate([x for _, x in out])
+
+    def title(self, k: int, vocabulary: list[str]) -> tuple[list[str], list[float]]:
+        s = slice(self.start[k], self.start[k + 1])
+        return [vocabulary[i] for i in self.word[s]], self.weight[s].tolist()
+
+
+def places(pairs: list[tuple[int, int]]) -> np.ndarray:
+    """A table of bits that holds pairs of numbers; a few others seem to be in it."""
+    out = np.zeros(1 << BITS, bool)
+    if pairs:
+        a, b = np.array(pairs).T
+        out[_slot(a, 1) ^ _slot(b, 2)] = True
+    return out
+
+
+def _slot(word: np.ndarray, side: int) -> np.ndarray:
+    return (mixed(side, word) >> np.uint64(64 - BITS)).astype(np.int32)
+
+
+def hit(table: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which words of the rows of a and of b are pairs of the table."""
+    return table[_slot(a, 1)[:, :, None] ^ _slot(b, 2)[:, None, :]] & (a >= 0)[:, :, None] & (b >= 0)[:, None, :]
+
+
+def levenshtein(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        left, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            left, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, left + (x != y))
+    return row[-1]
+
+
+def distances(letters: np.ndarray, size: np.ndarray, names: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edit distances of names, given by their numbers, all at once."""
+    x, y, m, n = letters[a].T, letters[b].T, size[a], size[b]
+    rows, each = [np.full(len(a), j, np.int16) for j in range(n.max(initial=0) + 1)], np.arange(len(a))
+    out = n.astype(np.int16)
+    for i in range(min(m.max(initial=0), NAME)):
+        last, rows = rows, [np.full(len(a), i + 1, np.int16)]
+        for j in range(min(len(last) - 1, NAME)):
+            rows.append(np.minimum(np.minimum(last[j + 1], rows[j]) + 1, last[j] + (x[i] != y[j])))
+        done = (m == i + 1) & (n < len(rows))
+        out[done] = np.stack(rows)[n[done], each[done]]
+    out = out.astype(np.int64)
+    for k in np.flatnonzero((m > NAME) | (n > NAME)):
+        out[k] = levenshtein(names[a[k]], names[b[k]])
+    return out
+
+
+def stepped(x: np.ndarray) -> np.ndarray:
+    return np.floor(x * GRID + 0.5).astype(np.int64)
+
+
+def numbered(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, list]:
+    """Numbers of the values of two columns, null as one of its own, and the values."""
+    both = pa.chunked_array([a, b]).combine_chunks().dictionary_encode("encode")
+    n = both.indices.to_numpy(zero_copy_only=False)
+    return n[: len(a)].astype(np.int64), n[len(a) :].astype(np.int64), both.dictionary.to_pylist()
+
+
+def compared(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A part of the queries with a part of the entries: the pairs (q, e, cell) that share a block key, title similarity
+    of two fifths and no fact that rules a match out, and how many others (n) of each cell there are."""
+    schema = pa.schema([("q", pa.list_(pa.int64())), ("e", pa.list_(pa.int64())), ("cell", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
+    if not len(left) or not len(right):
+        return schema.empty_table()
+    q, e = Side(left), Side(right)
+    wq, we, vocabulary = numbered(q.flat, e.flat)
+    mq, me, _ = numbered(q.rows["mark"].combine_chunks(), e.rows["mark"].combine_chunks())
+    aq, ae, names = numbered(q.rows["author"].combine_chunks(), e.rows["author"].combine_chunks())
+    names = [x or "" for x in names]
+    weights = np.zeros(len(vocabulary))
+    weights[wq], weights[we] = q.weight, e.weight
+    at = {w: i for i, w in enumerate(vocabulary)}
+    divides = places([(at[w[:k]], at[w[k:]]) for w in vocabulary for k in range(1, len(w)) if w[:k] in at and w[k:] in at])
+    close = near_words(vocabulary)
+    close = places(close + [(j, i) for i, j in close])
+    q.arranged(wq, mq, aq, divides)
+    e.arranged(we, me, ae, divides)
+    letters, size = np.zeros((len(names), NAME), np.int32), np.array([len(x) for x in names], np.int64)
+    for k, x in enumerate(names):
+        letters[k, : min(len(x), NAME)] = [ord(c) for c in x[:NAME]]
+    number = lambda words: np.unique(np.array(words, object), return_inverse=True)[1]
+    short, usable = number([w[:5] for w in vocabulary]), np.array([len(w) >= 3 and w not in STOP for w in vocabulary])
+    first, final = number([x[:6] for x in names]), number([x[-6:] for x in names])
+    row, key = q.keys(0, len(q.rows), short, usable, (first, final), [-1, 0, 1])
+    order = np.argsort(key, kind="stable")
+    row, key = row[order], key[order]
+    out, dead = [], np.zeros((GRID + 2) ** 4, np.int64)
+    for pairs in sharing(row, key, len(q.rows), e, (short, usable, (first, final))):
+        for k in range(0, len(pairs), AT_ONCE):
+            i, j = pairs[k : k + AT_ONCE] % len(q.rows), pairs[k : k + AT_ONCE] // len(q.rows)
+            a, b = q.words[i], e.words[j]
+            same = (a[:, :, None] == b[:, None, :]) & (a >= 0)[:, :, None]
+            in_a, in_b = same.any(2), same.any(1)
+            shared = (weights[a] * in_a).sum(1)
+            alone = q.odd[i] | e.odd[j] | (hit(close, a, b) & (~in_a | q.again[i])[:, :, None] & ~in_b[:, None, :]).any((1, 2))
+            title = np.minimum(1.0, shared / np.maximum(q.heavy[i] + e.heavy[j], 1e-9) + 0.5 * shared / np.maximum(np.minimum(q.heavy[i], e.heavy[j]), 1e-9))
+            for x in np.flatnonzero(alone):
+                title[x] = title_similarity(*q.title(i[x], vocabulary), *e.title(j[x], vocabulary))
+            title = stepped(title)
+            kept = title >= GRID * 0.4
+            i, j, title = i[kept], j[kept], title[kept]
+            x, y = q.author[i], e.author[j]
+            two, back = np.unique(x * len(names) + y, return_inverse=True)
+            apart = distances(letters, size, names, two // len(names), two % len(names))[back]
+            author = np.where(q.named[i] & e.named[j], stepped(1 - apart / np.maximum(np.maximum(size[x], size[y]), 1)), -1)
+            gap = np.abs(q.year[i] - e.year[j])
+            year = np.where(q.dated[i] & e.dated[j], stepped(np.select([gap == 0, gap == 1, gap == 2], [1.0, 0.75, 0.2], 0.0)), -1)
+            mark = np.where(q.mark[i] == e.mark[j], GRID, 0)
+            cell = packed(title, author, year, mark)
+            live = may_match(title / GRID, author / GRID, year / GRID, mark / GRID)
+            dead += np.bincount(cell[~live], minlength=len(dead))
+            if live.any():
+                out.append((q.cls[i[live]], e.cls[j[live]], cell[live].astype(np.int32), None))
+    rest = np.flatnonzero(dead)
+    out.append((None, None, rest.astype(np.int32), dead[rest]))
+    return pa.Table.from_arrays([pa.array([x[k] for x in out], schema.field(k).type) for k in range(4)], schema=schema)
+
+
+def sharing(row: np.ndarray, key: np.ndarray, n_q: int, e: Side, known: tuple) -> Iterator[np.ndarray]:
+    """Pairs (entry times n_q plus query) that share a key, once each; row and key are those of the queries, by key."""
+    for a in range(0, len(e.rows), AT_ONCE):
+        row_e, key_e = e.keys(a, min(a + AT_ONCE, len(e.rows)), *known, [0])
+        low, many = np.searchsorted(key, key_e, "left"), np.searchsorted(key, key_e, "right")
+        many -= low
+        order = np.flatnonzero(many)
+        order = order[np.argsort(row_e[order], kind="stable")]
+        row_e, low, many = row_e[order], low[order], many[order]
+        sums = np.r_[0, many.cumsum()]
+        begin = 0
+        while begin < len(row_e):
+            end = max(begin + 1, int(np.searchsorted(sums, sums[begin] + 4 * AT_ONCE, "right")) - 1)
+            end = int(np.searchsorted(row_e, row_e[end - 1], "right"))  # all keys of an entry together
+            n = many[begin:end]
+            place = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n) + np.repeat(low[begin:end], n)
+            yield np.unique(np.repeat(row_e[begin:end].astype(np.int64), n) * n_q + row[place])
+            begin = end
+
+
+def packed(*features: np.ndarray) -> np.ndarray:
+    """The number of a grid cell."""
+    out = 0
+    for x in features:
+        out = out * (GRID + 2) + x + 1
+    return out
+
+
+def unpacked(cell: np.ndarray) -> np.ndarray:
+    return np.stack([cell // (GRID + 2) ** k % (GRID + 2) - 1 for k in (3, 2, 1, 0)], 1)
+
+
+def never(title: np.ndarray, author: np.ndarray, year: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """What no matched pair shows: another part, half of the title missing, or author and year both wrong."""
+    return (mark == 0) | (title < 0.5) | ((year == 0) & (author >= 0) & (author < 0.6))
+
+
+def chainable(title: np.ndarray, author: np.ndarray, year: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """What doesn't contradict a chain of firm matches."""
+    return (mark > 0) & (year != 0) & ((author < 0) | (author >= 0.6))
+
+
+def may_match(*features: np.ndarray) -> np.ndarray:
+    return ~never(*features) | chainable(*features)
 
 
 def densities(x: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
@@ -203,11 +433,10 @@ def fit(cell: np.ndarray, weight: np.ndarray, held: np.ndarray, start: np.ndarra
     x = cell / GRID
     x[cell < 0] = -1
     known = x >= 0
-    # what no matched pair shows: another part, half of the title missing, or author and year both wrong
-    never = (x[:, 3] == 0) | (x[:, 0] < 0.5) | ((x[:, 2] == 0) & (x[:, 1] >= 0) & (x[:, 1] < 0.6))
+    out = never(*x.T)
     post = start if start is not None else ((x[:, 0] > 0.85) & (x[:, 3] > 0.5) & ((x[:, 1] > 0.75) | (x[:, 2] > 0.7))).astype(float) * 0.98 + 0.01
     for _ in range(ROUNDS):
-        post = np.where(never, 0.0, np.maximum(post, held))
+        post = np.where(out, 0.0, np.maximum(post, held))
         mean, var = np.zeros((2, 4)), np.zeros((2, 4))
         for k, w in enumerate((weight * (1 - post), weight * post)):
             wk = w[:, None] * known
@@ -222,7 +451,7 @@ def fit(cell: np.ndarray, weight: np.ndarray, held: np.ndarray, start: np.ndarra
         top[x < 0] = -1
         logit = np.maximum(logit, np.log(prior / (1 - prior)) + densities(top, mean[1], var[1]) - densities(top, mean[0], var[0]))
         post = 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
-    return np.where(never, 0.0, post)
+    return np.where(out, 0.0, post)
 
 
 def matches(queries: DataFrame, entries: DataFrame, least: float = 0.5) -> DataFrame:
@@ -234,30 +463,44 @@ def matches(queries: DataFrame, entries: DataFrame, least: float = 0.5) -> DataF
     """
     qc, qm = classes(of_queries(queries), "query_id")
     ec, em = classes(of_entries(entries), "entry_id")
-    rarity = rarity_of([qc, ec])
-    qc, ec = weighted(qc, rarity), weighted(ec, rarity)
-    both = block_keys(qc, [-1, 0, 1]).withColumnRenamed("cls", "q").join(block_keys(ec, [0]).withColumnRenamed("cls", "e"), "key")
-    pairs = both.select("q", "e").distinct()
-    vectors = cut(pairs.join(qc.alias("x").withColumnRenamed("cls", "q"), "q").join(ec.alias("y").withColumnRenamed("cls", "e"), "e").select("q", "e", *similarity("x", "y")).where(F.col("s_title") >= GRID * 0.4))
-    grid = vectors.groupBy(*FEATURES).agg(F.count("*").alias("n")).toPandas()  # at most 22 to the power of 4 cells
+    sizes = qc.count(), ec.count()
+    rarity = rarity_of([qc, ec], sum(sizes))
+    vectors = candidates(weighted(qc, rarity), weighted(ec, rarity), sizes)
+    live = vectors.where("q is not null").select(F.explode(F.arrays_zip("q", "e", "cell")).alias("x")).select("x.*")
+    dead = vectors.where("q is null").select(F.explode(F.arrays_zip("cell", "n")).alias("x")).select("x.*")
+    grid = live.select("cell", F.lit(1).cast("bigint").alias("n")).unionByName(dead).groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toPandas()  # at most 22 to the power of 4 cells
     if grid.empty:
         return queries.select("query_id", F.lit(None).cast("string").alias("entry_id"), F.lit(0.0).alias("confidence")).where("false")
-    cell, weight = grid[FEATURES].to_numpy(int), grid["n"].to_numpy(float)
+    cell, weight = unpacked(grid["cell"].to_numpy(int)), grid["n"].to_numpy(float)
     held, post = np.zeros(len(grid)), None
     spark = queries.sparkSession
     for turn in range(TURNS):
-        post = fit(cell.copy(), weight, held, post)
-        table = F.broadcast(spark.createDataFrame([(*map(int, c), float(p)) for c, p in zip(cell, post, strict=True)], ", ".join(f"{f} int" for f in FEATURES) + ", p double"))
-        scored = cut(vectors.join(table, FEATURES))
-        firm = scored.where((F.col("p") >= FIRM) & (F.col("s_title") >= 0.9 * GRID) & (F.col("s_author") >= 0.8 * GRID) & (F.col("s_year") >= 0.7 * GRID))
-        groups = components(firm.select(F.concat(F.lit("q"), "q").alias("a"), F.concat(F.lit("e"), "e").alias("b")))
-        groups = cut(groups.select(F.substring("vertex", 2, 32).alias("v"), F.left("vertex", F.lit(1)).alias("side"), "group"))
-        ends = scored.join(groups.where("side = 'q'").select(F.col("v").alias("q"), F.col("group").alias("gq")), "q", "left").join(groups.where("side = 'e'").select(F.col("v").alias("e"), F.col("group").alias("ge")), "e", "left")
-        chained = (F.col("gq") == F.col("ge")) & (F.col("s_mark") > 0) & (F.col("s_year") != 0) & ((F.col("s_author") < 0) | (F.col("s_author") >= 0.6 * GRID))
-        held_pairs = cut(ends.withColumn("p", F.when(chained, F.greatest("p", F.lit(FIRM))).otherwise(F.col("p"))).select("q", "e", *FEATURES, "p", F.coalesce(chained, F.lit(False)).alias("chained")))
-        if turn == TURNS - 1:
-            break
-        share = {tuple(r[f] for f in FEATURES): r["h"] for r in held_pairs.groupBy(*FEATURES).agg((F.avg(F.col("chained").cast("double")) * FIRM).alias("h")).collect()}
-        held = np.array([share.get(tuple(int(v) for v in c), 0.0) for c in cell])
-    good = held_pairs.where(F.col("p") >= least).select("q", "e", F.round("p", 6).alias("confidence"))
+        post = fit(cell.astype(float), weight, held, post)
+        x = cell / GRID
+        firm = (post >= FIRM) & (x[:, 0] >= 0.9) & (x[:, 1] >= 0.8) & (x[:, 2] >= 0.7)
+        table = spark.createDataFrame([(int(c), float(p), bool(f), bool(t)) for c, p, f, t in zip(grid["cell"], post, firm, chainable(*x.T), strict=True)], "cell int, p double, firm boolean, chainable boolean")
+        scored = live.join(F.broadcast(table.where(f"p >= {least} or firm or chainable")), "cell")
+        # queries and entries as even and odd numbers
+        groups = components(scored.where("firm").select((F.col("q") * 2).alias("a"), (F.col("e") * 2 + 1).alias("b")))
+        groups = cut(groups.select(F.floor(F.col("vertex") / 2).alias("v"), (F.col("vertex") % 2).alias("side"), "group"))
+        of = lambda side, v, g: groups.where(f"side = {side}").select(F.col("v").alias(v), F.col("group").alias(g))  # noqa: E731, B023
+        if turn < TURNS - 1:
+            chained = scored.where("chainable").join(of(0, "q", "gq"), "q").join(of(1, "e", "ge"), "e").where("gq = ge")
+            share = {r["cell"]: r["n"] for r in chained.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+            held = np.array([share.get(c, 0) for c in grid["cell"].tolist()]) / weight * FIRM
+    able = scored.where(f"chainable or p >= {least}").join(of(0, "q", "gq"), "q", "left").join(of(1, "e", "ge"), "e", "left")
+    p = F.when(F.col("chainable") & (F.col("gq") == F.col("ge")), F.greatest("p", F.lit(FIRM))).otherwise(F.col("p"))
+    good = able.select("q", "e", p.alias("p")).where(F.col("p") >= least).select("q", "e", F.round("p", 6).alias("confidence"))
     return good.join(qm.withColumnRenamed("cls", "q"), "q").join(em.withColumnRenamed("cls", "e"), "e").select("query_id", "entry_id", "confidence")
+
+
+def candidates(qc: DataFrame, ec: DataFrame, sizes: tuple[int, int]) -> DataFrame:
+    """compared() of every part of the queries with every part of the entries; parts are bounded, so their number grows with the tables."""
+    parts_q, parts_e = (max(1, -(-n // most)) for n, most in zip(sizes, (PART_Q, PART_E), strict=True))
+    parts_e = max(parts_e, -(-LEAST_BLOCKS // parts_q))
+    rows = lambda side: side.select("cls", "title", "weights", "author", "year", "mark", F.xxhash64("cls").alias("h"))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows(qc).select("*", F.pmod("h", F.lit(parts_q)).cast("int").alias("part"), all_of(parts_e).alias("other"))
+    right = rows(ec).select("*", all_of(parts_q).alias("part"), F.pmod("h", F.lit(parts_e)).cast("int").alias("other"))
+    block = ["part", "other"]
+    return cut(left.drop("h").groupBy(*block).cogroup(right.drop("h").groupBy(*block)).applyInArrow(compared, "q array<bigint>, e array<bigint>, cell array<int>, n array<bigint>"))

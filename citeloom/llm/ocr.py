@@ -319,7 +319,8 @@ def grams(shape: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3)))
 
 
-FEATURES = ["cost", "edits", "n_right", "n_read", "length", "odd", "capital", "odd_right", "same_shape"]
+#: more: how many times more often the correction stands than the suspect; a larger corpus has more of both.
+FEATURES = ["cost", "edits", "more", "length", "odd", "capital", "odd_right", "same_shape"]
 
 
 #: How much rarer on native pages than on scanned ones, by its share of the words, a suspect is at least.
@@ -367,7 +368,8 @@ def features(x: pd.DataFrame) -> np.ndarray:
     cost = np.array([misread_cost(w, r) for w, r in zip(x["word"], x["right"], strict=True)])
     edits = np.array([sum(p != q for p, q in zip(w, r)) + abs(len(w) - len(r)) for w, r in zip(x["word"], x["right"], strict=True)])
     same = np.array([shape(w) == shape(r) for w, r in zip(x["word"], x["right"], strict=True)])
-    return np.column_stack([cost, edits, np.log1p(x["m"]), np.log1p(x["n"]), x["word"].str.len(), odd > 0, x["capital"], x["m"] == 0, same]).astype(float)
+    more = np.where(x["m"] > 0, np.log(np.maximum(x["m"], 1) / np.maximum(x["n"], 1)), -1.0)
+    return np.column_stack([cost, edits, more, x["word"].str.len(), odd > 0, x["capital"], x["m"] == 0, same]).astype(float)
 
 
 def trained(words: DataFrame, built: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> Boosted | None:
@@ -402,7 +404,7 @@ def trained(words: DataFrame, built: tuple[DataFrame, DataFrame, DataFrame] | No
 def by_rule(x: np.ndarray) -> np.ndarray:
     """Where nothing can be learned: known confusions of a far more frequent trusted word; a digit or sign within may cost more."""
     cost, odd = x[:, FEATURES.index("cost")], x[:, FEATURES.index("odd")] > 0
-    return np.where((x[:, FEATURES.index("n_right")] > 0) & ((cost <= 0.5) | (odd & (cost <= 1))), 1 / (1 + cost), 0.0)
+    return np.where((x[:, FEATURES.index("more")] > 0) & ((cost <= 0.5) | (odd & (cost <= 1))), 1 / (1 + cost), 0.0)
 
 
 def corrections(words: DataFrame) -> DataFrame:
